@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, html_extract, line_dedup, mixing, quality, simhash, url_filter, vector_dedup
+from . import decontam, html_extract, license_scan, line_dedup, mixing, quality, secret_scan, simhash, url_filter, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -42,11 +47,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base, spans = secret_scan.joined("base_spans"), secret_scan.joined("all_spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(base.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
-_ALL = (op1_html_extraction, op2_url_filters, op3_benchmark_decontamination, op5_simhash_near_dedup, op6_quality_classifier, op7_source_mixing, op8_line_dedup, op10_embedding_near_dedup)
+_ALL = (op1_html_extraction, op2_url_filters, op3_benchmark_decontamination, op4_license_scans, op5_simhash_near_dedup, op6_quality_classifier, op7_source_mixing, op8_line_dedup, op9_secret_scans, op10_embedding_near_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
