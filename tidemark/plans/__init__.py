@@ -32,3 +32,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+from . import boards, evaluations, metrics, signals, states, texts  # noqa: E402, F401
