@@ -19,16 +19,15 @@ def anchor_dedupe(rows: DataFrame, key: list[str], at: str, tie: str, seconds: i
     order = W.partitionBy(*key).orderBy(at, tie)
     gap = F.coalesce(moment - F.lag(moment).over(order) > seconds, F.lit(True)).cast("int")
     runs = rows.withColumn("__run", F.sum(gap).over(order))
-    entry = F.struct(moment.alias("t"), F.col(tie).alias("tie"))
-    sorted_run = F.array_sort(F.collect_list(entry))
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.filter(sorted_run, lambda _: F.lit(False)).alias("kept"))
+    runs = runs.groupBy(*key, "__run").agg(F.array_sort(F.collect_list(F.struct(moment.alias("t"), F.col(tie).alias("tie")))).alias("__all"))
+    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.filter("__all", lambda _: F.lit(False)).alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
         keep = acc["anchor"].isNull() | (x["t"] - acc["anchor"] > seconds)
         return F.struct(F.when(keep, x["t"]).otherwise(acc["anchor"]).alias("anchor"), F.when(keep, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
 
-    kept = runs.groupBy(*key, "__run").agg(sorted_run.alias("__all")).select(*key, F.explode(F.aggregate("__all", F.struct(F.lit(None).cast("long").alias("anchor"), F.filter("__all", lambda _: F.lit(False)).alias("kept")), step, lambda acc: acc["kept"])).alias("k"))
-    return rows.join(kept.select(*key, F.col("k.tie").alias(tie)), [*key, tie], "left_semi")
+    kept = runs.select(*key, F.explode(F.aggregate("__all", start, step, lambda acc: acc["kept"])).alias("__kept"))
+    return rows.join(kept.select(*key, F.col("__kept.tie").alias(tie)), [*key, tie], "left_semi")
 
 
 def indel_ratio(a: str, b: str) -> float:
