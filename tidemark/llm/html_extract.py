@@ -185,20 +185,18 @@ def content_nodes(root: Node) -> list[Node]:
         threshold = min(threshold, n.density)
         if n is body:
             break
+    path = set()
+    for n in _line(top):
+        path.add(n)
     out, todo = [], [body]
     while todo:
         n = todo.pop()
-        chosen = top if n is body else n.best
-        if n is top or chosen is n:
+        on_path = n in path
+        if n is top or not on_path and n.best is n:
             out.append(n)
-        else:
-            inside = set()
-            for x in _line(chosen):
-                if x is n:
-                    break
-                inside.add(x)
-            # beside the way to the best node, a child counts by itself if it is at or above the threshold
-            todo += [x for x in reversed(n.inner) if x in inside or x.density >= threshold and x.chars]
+            continue
+        # beside the way to the best node, a child counts by itself if it is at or above the threshold
+        todo += [x for x in reversed(n.inner) if (x in path if on_path else x.best is n.best) or x.density >= threshold and x.chars]
     return out
 
 
