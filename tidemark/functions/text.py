@@ -86,7 +86,7 @@ def without_raters(stocks: Column, title: Column, summary: Column, body: Column,
     def cited(alias: Column, context: Column) -> Column:
         after = F.split(context, F.concat(F.lit("\\Q"), alias, F.lit("\\E")), -1)
         # each piece after the first follows one mention; a piece may end where the next mention begins
-        rest = F.transform(F.filter(F.sequence(F.lit(2), F.greatest(F.size(after), F.lit(2))), lambda i: i <= F.size(after)), lambda i: F.substring(F.array_join(F.slice(after, i, F.size(after)), alias), F.lit(1), F.lit(reach)))
+        rest = F.transform(F.filter(F.sequence(F.lit(2), F.greatest(F.size(after), F.lit(2))), lambda i: i <= F.size(after)), lambda i: F.substring(F.call_function("array_join", F.slice(after, i, F.size(after)), alias), F.lit(1), F.lit(reach)))
         return F.exists(rest, lambda x: x.rlike(RATING_CUE))
 
     contexts = F.array(F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit("")), F.substring(F.coalesce(body, F.lit("")), 1, leading))
