@@ -184,13 +184,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of docs whose score is at least THRESHOLD, with their columns as they are."""
     model = learn(document_statistics(docs, id_col, text_col), labels, id_col, label_col)
-    at = docs.schema.names.index(text_col)
+    names = docs.schema.names
+    at = names.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             named = batch.rename_columns([str(i) for i in range(batch.num_columns)])
             for part, data, offsets in slices(named, str(at)):
                 good = model.scores(statistics(data, offsets)) >= THRESHOLD
-                yield part.filter(pa.array(good)).rename_columns(docs.schema.names)
+                yield part.filter(pa.array(good)).rename_columns(names)
 
     return docs if model is None else docs.mapInArrow(keep, docs.schema)
