@@ -95,3 +95,9 @@ def test_hypothetical_end_is_no_terminal_state(spark):
     rows = [("若审批未通过，则终止本次收购。", "收购公告"), ("公司决定终止收购。", "收购公告"), ("收购顺利。", "终止收购公告"), ("存在失败风险。", "收购公告")]
     out = spark.createDataFrame(rows, "text string, title string").select(E.terminal_state(F.col("text"), F.col("title")).alias("t")).collect()
     assert [r.t for r in out] == [False, True, True, False]
+
+
+def test_figures_come_from_the_best_section(spark):
+    body = "风险提示\n净利润同比下降5%。\n主要财务数据\n归母净利润同比增长20%。"
+    r = spark.createDataFrame([(body,)], "b string").select(E.figures(F.col("b"), "净利润|归母净利润").alias("f"), E.section_rank(F.col("b"), F.lit(6)).alias("a"), E.section_rank(F.col("b"), F.lit(0)).alias("b")).first()
+    assert r.f.startswith("归母净利润同比增长20%") and (r.a, r.b) == (2, 1)

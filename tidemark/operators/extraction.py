@@ -80,6 +80,21 @@ def provider_rank(provider: Column, title: Column) -> Column:
     return F.when(provider == "cninfo", 0).when(provider.isin("sse", "irm"), 1).otherwise(2) + F.when(title.rlike(R.AUXILIARY), 3).otherwise(0)
 
 
+def section_rank(body: Column, at: Column) -> Column:
+    """0 behind a heading on business or figures, 2 behind one of notes or risks, 1 before any; the nearest one counts."""
+    last = lambda pattern: F.array_max(F.filter(F.transform(matches(body, F.lit(pattern)), lambda m: m["s"]), lambda s: s < at))
+    good, other = last(R.PREFERRED_SECTION), last(R.OTHER_SECTION)
+    return F.when(good.isNotNull() & (other.isNull() | (good >= other)), 0).when(other.isNotNull(), 2).otherwise(1)
+
+
+def figures(body: Column, pattern: str) -> Column:
+    """The mention of earnings in the best section, with the 40 characters behind it; other mentions only without one."""
+    places = matches(body, F.lit(pattern))
+    about = F.filter(places, lambda m: m["m"].rlike(R.EARNINGS))
+    best = F.array_min(F.transform(F.when(F.size(about) > 0, about).otherwise(places), lambda m: F.struct(section_rank(body, m["s"]).alias("rank"), m["s"].alias("s"), m["e"].alias("e"))))
+    return F.coalesce(F.substring(body, best["s"] + 1, best["e"] - best["s"] + 40), body)
+
+
 def gate(rule: R.Rule, title: Column, body: Column) -> Column:
     """The headline gate: the pattern hits title and body, and neither exclusion hits."""
     test = title.rlike(rule.pattern) & body.rlike(rule.pattern)
@@ -91,7 +106,8 @@ def gate(rule: R.Rule, title: Column, body: Column) -> Column:
 def _weigh(rule: R.Rule, title: Column, body: Column, text: Column, periodic: Column, formal: Column) -> Column:
     d = direction(text, title)
     amount = X.parse_amount(body)
-    said = F.regexp_extract(body, rule.ratio, 0) if rule.ratio else F.lit("")
+    source = figures(body, rule.pattern) if rule.name == "earnings_upgrade" else body
+    said = F.regexp_extract(source, rule.ratio, 0) if rule.ratio else F.lit("")
     ratio = X.parse_percent(said)
     if rule.ratio_needs_amount:
         ratio = F.when(amount.isNotNull(), ratio)

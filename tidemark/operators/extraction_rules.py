@@ -32,6 +32,9 @@ EXECUTED = (
 SIGNED = r"签订|签署|正式合同|董事会(?:决议|审议)?通过|股东大会通过|审议通过|已通过|审核通过|过会|证监会(?:同意|核准|注册)"
 AWARDED, RUMOR = r"中标|获选|评标|中选", r"传闻|市场消息|据悉|知情人士|或(?:将|有|存在)"
 AUXILIARY = r"法律意见书|核查意见|验资报告|专项报告|审计报告|独立财务顾问报告"
+PREFERRED_SECTION = r"主要会计数据|主要财务数据|经营情况讨论与分析|管理层讨论与分析|董事会报告|经营情况|主要经营情况|报告期内经营"
+OTHER_SECTION = r"财务报表附注|附注|风险提示|备查文件|释义|公司简介"
+EARNINGS = r"净利润|归母|扣非|业绩|扭亏|预盈|预增"
 FORMAL = ("cninfo", "sse", "irm")
 _NUMBER = r"([+-]?\d[\d,]*\.?\d*)\s*(?:%|个百分点)"
 
