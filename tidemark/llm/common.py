@@ -20,7 +20,8 @@ NOT_ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-SLICE_BYTES = 1 << 20
+#: Bytes of text worked on at a time: arrays of a word's width then stay within a core's cache.
+SLICE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -62,8 +63,12 @@ def text_or_empty(col: str) -> F.Column:
 
 def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of a batch with the bytes of their texts (null: empty) and where each text starts, about limit bytes or one text each."""
-    texts = pc.fill_null(batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_string()), "")
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    texts = batch.column(batch.schema.get_field_index(text_col))
+    if not (pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type)):
+        texts = texts.cast(pa.string())
+    texts = pc.fill_null(texts, "") if texts.null_count else texts
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
     at = 0
     while at < len(texts):
@@ -71,6 +76,7 @@ def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> It
         to = min(to, len(texts))
         yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
