@@ -61,9 +61,11 @@ def leader_clusters(articles: DataFrame, seconds: int = 21_600, least: float = 9
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         events: list[tuple] = []
-        out = []
+        out, run = [], None
         for r in pdf.sort_values(["t", "article"], ascending=[False, True]).itertuples(index=False):
             own = set(r.codes if r.codes is not None else ())
+            if r.run != run:
+                run, events = r.run, []  # no event crosses the gap between two runs
             for lead, at, title, codes in events:
                 if abs(at - r.t) <= seconds and codes & own and title and r.title and indel_ratio(title, r.title) >= least:
                     codes |= own
@@ -75,7 +77,8 @@ def leader_clusters(articles: DataFrame, seconds: int = 21_600, least: float = 9
         return pd.DataFrame(out, columns=["article", "event"])
 
     kind = articles.schema["article"].dataType.simpleString()
-    return runs.select("block", "run", "article", "t", "title", "codes").groupBy("block", "run").applyInPandas(fold, f"article {kind}, event {kind}")
+    # some runs share a group, as a call for each would cost more than its work
+    return runs.select("block", "run", F.floor(F.col("run") / 64).alias("part"), "article", "t", "title", "codes").groupBy("block", "part").applyInPandas(fold, f"article {kind}, event {kind}")
 
 
 def _blocks(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
