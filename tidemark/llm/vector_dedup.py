@@ -2,9 +2,11 @@
 
 Unit vectors are rotated by random orthogonal matrices; the signs are the binary code. Bits of the codes of several
 rotations are the keys of hash tables, as many as lift the chance that a pair at the threshold meets in none below
-MISS. Pairs that meet are estimated from the first rotation's code: <code, other> / <code, own> is an unbiased
-estimate of the inner product, and the stored factor <code, own> bounds its error. Only pairs whose upper bound
-reaches the threshold are computed exactly, in double precision.
+MISS. Only codes are dealt to the tables at first: the share of bits in which two codes agree estimates their angle,
+and vectors none of whose estimates comes within the bound of the threshold are done. The vectors of the others are
+dealt to their tables and estimated again: <code, other> / <code, own> is an unbiased estimate of the inner product,
+and the stored factor <code, own> bounds its error. Only pairs whose upper bound reaches the threshold are computed
+exactly, in double precision.
 
 A pair counts in the first table in which it meets. Buckets are cut into blocks by hash, and each task compares two
 blocks, so no bucket is collected whole and no pair is written out: a block pair gives each vector's number of links
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, partitions
+from .common import cut
 from .components import components
 
 THRESHOLD = 0.9
@@ -30,8 +32,9 @@ THRESHOLD = 0.9
 MISS = 0.002
 #: Vectors to a block; vectors to a bucket that the number of bits aims at.
 BLOCK, BUCKET = 512, 64
-#: Standard errors in the bound of an estimate.
+#: Standard errors in the bound of an estimate; bits to a code at least.
 BOUND = 5.0
+CODE_BITS = 256
 MOST_BITS = 48
 
 
@@ -80,7 +83,7 @@ def _links(x: np.ndarray, y: np.ndarray, turned_x: np.ndarray, turned_y: np.ndar
 
 def _compare(dim: int, bits: int, tables: int, threshold: float):
     """Links within and between blocks: rows of (a, links, null) and of (a, null, b)."""
-    turn = rotations(dim, math.ceil(bits * tables / max(dim, 1)))
+    turn = _turns(dim, bits, tables)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,8 +149,10 @@ def link_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     probability `miss`, closer ones less often; none below is linked. Equal vectors are compared once. Rows that share
     an id each count. Ids are integers; a null id is in no component and has null there. Empty tables give empty ones.
     """
-    vectors = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("ok", usable("v"))
-    vectors = cut(vectors.withColumn("v", F.when(F.col("ok"), F.transform("v", lambda c: c + 0.0))))
+    kind = "float" if rows.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    vectors = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v")).withColumn("ok", usable("v"))
+    # adding 0 makes -0 and 0 the same vector
+    vectors = cut(vectors.withColumn("v", F.when(F.col("ok"), F.transform("v", lambda c: c + F.lit(0.0).cast(kind)))))
     distinct = cut(vectors.where("ok").groupBy("v").agg(F.min("id").alias("vid"), F.count("*").alias("copies")).where("vid is not null"))
     found = None
     for r in distinct.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect():  # one for each length of vector
@@ -164,27 +169,70 @@ def link_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return joined.select(F.col("id").alias(id_col), F.coalesce(F.col("links") + F.col("copies") - 1, F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
 
 
+def _turns(dim: int, bits: int, tables: int) -> np.ndarray:
+    return rotations(dim, math.ceil(max(bits * tables, CODE_BITS) / dim))
+
+
+def _most_apart(length: int, threshold: float) -> float:
+    """Bits in which the codes of a pair at the threshold differ at most, within the bound."""
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    return length * p + BOUND * math.sqrt(length * p * (1 - p)) + 1
+
+
+def _likely(threshold: float):
+    """The vectors of two blocks whose code comes close enough to another's."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in range(batch.num_rows):
+                left = batch.column(1)[r].values
+                right = batch.column(2)[r].values if batch.column(2)[r].is_valid else left
+                ids, codes = zip(*((np.asarray(s.field("vid")), np.frombuffer(b"".join(s.field("code").to_pylist()), np.uint8).reshape(len(s), -1)) for s in (left, right)), strict=True)
+                apart = np.zeros((len(ids[0]), len(ids[1])), np.uint16)
+                for a, b in zip(*(np.ascontiguousarray(c).view(np.uint64).T for c in codes), strict=True):
+                    apart += np.bitwise_count(a[:, None] ^ b[None, :])
+                near = apart <= _most_apart(codes[0].shape[1] * 8, threshold)
+                if right is left:
+                    np.fill_diagonal(near, False)
+                out += [ids[0][near.any(axis=1)], ids[1][near.any(axis=0)]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.zeros(0, np.int64), *out])), pa.int64())], ["vid"])
+
+    return find
+
+
+def _block_pairs(keys: DataFrame, entry: list[str], block: int, extra: DataFrame | None = None) -> DataFrame:
+    """(t, left, right) of each pair of blocks of a bucket of (vid, t, key); right is null for a block by itself.
+
+    A vector's block is its hash's, so blocks come out about even and none needs more rows than two blocks hold.
+    extra has further columns of the entries by vid.
+    """
+    sizes = cut(keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    placed = keys.join(sizes, ["t", "key"]).withColumn("blk", F.pmod(F.xxhash64("vid", "t"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")})
+    met = met.join(extra, "vid") if extra is not None else met
+    own = F.struct(*entry)
+    groups = met.groupBy("t", "key", "i", "j").agg(F.collect_list(F.when(F.col("blk") == F.col("i"), own)).alias("left"), F.collect_list(F.when(F.col("blk") != F.col("i"), own)).alias("right"))
+    return groups.select(F.col("t").cast("int").alias("t"), "left", F.when(F.col("i") != F.col("j"), F.col("right")).alias("right"))
+
+
 def _pairs(distinct: DataFrame, dim: int, n: int, threshold: float, block: int, miss: float) -> DataFrame:
     bits, tables = plan(n, threshold, miss)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotations(dim, math.ceil(bits * tables / dim))
+        turn = _turns(dim, bits, tables)
+        whole = len(turn) // 64 * 64
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 x = unit(np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(-1, dim))
-                keys = table_keys(x, turn, bits, tables)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(keys), pa.list_(pa.int64()))], ["vid", "keys"])
-
-    keys = distinct.select("vid", "v").mapInArrow(deal, "vid long, keys array<long>").select("vid", F.posexplode("keys").alias("t", "key"))
-    sizes = cut(keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
-    # each vector's place is its hash's, so blocks come out about even; a block pair holds two blocks
-    own = F.pmod(F.xxhash64("vid", "t"), F.col("blocks")).cast("int")
-    placed = keys.join(sizes, ["t", "key"]).withColumn("blk", own)
-    least, most = F.least("blk", "other"), F.greatest("blk", "other")
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("vid", "t", "key", "blk", least.alias("i"), most.alias("j"))
-    full = met.join(distinct.select("vid", "v", "copies"), "vid")
-    entry = F.struct("vid", "copies", "v")
-    groups = full.groupBy("t", "key", "i", "j").agg(F.collect_list(F.when(F.col("blk") == F.col("i"), entry)).alias("left"), F.collect_list(F.when(F.col("blk") != F.col("i"), entry)).alias("right"))
-    groups = groups.select(F.col("t").cast("int").alias("t"), "left", F.when(F.col("i") != F.col("j"), F.col("right")).alias("right"))
-    return groups.mapInArrow(_compare(dim, bits, tables, threshold), "a long, links long, b long")
+                code = np.packbits((x @ turn.T > 0)[:, :whole], axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(table_keys(x, turn, bits, tables)), pa.list_(pa.int64())), pa.array([c.tobytes() for c in code], pa.binary())], ["vid", "keys", "code"])
+
+    coded = cut(distinct.select("vid", "v").mapInArrow(deal, "vid long, keys array<long>, code binary"))
+    keys = coded.select("vid", "code", F.posexplode("keys").alias("t", "key"))
+    likely = cut(_block_pairs(keys, ["vid", "code"], block).mapInArrow(_likely(threshold), "vid long").distinct())
+    again = coded.join(likely, "vid").select("vid", F.posexplode("keys").alias("t", "key"))
+    full = distinct.join(likely, "vid").select("vid", "copies", "v")
+    return _block_pairs(again, ["vid", "copies", "v"], block, full).mapInArrow(_compare(dim, bits, tables, threshold), "a long, links long, b long")
