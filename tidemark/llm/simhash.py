@@ -126,5 +126,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = distinct.join(roots, "fp")
     least = linked.groupBy("component").agg(F.min("least").alias("least"))
     of_linked = roots.join(least, "component").select("fp", F.col("least").alias("lower"))
-    ids = distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("lower", "least").alias("component_id"))
+    # a table of its own, so that the last join has two plain shuffled sides and Spark can split a hot fingerprint
+    ids = cut(distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("lower", "least").alias("component_id")))
     return rows.join(ids, "fp", "left").select(F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
