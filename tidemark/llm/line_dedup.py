@@ -128,7 +128,8 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shorter = met.where("pos < 0").join(parts, ["key", "check"]).where("part < first").select("line")
     near = replaced.union(longer).union(shorter).distinct().withColumn("near", F.lit(True))
 
-    decided = firsts.select("line", "first", "n").join(near, "line", "left").where("n > 1 or near")
+    # a table of its own, so that the next join has two plain shuffled sides and Spark can split a hot line
+    decided = stored(firsts.select("line", "first", "n").join(near, "line", "left").where("n > 1 or near").select("line", "first", "near"))
     gone = lines.select("line", "id", "rk", "at").join(decided, "line").where(F.coalesce("near", F.lit(False)) | (F.col("first") < place))
     return gone.groupBy("rk").agg(F.collect_set("at").alias("dropped"))
 
