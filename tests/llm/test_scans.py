@@ -124,6 +124,7 @@ HTML = [
     ("<html><body><nav><a href=1>Home</a></nav><article><h1>Title</h1><p>One &amp; two,\n three.<p>Four <b>bold</b>.</article><footer>f</footer></body></html>", "Title\nOne & two, three.\nFour bold."),
     ("<body><div id=menu><a href=1>Home</a><a href=2>About us</a></div><div class='content'><h1>Title here</h1><div>First long paragraph of the text, with <a href=x>a link</a> inside.</div><div>Second paragraph, also long enough to count.</div></div></body>", "Title here\nFirst long paragraph of the text, with a link inside.\nSecond paragraph, also long enough to count."),
     ("<main><header><h1>T</h1></header><p>Hello world.</p><section id='comments'><p>A reader says very much here.</p></section><div class='cookie-notice'>Accept?</div><form>Name <input></form></main>", "T\nHello world."),
+    ("<div id='header'>Site</div><div id='content'><p>One long enough line of text.</p><p>Another long enough line.</p></div><div class='sidebar-right'>s</div>", "One long enough line of text.\nAnother long enough line."),
     ("plain text &lt;here&gt;", "plain text <here>"),
     ("<script>var a = '<p>x</p>'</script><style>p{}</style><!-- c --><p hidden>h</p>", ""),
     ("<article><p>Cut off in the mid", "Cut off in the mid"),

@@ -56,8 +56,9 @@ def _marked(tag: str, attributes: str, inside_content: bool) -> bool:
         return True
     if tag in CONTENT:
         return False
-    names = NAME_PARTS.split(f"{found.get('class', '')} {found.get('id', '')}")
-    return any(x.lower() in MARKS for x in names)
+    names = {x.lower() for x in NAME_PARTS.split(f"{found.get('class', '')} {found.get('id', '')}")}
+    # a block named header holds the site's name, unless it is part of the article
+    return bool(names & MARKS) or not inside_content and tag in ("div", "section") and "header" in names
 
 
 def parse(html: str) -> Node:
