@@ -31,7 +31,7 @@ THRESHOLD = 0.9
 #: Chance that a pair just at the threshold meets in no table.
 MISS = 0.002
 #: Vectors to a block; vectors to a bucket that the number of bits aims at.
-BLOCK, BUCKET = 512, 64
+BLOCK, BUCKET = 256, 64
 #: Standard errors in the bound of an estimate; bits to a code at least.
 BOUND = 5.0
 CODE_BITS = 256
@@ -100,11 +100,7 @@ def _compare(dim: int, bits: int, tables: int, threshold: float):
                 i, j = _links(x, y, tx, ty, threshold)
                 if right is None:
                     i, j = i[i < j], j[i < j]
-                if t:
-                    new = ~(kx[i] == ky[j]).any(axis=1)
-                    first = new
-                else:
-                    first = np.ones(len(i), bool)
+                first = ~(kx[i] == ky[j]).any(axis=1)  # true for all in the first table, which has no keys before it
                 i, j = i[first], j[first]
                 count: dict[int, int] = {}
                 edges: dict[int, int] = {}
