@@ -16,7 +16,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; n_chars follows the text. A document that loses all its words goes."""
-    found = line_dedup.dedup_lines(docs)
+    found = line_dedup.dedup_lines(docs, min_words=line_dedup.LEAST_WORDS)
     left = found.where((F.col("n_dropped") == 0) | F.col("text").rlike(mixing.WORD))
     size = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     return left.withColumn("n_chars", size).select(docs.columns)

@@ -1,6 +1,6 @@
 """Line de-duplication by a deletion-neighbourhood join.
 
-A line is its words: runs without ASCII white space, A-Z lower-cased. Two lines of at least MIN_WORDS words are near
+A line is its words: runs without ASCII white space, A-Z lower-cased. Two lines of at least min_words words are near
 if one word inserted, deleted or replaced turns one into the other; shorter lines are the same only if equal. A line
 place is dropped if an earlier place holds the same line, or if the earliest place of a near line is before the
 earliest place of its own line. Earlier means the smaller (id, row key, line number), null ids first.
@@ -8,8 +8,9 @@ earliest place of its own line. Earlier means the smaller (id, row key, line num
 Lines emit every variant with one word deleted, as a 128-bit key with the deleted position, and themselves undeleted.
 Same variant, same position: they differ by one replaced word. Undeleted line equal to a variant: by one inserted
 word. Nothing else is within one edit, so position and variant verify the distance, and the earliest per key is an
-aggregate: no pairs are listed. Only lines that share their first or their last EDGE words with another line can have
-a near one (one edit leaves one of the two ends alone), so only those emit variants.
+aggregate: no pairs are listed. Only lines that share their first or their last words with another line can have a near
+one (one edit leaves one of the two ends alone), so only those emit variants. Ends are a quarter to a half of the
+shorter line, in steps (edge_words), so few other lines pass.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ from pyspark.sql import types as T
 
 from .common import LOWER, POWERS, SPACE, mix, range_sums, slices, stored, text_or_empty, word_bounds, word_hashes
 
-EDGE = 5
-#: 2 * EDGE + 2, so that one edit leaves the first or the last EDGE words of both lines as they are.
+#: Words of an end of the shortest lines, and of those of 2 * EDGE words; from there on they double with the line.
+SHORT_EDGE, EDGE = 3, 5
 MIN_WORDS = 12
+#: The least min_words that SHORT_EDGE allows; the query and the pipeline compare all lines from this size on.
+LEAST_WORDS = 2 * SHORT_EDGE
+ENDS = ("head", "tail", "low_head", "low_tail")
 #: Names of columns of its own beside those of docs.
 ROW, GONE, LINES = "__tidemark_row", "__tidemark_gone", "__tidemark_lines"
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -46,8 +50,21 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return words, text[first], line[first] - np.searchsorted(breaks, offsets[text[first]]), first, last
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, rk, at, line, head, tail): the lines with words of every text; head and tail are null for short lines."""
+def edge_words(n: np.ndarray) -> np.ndarray:
+    """Words of the ends that two near lines are compared by, of which the shorter has n (LEAST_WORDS or more).
+
+    At most n / 2: one edit then leaves the first or the last of them alone in both lines.
+    """
+    steps = np.frexp(np.maximum(n // (2 * EDGE), 1))[1] - 1
+    return np.where(n < 2 * EDGE, SHORT_EDGE, EDGE << steps.astype(np.int64))
+
+
+def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, rk, at, line, *ENDS): the lines with words of every text.
+
+    Ends are null for lines under min_words. A line can be the longer or the shorter of two near ones, so where a line
+    of one word less has shorter ends, low_head and low_tail are those; elsewhere they are null.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,19 +72,21 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 words, text, at, first, last = _lines(data, offsets)
                 n = last - first
                 line = mix(range_sums(words, first, last) + n.astype(np.uint64)).view(np.int64)
-                long = n >= MIN_WORDS
-                edge = np.minimum(n, EDGE)
-                head = mix(range_sums(words, first, first + edge)).view(np.int64)
-                tail = mix(range_sums(words, last - edge, last) ^ _ODD).view(np.int64)
+                ends = []
+                own, low = edge_words(n), edge_words(n - 1)
+                for edge, asked in ((own, n >= min_words), (low, (n > min_words) & (low < own))):
+                    size = np.minimum(n, edge)
+                    head, tail = range_sums(words, first, first + size), range_sums(words, last - size, last) ^ _ODD
+                    ends += [pa.array(mix(x).view(np.int64), mask=~asked) for x in (head, tail)]
                 take = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(line), pa.array(head, mask=~long), pa.array(tail, mask=~long)],
-                    ["id", "rk", "at", "line", "head", "tail"],
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(line), *ends],
+                    ["id", "rk", "at", "line", *ENDS],
                 )
 
     rows = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("rk"), text_or_empty(text_col).alias("text"))
     long, integer = T.LongType(), T.IntegerType()
-    out = [("id", rows.schema["id"].dataType), ("rk", long), ("at", integer), ("line", long), ("head", long), ("tail", long)]
+    out = [("id", rows.schema["id"].dataType), ("rk", long), ("at", integer), ("line", long), *((x, long) for x in ENDS)]
     return rows.mapInArrow(make, T.StructType([T.StructField(*x) for x in out]))
 
 
@@ -103,15 +122,17 @@ def _shift(by: np.ndarray) -> np.ndarray:
     return POWERS.to(int(by.max(initial=0)) + 1)[0][by]
 
 
-def dropped_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(rk, dropped): for each row that loses lines, the numbers of those lines."""
-    lines = stored(line_table(docs, id_col, text_col))
+    if min_words < LEAST_WORDS:
+        raise ValueError(f"min_words must be {LEAST_WORDS} at least")
+    lines = stored(line_table(docs, id_col, text_col, min_words))
     place = F.struct("id", "rk", "at")
-    firsts = lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("head").alias("head"), F.first("tail").alias("tail"))
+    firsts = lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
 
-    ends = lines.where("head is not null").select("line", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("head").alias("value")), F.struct(F.lit(1).alias("end"), F.col("tail").alias("value")))).alias("e")).select("line", "e.end", "e.value")
-    shared = ends.groupBy("end", "value").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("end", "value")
-    gated = ends.join(shared, ["end", "value"], "left_semi").select("line").distinct()
+    ends = lines.where("head is not null").select("line", F.explode(F.array_compact(F.array(*ENDS))).alias("value"))
+    shared = ends.groupBy("value").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("value")
+    gated = ends.join(shared, "value", "left_semi").select("line").distinct()
 
     asked = firsts.select("line", "first").join(gated, "line", "left_semi").groupBy(F.col("first.rk").alias("rk")).agg(F.collect_list("first.at").alias("asked"))
     # the lines of one text are named together, so this list is as long as a text at most
@@ -134,16 +155,18 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return gone.groupBy("rk").agg(F.collect_set("at").alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs, their text without dropped lines, and n_lines and n_dropped.
 
+    Lines of min_words words or more also go for an earlier line that is one word edit away; LEAST_WORDS is the least.
+
     Kept lines stay as they are and in order, joined by newlines; lines without words are never dropped. A null text
     stays null with no lines. Rows of the same id and text are one document: they keep and lose the same lines and do
     not drop each other's. An empty table gives an empty table. All other columns pass through; a column of docs named
     n_lines or n_dropped is replaced.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    gone = dropped_lines(docs, id_col, text_col).select(F.col("rk").alias(ROW), F.col("dropped").alias(GONE))
+    gone = dropped_lines(docs, id_col, text_col, min_words).select(F.col("rk").alias(ROW), F.col("dropped").alias(GONE))
     joined = docs.select(*names, _row_key(id_col, text_col).alias(ROW)).join(gone, ROW, "left").withColumn(LINES, F.split(F.col(text_col).cast("string"), "\n", -1))
     # the numbers that stay come from a hash set difference, so long texts take time in proportion to their lines
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(LINES) - 1), F.col(GONE)), lambda i: F.col(LINES)[i])

@@ -44,7 +44,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=line_dedup.LEAST_WORDS)
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
