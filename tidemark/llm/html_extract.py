@@ -32,39 +32,79 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Words of class names and ids that mark what is not the article. Fixed values.
 MARKS = frozenset("ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion promoted banner sidebar side rail widget widgets menu menubar nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar masthead skip hidden copyright disclaimer".split())
 NAME_PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: has-sidebar, content-with-comments, no-ads: such a name tells the layout of what holds the article.
+LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no)(?:[-_]|(?=[A-Z]))\S*")
+#: Marks of what readers write: it can be longer than the article.
+READERS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 CONTENT = frozenset(["article", "main", "body", "html"])
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "inner", "own", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("tag", "parent", "children", "dropped", "inner", "own", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "marks")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
-        self.tag, self.parent, self.dropped, self.children = tag, parent, dropped, []
+        self.tag, self.parent, self.dropped, self.children, self.marks = tag, parent, dropped, [], frozenset()
 
 
-def _marked(tag: str, attributes: str, inside_content: bool) -> bool:
+def _marked(tag: str, attributes: str, inside_content: bool) -> tuple[bool, frozenset]:
+    """Whether an element is never content, and else the names that mark it as such."""
+    none = frozenset()
     if tag in DROPPED or tag == "header" and not inside_content:
-        return True
+        return True, none
     if not attributes or attributes == "/":
-        return False
+        return False, none
     found = {}
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), a or b or c)
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES:
-        return True
+        return True, none
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        return True
+        return True, none
     if tag in CONTENT:
-        return False
-    names = {x.lower() for x in NAME_PARTS.split(f"{found.get('class', '')} {found.get('id', '')}")}
+        return False, none
+    names = {x.lower() for x in NAME_PARTS.split(LAYOUT.sub("", f"{found.get('class', '')} {found.get('id', '')}"))}
     # a block named header holds the site's name, unless it is part of the article
-    return bool(names & MARKS) or not inside_content and tag in ("div", "section") and "header" in names
+    return False, MARKS & names | ({"header"} & names if not inside_content and tag in ("div", "section") else none)
+
+
+def _drop_marked(root: Node) -> None:
+    """Drops the elements that their names mark, but not those that hold the article in spite of them.
+
+    Such an element holds an article or main and more characters outside links than the articles outside marked
+    elements; or, on a page without such articles, over half of the page's. One named for what readers write is kept
+    only if there is no other article, or nothing else.
+    """
+    order = _walk(root)
+    plain: dict[Node, int] = {}
+    holds: dict[Node, bool] = {}
+    for n in reversed(order):
+        below = [x for x in n.children if isinstance(x, Node) and not x.dropped]
+        own = sum(_length(x) for x in n.children if isinstance(x, str))
+        plain[n] = 0 if n.tag == "a" else own + sum(plain[x] for x in below)
+        holds[n] = any(holds[x] or x.tag in ("article", "main") and plain[x] > 0 for x in below)
+    # characters outside marked elements: of the page and of its articles
+    page = articles = 0
+    todo = [(root, False)]
+    while todo:
+        n, inside = todo.pop()
+        if n.marks or n.tag == "a":
+            continue
+        inside = inside or n.tag in ("article", "main")
+        own = sum(_length(x) for x in n.children if isinstance(x, str))
+        page, articles = page + own, articles + own * inside
+        todo += [(x, inside) for x in n.children if isinstance(x, Node) and not x.dropped]
+    for n in order:
+        if n.parent is not None and n.parent.dropped:
+            n.dropped = True
+        elif n.marks:
+            kept = holds[n] and not articles or not page if n.marks & READERS else plain[n] > articles if holds[n] else not articles and 2 * plain[n] > plain[root]
+            n.dropped = not (kept and plain[n])
 
 
 def parse(html: str) -> Node:
     """The tree below a root; texts are strings among the children. Open tags at the end are closed there."""
     root = node = Node("#root", None, False)
-    at, inside = 0, 0
+    at, inside, marked = 0, 0, False
     end = len(html)
     while at < end:
         m = TOKEN.search(html, at)
@@ -117,7 +157,10 @@ def parse(html: str) -> Node:
                 if up.tag in kinds:
                     last = up
             node = last.parent if last is not None else node
-        new = Node(tag, node, node.dropped or _marked(tag, m[4], inside > 0))
+        never, marks = (True, frozenset()) if node.dropped else _marked(tag, m[4], inside > 0)
+        new = Node(tag, node, never)
+        new.marks = marks
+        marked = marked or bool(marks)
         node.children.append(new)
         if tag in VOID or m[4].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -127,6 +170,8 @@ def parse(html: str) -> Node:
             continue
         inside += tag in ("article", "main")
         node = new
+    if marked:
+        _drop_marked(root)
     return root
 
 
