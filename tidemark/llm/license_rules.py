@@ -1,8 +1,9 @@
 """Signature rules of the license scan.
 
 Each line of RULES: label, priority, keyword, regular expression. Priorities: 90 identifiers, 80 full names with a
-version, 60 names, 50 grants and conditions, 30 mentions. A rule is only tried on texts that contain its keyword in
-lower case. Expressions ignore ASCII case; a blank stands for any run of characters other than letters and digits.
+version, 60 names, 50 grants and conditions, 30 mentions. A rule is only tried on texts that contain its keyword, in
+lower case and with one blank for each run of other characters; every match of a rule contains it, but for asl 2, which
+is only meant beside the name. Expressions ignore ASCII case; a blank stands for any run of characters other than letters and digits.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from itertools import product
 
 #: Every keyword contains one of these, so texts without any need no rule.
-ROOTS = ("licen", "copyright", "spdx", "public domain", "gpl", "apache", "creative", "cc by", "cc-by", "cc0", "mozilla", "permission", "redistribut", "warrant", "without restriction", "endorse", "rights reserved", "copyleft")
+ROOTS = ("licen", "copyright", "spdx", "public domain", "gpl", "gfdl", "apache", "creative", "cc by", "cc0", "mozilla", "permission", "redistribut", "warrant", "without restriction", "endorse", "rights reserved", "copyleft", "mit no attribution", "clause bsd", "advertising", "classpath", "gcc runtime", "copy of the gnu", "rail", "datenlizenz")
 
 RULES = r"""
 mit | 80 | license | \bthe mit license\b
@@ -21,19 +22,19 @@ mit | 60 | license | \bx11 licen[cs]e\b
 mit | 90 | spdx | \bspdx license identifier mit\b
 mit | 50 | permission | \bpermission is hereby granted free of charge to any person obtaining a copy\b
 mit | 50 | without restriction | \bdeal in the software without restriction\b
-mit-0 | 80 | license | \bmit no attribution(?: licen[cs]e)?\b
+mit-0 | 80 | mit no attribution | \bmit no attribution(?: licen[cs]e)?\b
 isc | 80 | license | \bisc licen[cs]ed?\b
 isc | 50 | permission | \bpermission to use copy modify and or distribute this software for any purpose\b
-0bsd | 80 | license | \bzero clause bsd(?: licen[cs]e)?\b
+0bsd | 80 | clause bsd | \bzero clause bsd(?: licen[cs]e)?\b
 0bsd | 80 | license | \b0bsd licen[cs]e\b
-bsd-2-clause | 80 | license | \b(?:2|two) clause bsd(?: licen[cs]e)?\b
+bsd-2-clause | 80 | clause bsd | \b(?:2|two) clause bsd(?: licen[cs]e)?\b
 bsd-2-clause | 80 | license | \bsimplified bsd licen[cs]e\b
 bsd-2-clause | 80 | license | \bfreebsd licen[cs]e\b
-bsd-3-clause | 80 | license | \b(?:3|three) clause bsd(?: licen[cs]e)?\b
+bsd-3-clause | 80 | clause bsd | \b(?:3|three) clause bsd(?: licen[cs]e)?\b
 bsd-3-clause | 80 | license | \b(?:new|revised|modified) bsd licen[cs]e\b
 bsd-3-clause | 50 | endorse | \bneither the name of .{1,80}? nor the names of its contributors may be used to endorse\b
-bsd-4-clause | 80 | license | \b(?:4|four) clause bsd(?: licen[cs]e)?\b
-bsd-4-clause | 50 | copyright | \ball advertising materials mentioning features or use of this software\b
+bsd-4-clause | 80 | clause bsd | \b(?:4|four) clause bsd(?: licen[cs]e)?\b
+bsd-4-clause | 50 | advertising | \ball advertising materials mentioning features or use of this software\b
 bsd | 60 | license | \bbsd(?: style)? licen[cs]ed?\b
 bsd | 50 | redistribut | \bredistribution and use in source and binary forms with or without modification are permitted\b
 apache-2 | 90 | spdx | \bspdx license identifier apache 2 0\b
@@ -53,10 +54,10 @@ lgpl | 60 | gpl | \bgnu lgpl\b
 agpl | 60 | license | \b(?:gnu )?affero general public licen[cs]e\b
 agpl | 60 | gpl | \bgnu agpl\b
 gfdl | 60 | license | \bgnu free documentation licen[cs]e\b
-gpl-exception | 60 | license | \bclasspath exception\b
-gpl-exception | 60 | license | \bgcc runtime library exception\b
+gpl-exception | 60 | classpath | \bclasspath exception\b
+gpl-exception | 60 | gcc runtime | \bgcc runtime library exception\b
 gpl | 50 | redistribut | \byou can redistribute it and or modify it under the terms of the gnu\b
-gpl | 50 | license | \byou should have received a copy of the gnu\b
+gpl | 50 | copy of the gnu | \byou should have received a copy of the gnu\b
 mpl-2.0 | 80 | mozilla | \bmozilla public licen[cs]e (?:version |v)?2(?: 0)?\b
 mpl-1.1 | 80 | mozilla | \bmozilla public licen[cs]e (?:version |v)?1 1\b
 mpl-1.0 | 80 | mozilla | \bmozilla public licen[cs]e (?:version |v)?1 0\b
@@ -117,9 +118,9 @@ odc-by | 60 | license | \bopen data commons attribution licen[cs]e\b
 pddl | 60 | license | \bpublic domain dedication and licen[cs]e\b
 ogl-uk-3.0 | 60 | license | \bopen government licen[cs]e\b
 etalab-2.0 | 60 | licen | \blicence ouverte\b
-dl-de-by | 60 | licen | \bdatenlizenz deutschland\b
+dl-de-by | 60 | datenlizenz | \bdatenlizenz deutschland\b
 cdla | 60 | license | \bcommunity data licen[cs]e agreement\b
-openrail | 60 | licen | \bopen ?rail(?: m)?(?: licen[cs]e)?\b
+openrail | 60 | rail | \bopen ?rail(?: m)?(?: licen[cs]e)?\b
 llama | 60 | license | \bllama \d(?: \d)? community licen[cs]e\b
 cc0-1.0 | 80 | cc0 | \bcc0(?: 1 0)?(?: universal)?\b
 cc0-1.0 | 80 | creative | \bcreative commons zero\b
@@ -151,18 +152,16 @@ def _families() -> list[tuple[str, int, str, str]]:
     out = []
     for elements, version in product(("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd"), ("1 0", "2 0", "2 5", "3 0", "4 0")):
         label = f"cc-{elements.replace(' ', '-')}"
-        for keyword in ("cc by", "cc-by"):
-            out.append((f"{label}-{version.replace(' ', '.')}", 80, keyword, rf"\bcc {elements} {version}\b"))
+        out.append((f"{label}-{version.replace(' ', '.')}", 80, "cc by", rf"\bcc {elements} {version}\b"))
     for elements in ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd"):
-        for keyword in ("cc by", "cc-by"):
-            out.append((f"cc-{elements.replace(' ', '-')}", 50 + len(elements), keyword, rf"\bcc {elements}\b"))
+        out.append((f"cc-{elements.replace(' ', '-')}", 50 + len(elements), "cc by", rf"\bcc {elements}\b"))
     for (short, name), version in product((("gpl", "general public"), ("lgpl", "(?:lesser|library) general public"), ("agpl", "affero general public"), ("gfdl", "free documentation")), ("1", "2", "2 1", "3")):
         label = f"{short}-{version.replace(' ', '.')}"
         out.append((f"{label}-or-later", 85, "licen", rf"\b(?:gnu )?{name} licen[cs]e (?:version |v){version}(?: 0)? or (?:any )?later\b"))
         out.append((label, 80, "licen", rf"\b(?:gnu )?{name} licen[cs]e (?:version |v)?{version}(?: 0)?\b"))
         out.append((label, 90, "spdx", rf"\bspdx license identifier {short} {version}(?: 0)?(?: only)?\b"))
         out.append((f"{label}-or-later", 92, "spdx", rf"\bspdx license identifier {short} {version}(?: 0)? or later\b"))
-        out.append((label, 70, "gpl" if short != "gfdl" else "licen", rf"\b{short} ?v?{version}(?: 0)?\b"))
+        out.append((label, 70, "gpl" if short != "gfdl" else "gfdl", rf"\b{short} ?v?{version}(?: 0)?\b"))
     return out
 
 

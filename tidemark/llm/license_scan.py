@@ -41,18 +41,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     texts count as empty; empty texts have no words and no labels. Ties in priority and place keep all their labels.
     Repeated rows are each returned; an empty table gives an empty table. Other columns are not read.
     """
-    text, low = F.col("__text"), F.col("__low")
+    text, low, flat = F.col("__text"), F.col("__low"), F.col("__flat")
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).withColumn("__low", F.lower("__text"))
+    # what the rules see: letters and digits, one blank for what stands between them
+    rows = rows.withColumn("__flat", F.lower(F.regexp_replace("__text", "[^A-Za-z0-9]+", " ")))
 
     base_gate = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.contains(low, F.lit(w)) for w in phrase.split())) for _, phrase in PHRASES))
     base = _flat([matches(text, F.lit(phrase_regex(phrase)), {"label": F.lit(label)}) for label, phrase in PHRASES])
     rules = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(keyword).alias("keyword"), F.lit(regex).alias("regex")) for label, priority, keyword, regex in signatures()))
-    tried = F.filter(rules, lambda r: F.contains(low, r["keyword"]))
+    tried = F.filter(rules, lambda r: F.contains(flat, r["keyword"]))
     places = F.flatten(F.transform(tried, lambda r: F.transform(matches(text, r["regex"]), lambda m: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), m["s"].alias("s"), m["e"].alias("e")))))
 
     found = rows.select(
         "__id", "__text", F.regexp_count("__text", F.lit(f"{WORD}+")).cast("long").alias("n_words"),
-        F.when(base_gate, base).alias("base"), F.when(_gate(low, ROOTS), places).alias("places"),
+        F.when(base_gate, base).alias("base"), F.when(_gate(flat, ROOTS), places).alias("places"),
     )
     found = found.withColumn("places", F.array_distinct("places"))
 
