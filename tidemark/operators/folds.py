@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from ..functions import text as X
+
 
 def anchor_dedupe(rows: DataFrame, key: list[str], at: str, tie: str, seconds: int = 86_400) -> DataFrame:
     """Rows of each key in time order, without those within `seconds` of the last row kept.
@@ -97,24 +99,43 @@ def _blocks(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
     return state.groupBy("article").agg(F.min("block").alias("block"))
 
 
-def board_dedupe(signals: DataFrame, key: list[str], order: list[str], title: str, amounts: str, least: float = 90.0) -> DataFrame:
-    """Rows in board order, without those like a row kept before: same key, compatible amounts, and titles alike."""
+def board_dedupe(signals: DataFrame, key: list[str], order: list[str], title: str, amounts: str, least: float = 90.0, kind: str | None = None) -> DataFrame:
+    """Rows in board order, without those of the same key and family as a row kept before.
+
+    A family: report and summary of one period; all of the kind buyback_or_increase; equal normalised titles with
+    compatible amounts, for the kind approval with any; and alike normalised titles with compatible amounts. Empty
+    titles match nothing. kind names the column of the event type.
+    """
     schema = signals.schema
+    rows = signals.withColumns({
+        "__title": F.coalesce(F.col(title), F.lit("")), "__normal": F.coalesce(X.normalize_title(F.col(title)), F.lit("")),
+        "__period": F.coalesce(X.report_period(F.col(title)), F.lit("")), "__kind": F.coalesce(F.col(kind), F.lit("")) if kind else F.lit(""),
+    })
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
         pdf = pdf.sort_values(order).reset_index(drop=True)
-        for i, r in pdf.iterrows():
-            own = set(r[amounts] if r[amounts] is not None else ())
-            for k in kept:
-                other = set(pdf.at[k, amounts] if pdf.at[k, amounts] is not None else ())
-                if (not own or not other or own == other) and indel_ratio(r[title] or "", pdf.at[k, title] or "") >= least:
-                    break
-            else:
+        own = [set(x if x is not None else ()) for x in pdf[amounts]]
+        said, normal, period, kinds = (pdf[c].tolist() for c in ("__title", "__normal", "__period", "__kind"))
+
+        def same(i: int, k: int) -> bool:
+            if period[i] and period[i] == period[k] and "报告" in said[i] and "报告" in said[k] and ("摘要" in said[i] or "摘要" in said[k]):
+                return True
+            both = kinds[i] if kinds[i] == kinds[k] else ""
+            if both == "buyback_or_increase":
+                return True
+            if not normal[i] or not normal[k]:
+                return False
+            if normal[i] == normal[k] and both == "approval":
+                return True
+            return (not own[i] or not own[k] or own[i] == own[k]) and indel_ratio(normal[i], normal[k]) >= least
+
+        kept: list[int] = []
+        for i in range(len(pdf)):
+            if not any(same(i, k) for k in kept):
                 kept.append(i)
-        return pdf.loc[kept]
+        return pdf.loc[kept, schema.names]
 
-    return signals.groupBy(*key).applyInPandas(fold, schema)
+    return rows.groupBy(*key).applyInPandas(fold, schema)
 
 
 def survivor(clusters: DataFrame, group: str, n: str, first_seen: str, cluster: str) -> DataFrame:

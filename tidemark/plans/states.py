@@ -41,7 +41,7 @@ def cluster_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def board_family_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_brand", "p_type", "p_retailprice", "p_partkey", "p_name", F.array(F.col("p_size").cast("string")).alias("amounts")).withColumn("points", -F.col("p_retailprice"))
-    return folds.board_dedupe(part, ["p_brand", "p_type"], ["points", "p_partkey"], "p_name", "amounts").select("p_partkey")
+    return folds.board_dedupe(part, ["p_brand", "p_type"], ["points", "p_partkey"], "p_name", "amounts", kind="p_type").select("p_partkey")
 
 
 @query("""SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS pending, min(o_orderdate) FILTER (o_orderstatus = 'O') AS oldest_pending FROM orders GROUP BY 1""")
