@@ -84,19 +84,33 @@ def leader_clusters(articles: DataFrame, seconds: int = 21_600, least: float = 9
 
 
 def _blocks(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(article, block): articles joined by shared codes, by spreading the smallest code; each round is checkpointed."""
+    """(article, block): articles joined by shared codes; the block is the smallest code reachable.
+
+    Alternating large and small stars over the codes, so that rounds grow with the logarithm of a chain's length; each
+    round is checkpointed.
+    """
     from ..plans.session import cut
 
-    state = cut(pairs.withColumn("block", F.col("code").cast("string")))
+    pairs = pairs.select("article", F.col("code").cast("string").alias("code")).where("code is not null")
+    lows = pairs.groupBy("article").agg(F.min("code").alias("low"))
+    now = cut(pairs.join(lows, "article").where("code <> low").select(F.col("code").alias("u"), F.col("low").alias("v")).distinct())
+    signature = lambda edges: tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = signature(now)
     for _ in range(most_rounds):
-        by_article = state.groupBy("article").agg(F.min("block").alias("low"))
-        spread = state.join(by_article, "article").groupBy("code").agg(F.min("low").alias("low"))
-        new = cut(state.join(spread, "code").select("article", "code", F.least("block", "low").alias("block")))
-        changed = new.join(state.withColumnRenamed("block", "old"), ["article", "code"]).where("block <> old").limit(1).count()
-        state = new
-        if not changed:
+        if not before[0]:
+            break
+        both = now.union(now.select(F.col("v"), F.col("u")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        now = cut(large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
+        after = signature(now)
+        if after == before:
             break
-    return state.groupBy("article").agg(F.min("block").alias("block"))
+        before = after
+    else:
+        raise RuntimeError("blocks did not settle")
+    return lows.join(now.withColumnRenamed("u", "low"), "low", "left").select("article", F.coalesce("v", "low").alias("block"))
 
 
 def board_dedupe(signals: DataFrame, key: list[str], order: list[str], title: str, amounts: str, least: float = 90.0, kind: str | None = None) -> DataFrame:
