@@ -54,7 +54,7 @@ def near_lines(a, b):
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
-def dedup_lines(rows, least=12):
+def dedup_lines(rows, least=6):
     """{(doc_id, text): new text}; rows of the same id and text are one."""
     rows = sorted({(i, t) for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     first, places = {}, []

@@ -41,7 +41,7 @@ def test_words_and_shingles_of_batches(texts, limit):
 def test_lines_are_numbered_within_their_text(texts):
     raw = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    _, text, at, first, last = _lines(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    *_, text, at, first, last = _lines(np.frombuffer(b"".join(raw), np.uint8), offsets)
     got = [(int(t), int(a), int(n)) for t, a, n in zip(text, at, last - first, strict=True)]
     assert got == [(i, k, len(brute.words(x))) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if brute.words(x)]
 

@@ -22,8 +22,7 @@ LOWER[0x41:0x5B] += 32
 
 #: Bytes of text worked on at a time: arrays of a word's width then stay within a core's cache.
 SLICE_BYTES = 1 << 18
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -107,39 +106,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown as needed."""
+def placed(values: np.ndarray, at: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A hash of each value at its place. Sums of these tell apart the same values in another order."""
+    return mix(values ^ mix((at.astype(np.uint64) + np.uint64(1)) * _STEP + np.uint64(salt)))
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            for name, base in (("up", _BASE), ("down", _BASE_INV)):
-                x = np.full(n, base, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x, dtype=np.uint64))
-        return self.up, self.down
+def totals(values: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, 2 and so on values, modulo 2**64."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=out[1:])
+    return out
 
 
-POWERS = Powers()
-
-
-def range_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Position-free polynomial sums of values[start:end] for each range."""
-    up, down = POWERS.to(len(values) + 1)
-    total = np.empty(len(values) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return (total[ends] - total[starts]) * down[starts]
+def places(count: np.ndarray) -> np.ndarray:
+    """0, 1 and so on for each of several groups of so many members."""
+    begin = np.cumsum(count) - count
+    return np.arange(int(count.sum())) - np.repeat(begin, count)
 
 
 def word_hashes(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, the same wherever the word stands."""
+    """A 64-bit hash of each word from its pieces of 8 bytes, the same wherever the word stands."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    return mix(range_sums(lowered.astype(np.uint64) + np.uint64(1), starts, ends) + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    count = (size + 7) >> 3
+    padded = np.concatenate([lowered, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(lowered) + 1, "<u8", padded, strides=(1,))
+    piece = places(count)
+    left = np.repeat(size, count) - 8 * piece
+    held = eights[np.repeat(starts, count) + 8 * piece]
+    short = left < 8
+    held[short] &= (np.uint64(1) << (np.uint64(8) * left[short].astype(np.uint64))) - np.uint64(1)
+    return mix(np.add.reduceat(placed(held, piece), np.cumsum(count) - count) + size.astype(np.uint64))
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +145,12 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nda
     n = np.diff(first)
     count = np.where(n >= k, n - k + 1, (n > 0).astype(n.dtype))
     begin = np.concatenate([[0], np.cumsum(count)])
-    start = np.repeat(first[:-1], count) + np.arange(begin[-1]) - np.repeat(begin[:-1], count)
-    end = start + np.repeat(np.minimum(n, k), count)
-    if not len(start):
+    if not begin[-1]:
         return np.zeros(0, np.uint64), begin
-    return mix(range_sums(words, start, end) + (end - start).astype(np.uint64)), begin
+    start = np.repeat(first[:-1], count) + places(count)
+    size = np.repeat(np.minimum(n, k), count)
+    out = mix(size.astype(np.uint64) * _STEP)
+    for i in range(k):
+        more = np.flatnonzero(size > i) if size.min() <= i else slice(None)
+        out[more] = mix((out[more] + words[start[more] + i]) * _STEP)
+    return out, begin
