@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+PLAIN = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
@@ -29,21 +30,33 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 ENDS_P = BLOCK - frozenset("body html tbody td tfoot th thead tr dd dt li".split()) | {"li", "dd", "dt"}
 ENDS = {"li": ("li", frozenset("ul ol menu".split())), "dt": ("dt dd", frozenset(["dl"])), "dd": ("dt dd", frozenset(["dl"])), "tr": ("tr td th", frozenset(["table"])), "td": ("td th", frozenset(["tr", "table"])), "th": ("td th", frozenset(["tr", "table"])), "option": ("option", frozenset(["select"]))}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class names and ids that mark what is not the article. Fixed values.
-MARKS = frozenset("ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion promoted banner sidebar side rail widget widgets menu menubar nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar masthead skip hidden copyright disclaimer".split())
+#: Words of class names and ids that mark what is not the article, wherever in a name they stand. Fixed values.
+MARKS = frozenset("advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion promoted banner sidebar widget widgets menubar nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus cookie cookies consent gdpr newsletter subscribe subscription pagination pager toolbar masthead popup modal".split())
+#: Words that have other uses too: they only mark names in which nothing but such words and words of layout stands.
+LOOSE = frozenset("ad ads side rail menu reply replies respond discussion notice notices notification alert overlay signup login share sharing social related recommended recommendations skip hidden copyright disclaimer".split())
+LAYOUT_WORDS = frozenset("area aside bar block body bottom box btn button buttons center col column container content drawer entry footer global group header icon icons inner item items js left link links list main modal outer page panel post posts primary right row secondary section site slot story stories sub tools top unit view wide wrap wrapper zone".split())
 NAME_PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 #: has-sidebar, content-with-comments, no-ads: such a name tells the layout of what holds the article.
 LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no)(?:[-_]|(?=[A-Z]))\S*")
 #: Marks of what readers write: it can be longer than the article.
-READERS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
-CONTENT = frozenset(["article", "main", "body", "html"])
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Plain text of an article's part that its loose name does not make the part a list of links or a notice.
+PROSE = 80
+ARTICLES = frozenset(["article", "main"])
+CONTENT = ARTICLES | {"body", "html"}
+BORDERS = frozenset("td th li article section div body".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "inner", "own", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "marks")
+    __slots__ = ("tag", "parent", "children", "dropped", "inner", "own", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "marks", "depth", "block", "border", "article")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped, self.children, self.marks = tag, parent, dropped, [], frozenset()
+        # the nearest nodes from here up: a block, one that no inline end tag crosses; and whether an article is among them
+        self.depth = parent.depth + 1 if parent else 0
+        self.block = self if tag in BLOCK or not parent else parent.block
+        self.border = self if tag in BORDERS or not parent else parent.border
+        self.article = tag in ARTICLES or bool(parent and parent.article)
 
 
 def _marked(tag: str, attributes: str, inside_content: bool) -> tuple[bool, frozenset]:
@@ -62,9 +75,16 @@ def _marked(tag: str, attributes: str, inside_content: bool) -> tuple[bool, froz
         return True, none
     if tag in CONTENT:
         return False, none
-    names = {x.lower() for x in NAME_PARTS.split(LAYOUT.sub("", f"{found.get('class', '')} {found.get('id', '')}"))}
-    # a block named header holds the site's name, unless it is part of the article
-    return False, MARKS & names | ({"header"} & names if not inside_content and tag in ("div", "section") else none)
+    marks = set()
+    for name in LAYOUT.sub("", f"{found.get('class', '')} {found.get('id', '')}").split():
+        parts = {x.lower() for x in NAME_PARTS.split(name) if x and not x.isdigit()}
+        marks |= MARKS & parts
+        if parts <= LOOSE | MARKS | LAYOUT_WORDS:
+            marks |= LOOSE & parts
+        # a block named header holds the site's name, unless it is part of the article
+        if "header" in parts and not inside_content and tag in ("div", "section"):
+            marks.add("header")
+    return False, frozenset(marks)
 
 
 def _drop_marked(root: Node) -> None:
@@ -76,12 +96,14 @@ def _drop_marked(root: Node) -> None:
     """
     order = _walk(root)
     plain: dict[Node, int] = {}
+    linked: dict[Node, int] = {}
     holds: dict[Node, bool] = {}
     for n in reversed(order):
         below = [x for x in n.children if isinstance(x, Node) and not x.dropped]
         own = sum(_length(x) for x in n.children if isinstance(x, str))
         plain[n] = 0 if n.tag == "a" else own + sum(plain[x] for x in below)
-        holds[n] = any(holds[x] or x.tag in ("article", "main") and plain[x] > 0 for x in below)
+        linked[n] = (own + sum(plain[x] for x in below) if n.tag == "a" else 0) + sum(linked[x] for x in below)
+        holds[n] = any(holds[x] or x.tag in ARTICLES and plain[x] > 0 for x in below)
     # characters outside marked elements: of the page and of its articles
     page = articles = 0
     todo = [(root, False)]
@@ -89,7 +111,7 @@ def _drop_marked(root: Node) -> None:
         n, inside = todo.pop()
         if n.marks or n.tag == "a":
             continue
-        inside = inside or n.tag in ("article", "main")
+        inside = inside or n.tag in ARTICLES
         own = sum(_length(x) for x in n.children if isinstance(x, str))
         page, articles = page + own, articles + own * inside
         todo += [(x, inside) for x in n.children if isinstance(x, Node) and not x.dropped]
@@ -98,81 +120,108 @@ def _drop_marked(root: Node) -> None:
             n.dropped = True
         elif n.marks:
             kept = holds[n] and not articles or not page if n.marks & READERS else plain[n] > articles if holds[n] else not articles and 2 * plain[n] > plain[root]
-            n.dropped = not (kept and plain[n])
+            prose = n.parent is not None and n.parent.article and n.marks <= LOOSE - READERS and plain[n] >= PROSE and plain[n] > linked[n]
+            n.dropped = not (plain[n] and (kept or prose))
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Where the tag ends whose attributes begin at a place; a quote that is never closed is a character like others."""
+    while (at := PLAIN.match(html, at).end()) < len(html) and html[at] != ">":
+        at = max(at, html.find(html[at], at + 1)) + 1
+    return at
+
+
+class _Open:
+    """The open elements, by tag too, so that none is looked for along the whole way up."""
+
+    def __init__(self) -> None:
+        self.root = self.node = Node("#root", None, False)
+        self.by_tag: dict[str, list[Node]] = {}
+
+    def add(self, new: Node) -> None:
+        self.by_tag.setdefault(new.tag, []).append(new)
+        self.node = new
+
+    def close(self, last: Node) -> None:
+        """Closes all elements down from last."""
+        while self.node is not last.parent:
+            self.by_tag[self.node.tag].pop()
+            self.node = self.node.parent
+
+    def nearest(self, tags: Iterable[str]) -> Node:
+        return max((x[-1] for t in tags if (x := self.by_tag.get(t))), key=lambda n: n.depth, default=self.root)
+
+    def end(self, tag: str) -> bool:
+        """Closes the nearest element of a tag; false if there is none. An inline one closes nothing beyond its block."""
+        last = self.nearest([tag])
+        if last is self.root or tag not in BLOCK and self.node.border.depth > last.depth:
+            return False
+        self.close(last)
+        return True
+
+    def before(self, tag: str) -> None:
+        """Closes what the start of an element ends."""
+        if tag in ENDS_P and self.node.block.tag == "p":
+            self.close(self.node.block)
+        if tag == "body" and self.node.tag == "head":
+            self.close(self.node)
+        if tag in ENDS:
+            kinds, holders = ENDS[tag]
+            border, last = self.nearest(holders).depth, None
+            for kind in kinds.split():
+                for n in reversed(self.by_tag.get(kind, ())):
+                    if n.depth <= border:
+                        break
+                    last = n if last is None or n.depth < last.depth else last
+            if last is not None:
+                self.close(last)
 
 
 def parse(html: str) -> Node:
-    """The tree below a root; texts are strings among the children. Open tags at the end are closed there."""
-    root = node = Node("#root", None, False)
-    at, inside, marked = 0, 0, False
-    end = len(html)
+    """The tree below a root; texts are strings among the children. Open tags at the end are closed there.
+
+    What stands behind the end tag of the body is part of it. Time is linear in the page's length.
+    """
+    open_, at, end, marked = _Open(), 0, len(html), False
     while at < end:
         m = TOKEN.search(html, at)
         if m is None or m.start() > at:
             stop = m.start() if m else end
-            if not node.dropped:
-                node.children.append(unescape(html[at:stop]))
+            if not open_.node.dropped:
+                open_.node.children.append(unescape(html[at:stop]))
             if m is None:
                 break
         at = m.end()
-        if m[1] is not None and not node.dropped:
-            node.children.append(m[1])
+        if m[1] is not None and not open_.node.dropped:
+            open_.node.children.append(m[1])
         tag = (m[3] or "").lower()
         if not tag:
             continue
+        stop = _tag_end(html, at)
+        attributes, at = html[at:stop], stop + 1
         if m[2]:
-            up = node
-            while up is not root and up.tag != tag:
-                if tag not in BLOCK and up.tag in ("td", "th", "li", "article", "section", "div", "body"):
-                    up = root  # an inline end tag closes nothing beyond its block
-                    break
-                up = up.parent
-            if up is not root:
-                while node is not up:
-                    inside -= node.tag in ("article", "main")
-                    node = node.parent
-                inside -= node.tag in ("article", "main")
-                node = node.parent
-            elif tag == "p" and not node.dropped:
-                node.children.append(Node("p", node, False))
+            if tag not in ("body", "html") and not open_.end(tag) and tag == "p" and not open_.node.dropped:
+                open_.node.children.append(Node("p", open_.node, False))
             continue
-        if tag in ("html", "body") and any(x.tag == tag for x in _line(node)):
+        if tag in ("html", "body") and open_.by_tag.get(tag):
             continue
-        if tag in ENDS_P:
-            for up in _line(node):
-                if up.tag == "p":
-                    node = up.parent
-                    break
-                if up.tag in BLOCK:
-                    break
-        if tag == "body" and node.tag == "head":
-            node = node.parent
-        if tag in ENDS:
-            kinds, holders = ENDS[tag]
-            kinds = kinds.split()
-            last = None
-            for up in _line(node):
-                if up.tag in holders:
-                    break
-                if up.tag in kinds:
-                    last = up
-            node = last.parent if last is not None else node
-        never, marks = (True, frozenset()) if node.dropped else _marked(tag, m[4], inside > 0)
+        open_.before(tag)
+        node = open_.node
+        never, marks = (True, frozenset()) if node.dropped else _marked(tag, attributes, node.article)
         new = Node(tag, node, never)
         new.marks = marks
         marked = marked or bool(marks)
         node.children.append(new)
-        if tag in VOID or m[4].endswith("/") and tag not in BLOCK and tag not in RAW:
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = close.end() if close else end
             continue
-        inside += tag in ("article", "main")
-        node = new
+        open_.add(new)
     if marked:
-        _drop_marked(root)
-    return root
+        _drop_marked(open_.root)
+    return open_.root
 
 
 def _line(node: Node) -> Iterator[Node]:
@@ -247,8 +296,8 @@ def content_nodes(root: Node) -> list[Node]:
 
 
 def _menu(n: Node) -> bool:
-    """A list or block that is all links."""
-    return n.link_tags >= 2 and n.link_chars >= 0.9 * n.chars and n.tag in BLOCK
+    """A list or block outside the article that is all links; inside it is a list of references."""
+    return not n.article and n.link_tags >= 2 and n.link_chars >= 0.9 * n.chars and n.tag in BLOCK
 
 
 def blocks(nodes: list[Node]) -> Iterator[str]:
