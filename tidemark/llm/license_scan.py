@@ -1,22 +1,28 @@
 """License scan with Spark's own functions: ordered signature rules behind a keyword filter.
 
-Places of all rules whose keyword a text contains are found. Of two places of which one contains the other, that of
-the lower priority is suppressed, with equal priorities the shorter one; the labels of the others count.
+A rule is tried on texts that hold its keyword and match it with single blanks for all that stands between words, which
+is never stricter. Of two places of which one contains the other, that of the lower priority is suppressed, with equal
+priorities the shorter one; the labels of the others count.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .license_rules import ROOTS, signatures
-from .spans import matches
+from ..functions.places import listed, matches, places, scanned
+from .license_rules import signatures
 
 #: Word characters and the others, before A-Z are lower-cased. Fixed values.
-WORD, OTHER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+_OTHERS = ("\x00-\x2f", "\x3a-\x40", "\x5b-\x60", "\x7b-\x7f")
+WORD, OTHER = listed(*_OTHERS, other=True), listed(*_OTHERS)
+NOT_ASCII_WORD = listed("0-9", "A-Z", "a-z", other=True)
+#: Keywords that prose holds too often are looked for with what follows in every match.
+CLOSER = {"cc": "cc[^a-z0-9]+by", "rail": "rail(?:[^a-z0-9]|\\z)", "sun": "sun[^a-z0-9]+(?:industry|public)", "net": "x[^a-z0-9]+net[^a-z0-9]", "icu": "icu[^a-z0-9]", "ntp": "ntp[^a-z0-9]", "asl": "asl[^a-z0-9]", "oak": "blue[^a-z0-9]+oak", "clear": "clear[^a-z0-9]+bsd", "tcl": "tcl[^a-z0-9]+tk"}
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 
 
@@ -24,18 +30,52 @@ def phrase_regex(phrase: str) -> str:
     return rf"(?i)(?<!{WORD})" + f"{OTHER}+".join(phrase.split()) + rf"(?!{WORD})"
 
 
-def _gate(low: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
+def _gate(low: Column, words: list[str]) -> Column:
+    near = "|".join(CLOSER[w] for w in words if w in CLOSER)
+    return reduce(lambda a, b: a | b, [*(F.contains(low, F.lit(w)) for w in words if w not in CLOSER), low.rlike(near)])
 
 
 def _flat(parts: list[Column]) -> Column:
     return F.flatten(F.array(*parts))
 
 
+def rule_places(text: Column, flat: Column, rules: list[tuple[str, int, str, str, str]]) -> Column:
+    """array<struct<s, e, priority, label>> of all places of all rules, some twice; flat is the collapsed text."""
+    groups = defaultdict(list)
+    for label, priority, keyword, whole, single in rules:
+        found = F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.split(text, whole, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(whole), F.lit(0)).alias("found"))
+        groups[keyword].append(F.when(flat.rlike(single), found))
+    tried = F.array(*(F.when(F.contains(flat, F.lit(k)), F.array_compact(F.array(*own))) for k, own in groups.items()))
+    hits = F.flatten(F.array_compact(tried))
+    placed = F.transform(hits, lambda h: F.transform(places(h["gaps"], h["found"]), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), h["priority"].alias("priority"), h["label"].alias("label"))))
+    return F.flatten(placed)
+
+
+def unsuppressed(found: Column) -> Column:
+    """The places that no other suppresses, each once, by place.
+
+    Only places that overlap can contain each other, so the places in order are cut where one begins behind all before
+    it, and compared within such a run only.
+    """
+    ordered = F.sort_array(found)
+    end = F.struct(F.lit((1 << 31) - 1).alias("s"), F.lit((1 << 31) - 1).alias("e"), F.lit(0).alias("priority"), F.lit("").alias("label"))
+    state = lambda e, run: F.struct(e.alias("e"), run.alias("run"))
+    step = lambda acc, x: F.when(x["s"] < acc["e"], state(F.greatest(acc["e"], x["e"]), F.concat(acc["run"], F.array(x)))).otherwise(state(x["e"], F.array(x)))
+    none = F.slice(F.array(end), 1, 0)
+    runs = scanned(F.concat(ordered, F.array(end)), state(F.lit(0), none), step, lambda acc, x: F.when(x["s"] < acc["e"], none).otherwise(acc["run"]))
+
+    def beats(o: Column, d: Column) -> Column:
+        around = (o["s"] <= d["s"]) & (o["e"] >= d["e"])
+        inside = (o["s"] >= d["s"]) & (o["e"] <= d["e"])
+        return (around | inside) & (o["priority"] > d["priority"]) | around & (o["priority"] == d["priority"]) & (o["e"] - o["s"] > d["e"] - d["s"])
+
+    return F.flatten(F.transform(runs, lambda run: F.filter(F.array_distinct(run), lambda d: ~F.exists(run, lambda o: beats(o, d)))))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, detections) of every row of docs.
 
-    Base: the places where a phrase of PHRASES stands word by word. detections: array of (label, priority, s, e) of the
+    Base: the places where a phrase of PHRASES stands word by word. detections: array of (s, e, priority, label) of the
     places that no other suppresses, in code points. labels: those of the base and of the detections, distinct and
     sorted. score: the highest priority among detections as a share of 100, 1 with a base place, 0 without any. Null
     texts count as empty; empty texts have no words and no labels. Ties in priority and place keep all their labels.
@@ -43,30 +83,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     text, low, flat = F.col("__text"), F.col("__low"), F.col("__flat")
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).withColumn("__low", F.lower("__text"))
-    # what the rules see: letters and digits, one blank for what stands between them
-    rows = rows.withColumn("__flat", F.lower(F.regexp_replace("__text", "[^A-Za-z0-9]+", " ")))
+    # each word with what stands around it becomes one character; a text without words stays as it is
+    marked = F.regexp_replace(text, f"{OTHER}*+{WORD}++(?:{OTHER}++\\z)?", "x")
+    rows = rows.withColumn("__words", F.when(text.rlike(WORD), F.length(marked)).otherwise(0).cast("long"))
 
     base_gate = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.contains(low, F.lit(w)) for w in phrase.split())) for _, phrase in PHRASES))
     base = _flat([matches(text, F.lit(phrase_regex(phrase)), {"label": F.lit(label)}) for label, phrase in PHRASES])
-    rules = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(keyword).alias("keyword"), F.lit(regex).alias("regex")) for label, priority, keyword, regex in signatures()))
-    tried = F.filter(rules, lambda r: F.contains(flat, r["keyword"]))
-    places = F.flatten(F.transform(tried, lambda r: F.transform(matches(text, r["regex"]), lambda m: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), m["s"].alias("s"), m["e"].alias("e")))))
-
-    found = rows.select(
-        "__id", "__text", F.regexp_count("__text", F.lit(f"{WORD}+")).cast("long").alias("n_words"),
-        F.when(base_gate, base).alias("base"), F.when(_gate(flat, ROOTS), places).alias("places"),
-    )
-    found = found.withColumn("places", F.array_distinct("places"))
-
-    def stays(d: Column) -> Column:
-        def beats(o: Column) -> Column:
-            around = (o["s"] <= d["s"]) & (o["e"] >= d["e"])
-            inside = (o["s"] >= d["s"]) & (o["e"] <= d["e"])
-            return (around | inside) & (o["priority"] > d["priority"]) | around & (o["priority"] == d["priority"]) & (o["e"] - o["s"] > d["e"] - d["s"])
-
-        return ~F.exists("places", beats)
-
-    kept = found.withColumn("detections", F.filter("places", stays)).withColumn("starts", F.transform("base", lambda m: m["s"]))
+    rules = signatures()
+    found = rows.select("__id", "__text", "__words", F.when(base_gate, base).alias("base"), F.when(_gate(low, sorted({r[2] for r in rules})), F.lower(F.regexp_replace("__text", NOT_ASCII_WORD + "+", " "))).alias("__flat"))
+    found = found.withColumn("places", F.when(flat.isNotNull(), rule_places(text, flat, rules)))
+    kept = found.withColumn("detections", F.when(F.size("places") > 0, unsuppressed(F.col("places")))).withColumn("starts", F.transform("base", lambda m: m["s"]))
     names = F.transform(F.coalesce("base", F.filter("base", lambda _: F.lit(False))), lambda m: m["label"])
     some = F.size(F.coalesce("starts", F.array().cast("array<int>"))) > 0
     empty = F.array().cast("array<string>")
@@ -76,7 +102,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     return kept.select(
         F.col("__id").alias(id_col),
-        "n_words",
+        F.col("__words").alias("n_words"),
         F.when(some, F.size("starts")).otherwise(0).cast("long").alias("n_base"),
         word_at(F.array_min("starts")).alias("first_word"),
         word_at(F.array_max("starts")).alias("last_word"),

@@ -14,53 +14,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .spans import matches
+from ..functions.places import bound, listed, matches, scanned
 
 #: Base kinds in the order in which equal starts are listed: expression and what a match needs. Fixed values.
-ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-VALUE = r"""(?is)^(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
-ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
+_VALUE = listed("A-Z", "a-z", "0-9", "+", "/", "_", ".", "=", "-")
+_NAMED = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+ASSIGN, VALUE = f"(?i){_NAMED}({_VALUE}+)", f"(?is)^{_NAMED}"
+ACCESS, HEX = f"AKIA{listed('A-Z', '0-9')}+", f"{listed('0-9', 'a-f')}+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "hex_entropy", "key_entropy")
 WINDOW = 20
 #: Candidates, and the entropy in bits from which a window of a class is random enough. A window of 20 characters has
 #: log2(20) = 4.32 bits at most.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+_KEY = listed("A-Z", "a-z", "0-9", "+", "/", "_", "-")
+CANDIDATE = f"(?<!{_KEY}){_KEY}{{{WINDOW},}}+"
+#: Windows swept at a time: characters of a string are counted from its start, so a long one is cut into pieces.
+PIECE = 128
 HEX_BITS, KEY_BITS = 3.0, 3.7
 #: Allow-list: strings with these are examples, and those of one kind of character only are words, numbers or rulers.
 ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{6,}|0123456789|abcdefgh|(.)\1{7,}"
 
 
-def _terms(n: Column) -> Column:
-    """n * log2(n) for the counts of a window."""
-    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+def _more(n: Column) -> Column:
+    """By how much a window's sum grows if a character that it holds n times comes once more."""
+    terms = [c * math.log2(c) if c > 1 else 0.0 for c in range(WINDOW + 1)]
+    return F.get(F.array(*(F.lit(b - a) for a, b in zip(terms, terms[1:], strict=False))), n)
 
 
-def _count(window: Column, char: Column) -> Column:
-    return F.length(window) - F.length(F.replace(window, char, F.lit("")))
-
-
-def hot_windows(s: Column, bits: Column) -> Column:
-    """struct<first, last>: starts of the first and last window of s at or above the bits; null if there is none."""
+def _swept(s: Column, limit: Column, before: Column) -> Column:
+    """struct<first, last>: starts of the first and last window of s whose sum is within the limit, from `before` on; null fields if there is none."""
     w = WINDOW
-    opening = F.aggregate(F.sequence(F.lit(1), F.lit(w)), F.lit(0.0), lambda acc, i: acc + _terms(_count(F.substring(s, F.lit(1), i), F.substring(s, i, F.lit(1)))) - _terms(_count(F.substring(s, F.lit(1), i), F.substring(s, i, F.lit(1))) - 1))
-    most = bits  # entropy >= bits: sum <= w * (log2(w) - bits)
-    limit = F.lit(w) * (F.lit(math.log2(w)) - most) + 1e-9
-    null = F.lit(None).cast("int")
+    part = lambda i, n: F.substring(s, i, n)
+    without = lambda x, char: F.length(F.replace(x, char, F.lit("")))
+    opening = F.aggregate(F.sequence(F.lit(1), F.lit(w)), F.lit(0.0), lambda acc, i: acc + _more(i - 1 - without(part(F.lit(1), i - 1), part(i, F.lit(1)))))
+
+    def state(total: Column, first: Column, last: Column) -> Column:
+        return F.struct(total.alias("t"), first.alias("first"), last.alias("last"))
 
     def step(acc: Column, i: Column) -> Column:
         # i: the start of the new window; the old one began at i - 1
-        rest = F.substring(s, i, F.lit(w - 1))
-        leaves, enters = F.substring(s, i - 1, F.lit(1)), F.substring(s, i + (w - 1), F.lit(1))
-        gone, came = _count(rest, leaves), _count(rest, enters)
-        total = acc["t"] - (_terms(gone + 1) - _terms(gone)) + (_terms(came + 1) - _terms(came))
-        hot = total <= limit
-        return F.struct(total.alias("t"), F.coalesce(acc["first"], F.when(hot, i)).alias("first"), F.when(hot, i).otherwise(acc["last"]).alias("last"))
-
-    start = F.struct(opening.alias("t"), null.alias("first"), null.alias("last"))
-    begun = F.transform(F.array(start), lambda a: F.struct(a["t"].alias("t"), F.when(a["t"] <= limit, F.lit(1)).alias("first"), F.when(a["t"] <= limit, F.lit(1)).alias("last")))[0]
+        stays = lambda char: w - 1 - without(part(i, F.lit(w - 1)), char)
+        total = acc["t"] - _more(stays(part(i - 1, F.lit(1)))) + _more(stays(part(i + (w - 1), F.lit(1))))
+        return bound(total, lambda t: state(t, F.coalesce(acc["first"], F.when(t <= limit, i)), F.when(t <= limit, i).otherwise(acc["last"])))
+
+    begun = bound(opening, lambda t: state(t, F.when(t <= limit, F.lit(1)), F.when(t <= limit, F.lit(1))))
     starts = F.filter(F.sequence(F.lit(1), F.length(s) - (w - 1)), lambda i: i > 1)
-    return F.aggregate(starts, begun, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    return F.aggregate(starts, begun, step, lambda acc: F.struct((acc["first"] + before).alias("first"), (acc["last"] + before).alias("last")))
+
+
+def hot_windows(s: Column, bits: Column) -> Column:
+    """struct<first, last>: starts, from 1, of the first and last window of s at or above the bits; null fields if there is none.
+
+    Each piece is swept with the characters behind it that its last windows reach.
+    """
+    most = F.lit(WINDOW) * (F.lit(math.log2(WINDOW)) - bits) + 1e-9  # entropy >= bits: sum <= w * (log2(w) - bits)
+
+    def swept(pieces: Column, limit: Column) -> Column:
+        reach = lambda p, i: F.concat(p, F.coalesce(F.substring(F.get(pieces, i + 1), F.lit(1), F.lit(WINDOW - 1)), F.lit("")))
+        return F.transform(pieces, lambda p, i: bound(reach(p, i), lambda x: F.when(F.length(x) >= WINDOW, _swept(x, limit, i * PIECE))))
+
+    pieces = F.regexp_extract_all(s, F.lit(f".{{1,{PIECE}}}"), F.lit(0))
+    hot = bound(most, lambda limit: bound(pieces, lambda p: swept(p, limit)))
+    return bound(hot, lambda x: F.struct(F.array_min(F.transform(x, lambda h: h["first"])).alias("first"), F.array_max(F.transform(x, lambda h: h["last"])).alias("last")))
+
+
+def apart(base: Column, found: Column) -> Column:
+    """The found spans that meet no base span: none that begins before them reaches them, none begins within them."""
+    row = lambda added: lambda x: F.struct(x["s"].alias("s"), F.lit(added).alias("added"), x["e"].alias("e"), x["k"].alias("k"), F.lit(True).alias("free"))
+    mark = lambda x, free: F.struct(x["s"].alias("s"), x["added"].alias("added"), x["e"].alias("e"), x["k"].alias("k"), (x["free"] & free).alias("free"))
+    both = F.sort_array(F.concat(F.transform(base, row(0)), F.transform(found, row(1))))
+    ahead = scanned(both, F.lit(0), lambda most, x: F.when(x["added"] == 0, F.greatest(most, x["e"])).otherwise(most), lambda most, x: mark(x, most <= x["s"]))
+    back = scanned(F.reverse(ahead), F.lit((1 << 31) - 1), lambda least, x: F.when(x["added"] == 0, F.least(least, x["s"])).otherwise(least), lambda least, x: mark(x, least >= x["e"]))
+    return F.transform(F.filter(back, lambda x: (x["added"] == 1) & x["free"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,11 +106,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     whole = lambda m: m
     none = F.filter(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0).alias("k"))), lambda x: x["s"] > 0)
     is_assign = text.rlike(ASSIGN)
-    is_hex = text.rlike(r"[0-9a-f]{%d}" % LEAST["hex"])
+    long_hex = listed("0-9", "a-f") + "{%d" % LEAST["hex"]
+    is_hex = text.rlike(long_hex + "}")
     assign = F.when(is_assign, base("assign", ASSIGN, lambda m: F.regexp_replace(m, F.lit(VALUE), F.lit("")))).otherwise(none)
     access = F.when(F.contains(text, F.lit("AKIA")), base("access", ACCESS, whole)).otherwise(none)
     # a run of hex digits is one match, so runs too short can be left out at once
-    hexes = F.when(is_hex, base("hex", r"[0-9a-f]{%d,}" % LEAST["hex"], whole)).otherwise(none)
+    hexes = F.when(is_hex, base("hex", long_hex + ",}", whole)).otherwise(none)
 
     strings = F.when(text.rlike(CANDIDATE), F.filter(matches(text, F.lit(CANDIDATE)), lambda m: m["m"].rlike("[0-9]") & m["m"].rlike("[A-Za-z]") & ~m["m"].rlike(ALLOWED)))
     named = rows.select("__id", F.sort_array(F.concat(assign, access, hexes)).alias("base"), strings.alias("strings"))
@@ -93,17 +119,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     hot = F.transform("strings", lambda m: F.struct(m["s"].alias("s"), is_hex_string(m["m"]).alias("hex"), hot_windows(m["m"], F.when(is_hex_string(m["m"]), HEX_BITS).otherwise(KEY_BITS)).alias("h")))
     found = F.transform(F.filter(hot, lambda x: x["h"]["first"].isNotNull()), lambda x: F.struct((x["s"] + x["h"]["first"] - 1).alias("s"), (x["s"] + x["h"]["last"] - 1 + WINDOW).alias("e"), F.when(x["hex"], 3).otherwise(4).alias("k")))
     named = named.select("__id", "base", F.coalesce(found, none).alias("found"))
-    apart = F.filter("found", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    added = F.when(F.size("found") > 0, apart(F.col("base"), F.col("found"))).otherwise(none)
     kind = F.array(*map(F.lit, KINDS))
     shown = lambda spans: F.transform(spans, lambda x: F.struct(kind[x["k"]].alias("kind"), x["s"].alias("start"), x["e"].alias("end")))
     # sorted by start, end and kind so far; two kinds at one start have their own order
     order = lambda spans: F.transform(F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return named.select(F.col("__id").alias(id_col), count("assign"), count("access"), count("hex"), shown(order(F.col("base"))).alias("base_spans"), shown(order(F.concat("base", apart))).alias("all_spans"))
+    return named.select(F.col("__id").alias(id_col), count("assign"), count("access"), count("hex"), shown(order(F.col("base"))).alias("base_spans"), shown(order(F.concat(F.col("base"), added))).alias("all_spans"))
 
 
 def joined(spans: str) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-
-
