@@ -127,3 +127,39 @@ def test_empty_tables(empty, items, labelled):
     assert decontam.contaminated(empty, items.where("false")).count() == 0
     assert quality.quality_scores(empty, labelled[1]).count() == 0
     assert mixing.mix(empty).count() == 0
+
+
+def test_rates_of_many_sources_equal_those_of_few(spark):
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 40, 300):
+        rows = [(f"s{k}" if k else None, int(x)) for k, x in enumerate(rng.pareto(0.7, n) * 20)]
+        sizes = spark.createDataFrame(rows, "source string, size long")
+        few, many = ({r.source: r.target for r in mixing.source_rates(sizes, in_one_task=k).collect()} for k in (n, -1))
+        assert many == pytest.approx(few) and len(few) == n
+        assert not rows or sum(few.values()) == pytest.approx(sum(x for _, x in rows))
+
+
+def test_scores_are_the_densities_of_two_normal_distributions():
+    rng = np.random.default_rng(2)
+    d = len(quality.FEATURES)
+    x = {k: rng.standard_normal((200, d)) @ rng.standard_normal((d, d)) + k for k in (0, 1)}
+    model = quality.Discriminant.fit({k: (len(v), v.sum(axis=0), v.T @ v) for k, v in x.items()})
+    rows = rng.standard_normal((50, d)) * 2
+    log = []
+    own = [np.cov(x[k].T, bias=True) for k in (0, 1)]
+    for k in (0, 1):
+        c = (1 - quality.SHRINK_POOLED) * own[k] + quality.SHRINK_POOLED * (own[0] + own[1]) / 2
+        c = (1 - quality.SHRINK_UNIT) * c + quality.SHRINK_UNIT * np.trace(c) / d * np.eye(d)
+        apart = rows - x[k].mean(axis=0)
+        log.append(-0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", apart, np.linalg.inv(c), apart))
+    assert model.scores(rows) == pytest.approx(1 / (1 + np.exp(np.clip(log[0] - log[1], -60, 60))), rel=1e-4, abs=1e-9)
+
+
+def test_held_out_labels_are_told_apart(spark):
+    """Area under the curve on the given labels that were never learned from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.quality_scores(docs, labels).where("held_out").join(labels, "doc_id").select("score", "quality").collect()
+    good, bad = (np.array([r.score for r in rows if r.quality == k]) for k in (1, 0))
+    auc = ((good[:, None] > bad[None, :]) + 0.5 * (good[:, None] == bad[None, :])).mean()
+    print("held-out AUC", round(float(auc), 4), "of", len(rows))
+    assert auc > 0.9

@@ -6,17 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.places import listed
+from ..operators.order import numbered
 from .common import cut
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD = listed(" ", "\t-\r", other=True) + "+"
 #: A source is repeated at most so often.
 MOST = 3
 SEED = "mix-1"
-#: Up to so many sources their rates are broadcast (under 100 bytes each); with more they are joined by shuffle.
+#: Up to so many sources (under 100 bytes each) their rates are worked out in one task and broadcast; with more they
+#: are numbered in ranges, levelled by sums, and joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
 
-def source_rates(sizes: DataFrame, most: int = MOST) -> DataFrame:
+def _levelled(per: DataFrame, most: int) -> DataFrame:
+    """The rates of any number of sources. Sources that are full at a level stay full at the next, which is higher."""
+    weighed = cut(numbered(per, F.col("source").asc_nulls_last(), name="n").withColumn("weight", (F.col("n") - 1) % 3 + 1).withColumn("cap", F.col("source_size") * most))
+    size, full, level = weighed.agg(F.sum("source_size")).first()[0], -1, None
+    while True:
+        above = F.lit(False) if level is None else F.col("cap") < F.lit(level) * F.col("weight")
+        r = weighed.agg(F.count(F.when(above, 1)).alias("full"), F.coalesce(F.sum(F.when(above, F.col("cap"))), F.lit(0)).alias("cap"), F.sum(F.when(~above, F.col("weight"))).alias("weight")).first()
+        if r.full == full or not r.weight:
+            break
+        full, level = r.full, (size - r.cap) / r.weight
+    return weighed.select("source", "source_size", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
+
+
+def source_rates(sizes: DataFrame, most: int = MOST, in_one_task: int = BROADCAST_SOURCES) -> DataFrame:
     """(source, source_size, target) for rows of (source, size).
 
     The sources, by code point and null last, weigh 1, 2, 3 and so on in turn. Together they get all sizes; a target
@@ -24,7 +40,9 @@ def source_rates(sizes: DataFrame, most: int = MOST) -> DataFrame:
     That end point is min(cap, level * weight) for one level: with sources in order of cap / weight, it is the level
     left for all others once those before are full, at the first source that doesn't fill up at it.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    if per.count() > in_one_task:
+        return _levelled(per, most)
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     weighed = per.withColumn("weight", (F.row_number().over(by_name) - 1) % 3 + 1).withColumn("cap", F.col("source_size") * most)
     order = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())

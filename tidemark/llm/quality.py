@@ -90,6 +90,14 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(make, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
+def forward(factor: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """z of factor @ z = y for a lower triangular factor, one feature after the other for all columns of y."""
+    z = np.empty_like(y)
+    for i in range(len(factor)):
+        z[i] = (y[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 @dataclass
 class Discriminant:
     """Per class: log prior, mean, and the Cholesky factor of its shrunken covariance with its log determinant."""
@@ -118,7 +126,7 @@ class Discriminant:
         """Probability of class 1 of each row."""
         log = []
         for k in (0, 1):
-            z = np.linalg.solve(self.factor[k], (x - self.mean[k]).T)
+            z = forward(self.factor[k], (x - self.mean[k]).T)
             log.append(self.log_prior[k] - 0.5 * (self.log_det[k] + (z * z).sum(axis=0)))
         return 1 / (1 + np.exp(-np.clip(log[1] - log[0], -MOST_LOGIT, MOST_LOGIT)))
 
