@@ -8,7 +8,7 @@ import brute
 import pytest
 
 from tidemark.llm import license_scan
-from tidemark.llm.license_rules import signatures, written
+from tidemark.llm.license_rules import root, signatures, written
 
 TEXTS = [
     ("All rights\n * reserved", "proprietary"),
@@ -89,6 +89,7 @@ def test_every_match_holds_its_keyword(seed):
         assert re.search(whole, text, re.A), (label, text)
         collapsed = re.sub("[^A-Za-z0-9]+", " ", text).lower()
         assert keyword in collapsed and keyword in text.lower() and re.search(single, collapsed), (label, text)
+        assert root(keyword, single) in text.lower(), (label, text)
         assert keyword not in license_scan.CLOSER or re.search(license_scan.CLOSER[keyword].replace(r"\z", r"\Z"), text.lower()), (label, text)
 
 

@@ -8,6 +8,7 @@ run of characters other than letters and digits.
 
 from __future__ import annotations
 
+import re
 from itertools import product
 
 RULES = r"""
@@ -264,3 +265,10 @@ def signatures() -> list[tuple[str, int, str, str, str]]:
     """
     whole = lambda text: "(?is)" + text.replace(" ?", "[^a-z0-9]*").replace(" ", "[^a-z0-9]+")
     return [(label, priority, keyword, whole(text), text) for label, priority, keyword, text in written() + _families()]
+
+
+def root(keyword: str, single: str) -> str:
+    """A word for a first filter over all texts: the one that most rules need, or else the rule's keyword."""
+    while (bare := re.sub(r"\([^()]*\)\??", "", single)) != single:
+        single = bare  # groups may be optional
+    return "licen" if "licen" in single else keyword

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions.places import listed, matches, places, scanned
-from .license_rules import signatures
+from .license_rules import root, signatures
 
 #: Word characters and the others, before A-Z are lower-cased. Fixed values.
 _OTHERS = ("\x00-\x2f", "\x3a-\x40", "\x5b-\x60", "\x7b-\x7f")
@@ -31,8 +31,9 @@ def phrase_regex(phrase: str) -> str:
 
 
 def _gate(low: Column, words: list[str]) -> Column:
-    near = "|".join(CLOSER[w] for w in words if w in CLOSER)
-    return reduce(lambda a, b: a | b, [*(F.contains(low, F.lit(w)) for w in words if w not in CLOSER), low.rlike(near)])
+    # one expression for each: an alternation of them is tried whole at every character
+    tests = [F.contains(low, F.lit(w)) & low.rlike(CLOSER[w]) if w in CLOSER else F.contains(low, F.lit(w)) for w in words]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def _flat(parts: list[Column]) -> Column:
@@ -90,7 +91,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     base_gate = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.contains(low, F.lit(w)) for w in phrase.split())) for _, phrase in PHRASES))
     base = _flat([matches(text, F.lit(phrase_regex(phrase)), {"label": F.lit(label)}) for label, phrase in PHRASES])
     rules = signatures()
-    found = rows.select("__id", "__text", "__words", F.when(base_gate, base).alias("base"), F.when(_gate(low, sorted({r[2] for r in rules})), F.lower(F.regexp_replace("__text", NOT_ASCII_WORD + "+", " "))).alias("__flat"))
+    found = rows.select("__id", "__text", "__words", F.when(base_gate, base).alias("base"), F.when(_gate(low, sorted({root(r[2], r[4]) for r in rules})), F.lower(F.regexp_replace("__text", NOT_ASCII_WORD + "+", " "))).alias("__flat"))
     found = found.withColumn("places", F.when(flat.isNotNull(), rule_places(text, flat, rules)))
     kept = found.withColumn("detections", F.when(F.size("places") > 0, unsuppressed(F.col("places")))).withColumn("starts", F.transform("base", lambda m: m["s"]))
     names = F.transform(F.coalesce("base", F.filter("base", lambda _: F.lit(False))), lambda m: m["label"])
