@@ -61,6 +61,21 @@ def matches(text: Column, regex: Column, extra: dict[str, Column] | None = None)
     return F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), *(v.alias(k) for k, v in extra.items()))) if extra else found
 
 
+def few_matches(text: Column, regex: Column) -> Column:
+    """The same places where a text holds few: in a shorter plan, for expressions that nest many of them.
+
+    Each place is appended to a copy of those before it, so time grows with the square of their number.
+    """
+    pieces = F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, regex, F.lit(0)), lambda p, m: F.struct(F.length(p).alias("g"), F.length(m).alias("l"), m.alias("m")))
+    none = F.filter(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("m"))), lambda x: x["s"] > 0)
+    return F.aggregate(
+        F.filter(pieces, lambda x: x["m"].isNotNull()),
+        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda acc, x: F.struct((acc["at"] + x["g"] + x["l"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + x["l"]).alias("e"), x["m"].alias("m")))).alias("out")),
+        lambda acc: acc["out"],
+    )
+
+
 def before(text: Column, start: Column, n: int) -> Column:
     """Up to n characters that stand before a 0-based place."""
     first = F.greatest(start - n, F.lit(0))

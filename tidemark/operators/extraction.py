@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions import text as X
-from ..functions.places import after, before, matches
+from ..functions.places import after, before
+from ..functions.places import few_matches as matches
+from ..plans.session import cut
 from . import extraction_rules as R
 from .scoring import STAGES, materiality_level
 
 
+#: Characters of a text's first line that stand for its title.
+TITLE = 200
+
+
 def _or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -80,21 +86,31 @@ def provider_rank(provider: Column, title: Column) -> Column:
     return F.when(provider == "cninfo", 0).when(provider.isin("sse", "irm"), 1).otherwise(2) + F.when(title.rlike(R.AUXILIARY), 3).otherwise(0)
 
 
+def _heads(body: Column, pattern: str) -> Column:
+    return F.transform(matches(body, F.lit(pattern)), lambda m: m["s"])
+
+
+def _rank(good: Column, other: Column, at: Column) -> Column:
+    last = lambda heads: F.array_max(F.filter(heads, lambda s: s < at))
+    return F.when(last(good).isNotNull() & (last(other).isNull() | (last(good) >= last(other))), 0).when(last(other).isNotNull(), 2).otherwise(1)
+
+
 def section_rank(body: Column, at: Column) -> Column:
     """0 behind a heading on business or figures, 2 behind one of notes or risks, 1 before any; the nearest one counts."""
-    last = lambda pattern: F.array_max(F.filter(F.transform(matches(body, F.lit(pattern)), lambda m: m["s"]), lambda s: s < at))
-    good, other = last(R.PREFERRED_SECTION), last(R.OTHER_SECTION)
-    return F.when(good.isNotNull() & (other.isNull() | (good >= other)), 0).when(other.isNotNull(), 2).otherwise(1)
+    return _rank(_heads(body, R.PREFERRED_SECTION), _heads(body, R.OTHER_SECTION), at)
 
 
-def figures(body: Column, pattern: str) -> Column:
-    """The mention of earnings in the best section, with the 40 characters behind it; other mentions only without one."""
-    places = matches(body, F.lit(pattern))
+def _figures(body: Column, places: Column, good: Column, other: Column) -> Column:
     about = F.filter(places, lambda m: m["m"].rlike(R.EARNINGS))
-    best = F.array_min(F.transform(F.when(F.size(about) > 0, about).otherwise(places), lambda m: F.struct(section_rank(body, m["s"]).alias("rank"), m["s"].alias("s"), m["e"].alias("e"))))
+    best = F.array_min(F.transform(F.when(F.size(about) > 0, about).otherwise(places), lambda m: F.struct(_rank(good, other, m["s"]).alias("rank"), m["s"].alias("s"), m["e"].alias("e"))))
     return F.coalesce(F.substring(body, best["s"] + 1, best["e"] - best["s"] + 40), body)
 
 
+def figures(body: Column, pattern: str) -> Column:
+    """The mention of earnings in the best section, with the 40 characters behind it; other mentions only without one."""
+    return _figures(body, matches(body, F.lit(pattern)), _heads(body, R.PREFERRED_SECTION), _heads(body, R.OTHER_SECTION))
+
+
 def gate(rule: R.Rule, title: Column, body: Column) -> Column:
     """The headline gate: the pattern hits title and body, and neither exclusion hits."""
     test = title.rlike(rule.pattern) & body.rlike(rule.pattern)
@@ -104,11 +120,9 @@ def gate(rule: R.Rule, title: Column, body: Column) -> Column:
 
 
 def _weigh(rule: R.Rule, title: Column, body: Column, text: Column, periodic: Column, formal: Column) -> Column:
-    d = direction(text, title)
-    amount = X.parse_amount(body)
-    source = figures(body, rule.pattern) if rule.name == "earnings_upgrade" else body
-    said = F.regexp_extract(source, rule.ratio, 0) if rule.ratio else F.lit("")
-    ratio = X.parse_percent(said)
+    # what doesn't depend on the rule is in columns of its own: see detect
+    d, amount, kinds = F.col("d0"), F.col("amount0"), F.col("kinds0")
+    ratio = F.col("ratio0")
     if rule.ratio_needs_amount:
         ratio = F.when(amount.isNotNull(), ratio)
     if rule.name == "earnings_upgrade":
@@ -129,9 +143,8 @@ def _weigh(rule: R.Rule, title: Column, body: Column, text: Column, periodic: Co
     if rule.qualitative:
         # the amount's own place is a second piece of evidence
         level = F.when((level > 2) & ~(formal & amount.isNotNull()), 2).otherwise(level)
-    s = F.coalesce(*(F.when(text.rlike(p), F.lit(v)) for p, v in rule.stages), stage(text))
+    s = F.coalesce(*(F.when(text.rlike(p), F.lit(v)) for p, v in rule.stages), F.col("stage0"))
     s = F.when(periodic, "executed").otherwise(s) if rule.name == "earnings_upgrade" else s
-    kinds = counter_evidence(title, body, periodic if rule.name == "earnings_upgrade" else F.lit(False))
     more = [F.when(text.rlike(p), F.lit(k)) for p, k in rule.extra]
     if rule.framework_uncertain:
         more.append(F.when((s == "framework") & (F.size(kinds) == 0 if rule.needs else F.lit(True)), F.lit("high_uncertainty")))
@@ -159,12 +172,23 @@ def detect(documents: DataFrame, rules=R.RULES) -> DataFrame:
     own = W.partitionBy("event_id", "stock_code", "rule").orderBy(provider_rank(F.col("provider_key"), title), "document_id")
     formal = F.max(F.col("provider_key").isin(*R.FORMAL)).over(W.partitionBy("event_id", "stock_code"))
     best = gated.withColumns({"__n": F.row_number().over(own), "formal": formal}).where("__n = 1")
-    out = None
-    for i, rule in enumerate(rules):  # one branch a rule, so each row is only matched against its own expressions
-        part = F.when(F.col("rule") == i, F.when(~text.rlike(rule.yields), _weigh(rule, title, body, text, title.rlike(R.PERIODIC), F.col("formal"))) if rule.yields else _weigh(rule, title, body, text, title.rlike(R.PERIODIC), F.col("formal")))
-        out = part if out is None else F.coalesce(out, part)
-    found = best.withColumn("d", out).where("d is not null").select("event_id", "stock_code", "document_id", "title", "body", "rule", "d.*")
-    found = found.where((F.col("direction") == "positive") | ~F.col("rule").isin(*[i for i, r in enumerate(rules) if r.only_positive] or [-1]))
+    earnings = [i for i, r in enumerate(rules) if r.name == "earnings_upgrade"]
+    is_earnings = F.col("rule").isin(*earnings or [-1])
+    # columns of their own, one from the other: long expressions that are used many times aren't copied into each other
+    best = best.withColumns({"places0": F.when(is_earnings, matches(body, F.lit(rules[earnings[0]].pattern))) if earnings else F.array(), "good0": F.when(is_earnings, _heads(body, R.PREFERRED_SECTION)), "other0": F.when(is_earnings, _heads(body, R.OTHER_SECTION))})
+    best = best.withColumns({"d0": direction(text, title), "amount0": X.parse_amount(body), "stage0": stage(text), "kinds0": counter_evidence(title, body, title.rlike(R.PERIODIC) & is_earnings)})
+    best = best.withColumn("source0", F.when(is_earnings, _figures(body, F.col("places0"), F.col("good0"), F.col("other0"))).otherwise(body) if earnings else body)
+    ratios = [F.when(F.col("rule") == i, X.parse_percent(F.regexp_extract("source0", r.ratio, 0))) for i, r in enumerate(rules) if r.ratio]
+    best = best.withColumn("ratio0", F.coalesce(*ratios, F.lit(None).cast("double")))
+    # one small plan a rule over the stored hits, rather than one that holds the expressions of all rules
+    best = cut(best)
+    found = None
+    for i, rule in enumerate(rules):
+        own = best.where(F.col("rule") == i)
+        own = own.where(~text.rlike(rule.yields)) if rule.yields else own
+        own = own.withColumn("d", _weigh(rule, title, body, text, title.rlike(R.PERIODIC), F.col("formal"))).select("event_id", "stock_code", "document_id", "title", "body", "rule", "d.*")
+        own = own.where("direction = 'positive'") if rule.only_positive else own
+        found = own if found is None else found.union(own)
     start = F.instr("body", F.col("hit")) - 1
     e = X.evidence_excerpt(body, start, start + F.length("hit"))
     return found.withColumn("e", e).select(
@@ -173,6 +197,13 @@ def detect(documents: DataFrame, rules=R.RULES) -> DataFrame:
     )
 
 
+def event_type_hint(documents: DataFrame, key: str, text: str, rules=R.RULES) -> DataFrame:
+    """(key, hint): the first type in rule order that a text reports, with its first line as the title; null without one."""
+    rows = documents.select(F.col(key).cast("string").alias("event_id"), F.lit("").alias("stock_code"), F.col(key).cast("string").alias("document_id"), F.lit("cninfo").alias("provider_key"), F.substring(F.substring_index(F.col(text), "\n", 1), 1, TITLE).alias("title"), F.col(text).alias("body"))
+    first = detect(rows, rules).groupBy("event_id").agg(F.min_by("event_type", "rule").alias("hint"))
+    return documents.select(key).join(first, F.col(key).cast("string") == F.col("event_id"), "left").select(key, "hint")
+
+
 def leading_facts(detections: DataFrame) -> DataFrame:
     """Each stock's strongest fact of an event: positive, then level, then certainty, then the first rule."""
     order = W.partitionBy("event_id", "stock_code").orderBy((F.col("direction") == "positive").desc(), F.desc("level"), F.desc("certainty"), F.asc("rule"))

@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-from . import boards, evaluations, metrics, records, signals, states, streams, texts  # noqa: E402, F401
+from . import boards, disclosures, evaluations, metrics, records, signals, states, streams, texts  # noqa: E402, F401
