@@ -32,7 +32,7 @@ THRESHOLD = 0.9
 MISS = 0.002
 #: Vectors to a block; vectors to a bucket that the number of bits aims at.
 BLOCK, BUCKET = 256, 64
-#: Standard errors in the bound of an estimate; bits to a code at least.
+#: Standard errors in the bound of an estimate; bits to a code, whatever the number of tables.
 BOUND = 5.0
 CODE_BITS = 256
 MOST_BITS = 48
@@ -218,12 +218,11 @@ def _pairs(distinct: DataFrame, dim: int, n: int, threshold: float, block: int,
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = _turns(dim, bits, tables)
-        whole = len(turn) // 64 * 64
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 x = unit(np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(-1, dim))
-                code = np.packbits((x @ turn.T > 0)[:, :whole], axis=1)
+                code = np.packbits(x @ turn[:CODE_BITS].T > 0, axis=1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(table_keys(x, turn, bits, tables)), pa.list_(pa.int64())), pa.array([c.tobytes() for c in code], pa.binary())], ["vid", "keys", "code"])
 
     coded = cut(distinct.select("vid", "v").mapInArrow(deal, "vid long, keys array<long>, code binary"))
