@@ -59,3 +59,8 @@ def test_anchor_is_the_last_row_kept(spark):
 @pytest.mark.parametrize(("a", "b", "ratio"), [("", "", 100.0), ("abc", "abc", 100.0), ("abc", "abd", 200 * 2 / 6), ("a", "", 0.0), ("公司公告", "公司发布公告", 80.0)])
 def test_indel_ratio(a, b, ratio):
     assert indel_ratio(a, b) == pytest.approx(ratio)
+
+
+def test_a_document_without_codes_is_an_event_of_its_own(spark):
+    got = clusters(spark, [doc("a", 0, "公司签订重大合同公告", codes=()), doc("b", 1, "公司签订重大合同公告", codes=()), doc("c", 1, "公司签订重大合同公告")])
+    assert len({r.event_id for r in got.values()}) == 3

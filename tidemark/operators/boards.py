@@ -9,12 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from .order import numbered
+
 
 def ranked(rows: DataFrame, order: Sequence[Column], rank: str = "rank", top: int | None = None) -> DataFrame:
-    """Rows with their place in a total order. With top, only the first rows go to the one task that numbers them."""
+    """Rows with their place in a total order, numbered by ranges. With top, only those first rows reach one task."""
     if top is not None:
-        rows = rows.orderBy(*order).limit(top)
-    return rows.withColumn(rank, F.row_number().over(W.orderBy(*order)))
+        return rows.orderBy(*order).limit(top).withColumn(rank, F.row_number().over(W.orderBy(*order)))
+    return numbered(rows, *order, name=rank).withColumn(rank, F.col(rank).cast("int"))
 
 
 def mention_heat(mentions: DataFrame, key: str, event: str, article: str, at: str) -> DataFrame:
@@ -45,13 +47,17 @@ def midrank_percentile(value: str, partition: Sequence[str], least: int) -> Colu
 
 
 def industry_heat(popular: DataFrame, articles: DataFrame, industry: str, code: str, article: str) -> DataFrame:
-    """Popular codes (a) and articles (b) per industry, blended half and half by percentile; only industries with a."""
+    """Popular codes (a) and articles (b) per industry, blended half and half by percentile; only industries with a.
+
+    Industries are a fixed list of some hundred at most, so that their percentiles and ranks need one task only.
+    """
     a = popular.groupBy(industry).agg(F.count_distinct(code).alias("a"))
     b = articles.groupBy(industry).agg(F.count_distinct(article).alias("b"))
     both = a.join(b, industry, "left").withColumn("b", F.coalesce("b", F.lit(0))).withColumn("log_b", F.log1p("b"))
     blended = both.withColumns({"a_percentile": average_rank_percentile("a"), "b_percentile": average_rank_percentile("log_b")})
     blended = blended.withColumn("heat", 0.5 * F.col("a_percentile") + 0.5 * F.col("b_percentile"))
-    return ranked(blended, [F.desc("heat"), F.desc("a"), F.desc("b"), F.asc(industry)]).drop("log_b")
+    order = W.orderBy(F.desc("heat"), F.desc("a"), F.desc("b"), F.asc(industry))
+    return blended.withColumn("rank", F.row_number().over(order)).drop("log_b")
 
 
 def attribution(tags: Column, concepts: Column, by_stock: Column, aliases: Column) -> Column:

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
+from collections.abc import Iterator
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .folds import _blocks, indel_ratio
+from .folds import _blocks, in_runs, indel_ratio
 
 # Fixed values of the merge test.
 MERGE_SECONDS, HISTORY_SECONDS = 72 * 3600, 180 * 86_400
@@ -31,6 +34,23 @@ def features(documents: DataFrame) -> DataFrame:
     return out.withColumns({"period": X.report_period(F.coalesce("title", F.lit(""))), "amounts": X.amounts(text), "targets": X.targets(text), "dates": X.dates_in(text), "grams": X.trigrams(F.concat_ws("\n", "norm", lead))})
 
 
+class _Document(NamedTuple):
+    t: int
+    document_id: str
+    title: str | None
+    norm: str
+    period: str | None
+    url: str | None
+    content_hash: str | None
+    kind_hint: str | None
+    codes: list[str]
+    amounts: list[str] | None
+    targets: list[str] | None
+    dates: list[str] | None
+    grams: list[str] | None
+    event_id: str | None
+
+
 def _set(x) -> frozenset:
     return frozenset(() if x is None else x)
 
@@ -49,7 +69,7 @@ def _same_family(a, b) -> bool:
 
 def _alike(doc, cluster: dict) -> bool:
     """The merge test in order: family, conflict of facts, URL, content, title, trigrams, facts."""
-    members = cluster["members"]
+    members = cluster["members"].values()
     if any(_same_family(doc, m) for m in members):
         return True
     facts = [(_set(getattr(doc, k)), frozenset().union(*(_set(getattr(m, k)) for m in members))) for k in ("amounts", "targets", "dates")]
@@ -67,56 +87,96 @@ def _alike(doc, cluster: dict) -> bool:
     return bool(doc.kind_hint and doc.kind_hint in kinds and all(not a or not b or a == b for a, b in facts) and any(a and b for a, b in facts))
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    clusters: list[dict] = []
-    home: dict[str, dict] = {}
-    rows = sorted(pdf.itertuples(index=False), key=lambda r: (r.t, r.document_id))
+class _Events:
+    """The clusters of a block, found by their codes; those too old to matter are forgotten on the way."""
+
+    def __init__(self):
+        self.by_code: dict[str, list[dict]] = defaultdict(list)
+        self.home: dict[str, dict] = {}
+
+    def opened(self, key: str, r, past: str | None = None) -> dict:
+        c = {"id": key, "members": {}, "codes": set(), "first": r.t, "last": r.t, "past": past, "gone": False}
+        self.join(c, r)
+        return c
+
+    def join(self, c: dict, r) -> None:
+        c["members"].setdefault(r.document_id, r)
+        for code in set(r.codes) - c["codes"]:
+            self.by_code[code].append(c)
+        c["codes"] |= set(r.codes)
+        c["first"], c["last"] = min(c["first"], r.t), max(c["last"], r.t)
+        self.home[r.document_id] = c
+
+    def of(self, r) -> list[dict]:
+        """Clusters that share a code with a row and are no older than the history."""
+        found = {}
+        for code in set(r.codes):
+            live = self.by_code[code] = [c for c in self.by_code[code] if not c["gone"] and c["last"] >= r.t - HISTORY_SECONDS]
+            found |= {id(c): c for c in live}
+        return list(found.values())
+
+
+def _fold(rows: list) -> list[tuple]:
+    """(document, event, historical event) of the rows of a run, in order of time and id."""
+    events, restored = _Events(), {}
     for r in rows:  # documents that already belong to a cluster restore it
-        if r.event_id is not None and r.document_id not in home:
-            c = next((c for c in clusters if c["id"] == r.event_id), None)
-            if c is None:
-                clusters.append(c := {"id": r.event_id, "members": [], "codes": set(), "first": r.t, "last": r.t, "past": None})
-            _join(c, r)
-            home[r.document_id] = c
+        if r.event_id is not None and r.document_id not in events.home:
+            if r.event_id in restored:
+                events.join(restored[r.event_id], r)
+            else:
+                restored[r.event_id] = events.opened(r.event_id, r)
     for r in rows:
-        own = home.get(r.document_id)
-        codes = set(r.codes)
-        near = sorted((c for c in clusters if c is not own and c["codes"] & codes and c["last"] >= r.t - MERGE_SECONDS), key=lambda c: (-c["last"], c["id"]))
+        own, found = events.home.get(r.document_id), events.of(r)
+        near = sorted((c for c in found if c is not own and c["last"] >= r.t - MERGE_SECONDS), key=lambda c: (-c["last"], c["id"]))
         for c in near:
             if not _alike(r, c):
                 continue
             if own is None:
-                _join(c, r)
-                home[r.document_id] = own = c
+                events.join(c, r)
+                own = c
             else:  # the document ties two clusters: the larger, then earlier, then smaller id survives
                 keep, gone = sorted((own, c), key=lambda x: (-len(x["members"]), x["first"], x["id"]))
-                for m in gone["members"]:
-                    _join(keep, m)
-                    home[m.document_id] = keep
-                clusters = [x for x in clusters if x is not gone]
+                for m in gone["members"].values():
+                    events.join(keep, m)
+                gone["gone"] = True
                 own = keep
         if own is None:
-            past = max((c for c in clusters if c["codes"] & codes and r.t - HISTORY_SECONDS <= c["last"] < r.t - MERGE_SECONDS and _alike(r, c)), key=lambda c: (c["last"], c["id"]), default=None)
-            own = {"id": hashlib.sha1(r.document_id.encode()).hexdigest()[:16], "members": [], "codes": set(), "first": r.t, "last": r.t, "past": past and past["id"]}
-            _join(own, r)
-            clusters.append(own)
-            home[r.document_id] = own
-    return pd.DataFrame([(d, c["id"], c["past"]) for d, c in home.items()], columns=["document_id", "event_id", "historical_event_id"])
+            past = max((c for c in found if c["last"] < r.t - MERGE_SECONDS and _alike(r, c)), key=lambda c: (c["last"], c["id"]), default=None)
+            events.opened(hashlib.sha1(r.document_id.encode()).hexdigest()[:16], r, past and past["id"])
+    return [(d, c["id"], c["past"]) for d, c in events.home.items()]
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows, one run after the other; a run is all that is held."""
+    run: list = []
+    for batch in batches:
+        done: list[tuple] = []
+        columns = [batch.column("__new").to_pylist(), *(batch.column(c).to_pylist() for c in _Document._fields)]
+        for new, *values in zip(*columns, strict=True):
+            if new and run:
+                done += _fold(run)
+                run = []
+            run.append(_Document(*values))
+        yield _result(done)
+    yield _result(_fold(run))
 
 
-def _join(c: dict, r) -> None:
-    if all(m.document_id != r.document_id for m in c["members"]):
-        c["members"].append(r)
-    c["codes"] |= set(r.codes)
-    c["first"], c["last"] = min(c["first"], r.t), max(c["last"], r.t)
+def _result(rows: list[tuple]) -> pa.RecordBatch:
+    names = ("document_id", "event_id", "historical_event_id")
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=names)
 
 
 def cluster_documents(documents: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(document_id, event_id, historical_event_id) for rows of (document_id, at, title, body, url, content_hash,
     kind_hint, codes). known: (document_id, event_id) of earlier runs; running again over the same rows changes nothing.
+    A document without codes is an event of its own. Blocks are cut where no document comes for longer than the history
+    reaches, unless known events may span the gap; a run between two cuts is held in one task.
     """
     rows = features(documents).withColumn("t", F.unix_seconds(F.col("at").cast("timestamp")))
     rows = rows.join(known.select("document_id", "event_id"), "document_id", "left") if known is not None else rows.withColumn("event_id", F.lit(None).cast("string"))
+    rows = rows.withColumn("codes", F.coalesce(F.array_compact("codes"), F.array().cast("array<string>")))
     blocks = _blocks(rows.select(F.col("document_id").alias("article"), F.explode("codes").alias("code"))).withColumnRenamed("article", "document_id")
-    kept = rows.join(blocks, "document_id").select("block", "document_id", "t", "title", "norm", "period", "url", "content_hash", "kind_hint", "codes", "amounts", "targets", "dates", "grams", "event_id")
-    return kept.groupBy("block").applyInPandas(lambda pdf: _fold(pdf), "document_id string, event_id string, historical_event_id string")
+    placed = rows.join(blocks, "document_id", "left").withColumn("block", F.coalesce("block", F.concat(F.lit("#"), "document_id")))
+    kept = placed.select("block", *_Document._fields)
+    runs = in_runs(kept.withColumn("t", F.coalesce("t", F.lit(0).cast("long"))), ["block"], F.col("t"), [F.asc("t"), F.asc("document_id")], None if known is not None else HISTORY_SECONDS)
+    return runs.mapInArrow(_folded, "document_id string, event_id string, historical_event_id string")

@@ -1,8 +1,11 @@
-"""Folds that depend on the order of rows, blocked so that each group is small and groups run side by side."""
+"""Folds that depend on the order of rows: blocks run side by side, and a block is read once with bounded state."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,25 +14,37 @@ from pyspark.sql.column import Column
 from ..functions import text as X
 
 
+def in_runs(rows: DataFrame, key: list[str], moment: Column, order: list[Column], seconds: int | None) -> DataFrame:
+    """rows of each key in an order of time, with their second `__t` and `__new`: true after a gap longer than the window, or
+    for a key's first row only, without a window.
+
+    The sort that follows the window is the window's own, so Spark leaves it out; it states what the folds need.
+    """
+    by = W.partitionBy(*key).orderBy(*order)
+    timed = rows.withColumn("__t", moment)
+    new = F.row_number().over(by) == 1 if seconds is None else F.coalesce(F.abs(F.col("__t") - F.lag("__t").over(by)) > seconds, F.lit(True))
+    flagged = timed.withColumn("__new", new).withColumn("__t", F.coalesce("__t", F.lit(0).cast("long")))
+    return flagged.sortWithinPartitions(*map(F.col, key), *order)
+
+
 def anchor_dedupe(rows: DataFrame, key: list[str], at: str, tie: str, seconds: int = 86_400) -> DataFrame:
-    """Rows of each key in time order, without those within `seconds` of the last row kept.
+    """Rows of each key in time order, without those within `seconds` of the last row kept. Rows without a time stay.
 
-    Only within a run of rows that follow each other closely does one decision depend on others: each gap longer than
-    the window starts a new run, so a key's rows needn't be together. Runs are folded with a running anchor.
+    One pass over the rows as they are sorted: the anchor is all that is held, so a hot key needs no more memory.
     """
-    moment = F.unix_seconds(F.col(at).cast("timestamp"))
-    order = W.partitionBy(*key).orderBy(at, tie)
-    gap = F.coalesce(moment - F.lag(moment).over(order) > seconds, F.lit(True)).cast("int")
-    runs = rows.withColumn("__run", F.sum(gap).over(order))
-    runs = runs.groupBy(*key, "__run").agg(F.array_sort(F.collect_list(F.struct(moment.alias("t"), F.col(tie).alias("tie")))).alias("__all"))
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.filter("__all", lambda _: F.lit(False)).alias("kept"))
 
-    def step(acc: Column, x: Column) -> Column:
-        keep = acc["anchor"].isNull() | (x["t"] - acc["anchor"] > seconds)
-        return F.struct(F.when(keep, x["t"]).otherwise(acc["anchor"]).alias("anchor"), F.when(keep, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchor = 0
+        for batch in batches:
+            keep = []
+            for t, new in zip(batch.column("__t").to_pylist(), batch.column("__new").to_pylist(), strict=True):
+                keep.append(new or t - anchor > seconds)
+                anchor = t if keep[-1] else anchor
+            yield batch.filter(pa.array(keep, pa.bool_())).select(names)
 
-    kept = runs.select(*key, F.explode(F.aggregate("__all", start, step, lambda acc: acc["kept"])).alias("__kept"))
-    return rows.join(kept.select(*key, F.col("__kept.tie").alias(tie)), [*key, tie], "left_semi")
+    names = rows.columns
+    runs = in_runs(rows, key, F.unix_seconds(F.col(at).cast("timestamp")), [F.asc(at), F.asc(tie)], seconds)
+    return runs.mapInArrow(fold, rows.schema)
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -52,35 +67,37 @@ def leader_clusters(articles: DataFrame, seconds: int = 21_600, least: float = 9
     An article joins the first event, in order of creation, that is at most `seconds` away, shares a code (its codes grow
     with its members) and has a leader's title at least `least` alike; empty titles match nothing. Codes that meet in
     an article, directly or through others, are a block, and so is a stretch without a longer gap: an event never
-    crosses either.
+    crosses either. Each block is read once as it is sorted, and events older than the window are forgotten.
     """
     pairs = articles.select("article", F.explode("codes").alias("code"))
     linked = _blocks(pairs)
     placed = articles.join(linked, "article", "left").withColumn("block", F.coalesce("block", F.concat(F.lit("#"), F.col("article").cast("string"))))
-    t = F.unix_seconds(F.col("at").cast("timestamp"))
-    order = W.partitionBy("block").orderBy(F.desc("at"), "article")
-    runs = placed.withColumn("t", t).withColumn("run", F.sum(F.coalesce(F.lag("t").over(order) - F.col("t") > seconds, F.lit(True)).cast("int")).over(order))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        events: list[tuple] = []
-        out, run = [], None
-        for r in pdf.sort_values(["t", "article"], ascending=[False, True]).itertuples(index=False):
-            own = set(r.codes if r.codes is not None else ())
-            if r.run != run:
-                run, events = r.run, []  # no event crosses the gap between two runs
-            for lead, at, title, codes in events:
-                if abs(at - r.t) <= seconds and codes & own and title and r.title and indel_ratio(title, r.title) >= least:
-                    codes |= own
-                    break
-            else:
-                lead = r.article
-                events.append((lead, r.t, r.title, own))
-            out.append((r.article, lead))
-        return pd.DataFrame(out, columns=["article", "event"])
+    moment = F.unix_seconds(F.col("at").cast("timestamp"))
+    runs = in_runs(placed.select("block", "article", "at", "title", "codes"), ["block"], moment, [F.desc("at"), F.asc("article")], seconds)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        events: deque[tuple] = deque()  # those that a later row can still join
+        for batch in batches:
+            leads = []
+            for article, t, title, codes, new in zip(*(batch.column(c).to_pylist() for c in ("article", "__t", "title", "codes", "__new")), strict=True):
+                if new:
+                    events.clear()  # no event crosses the gap between two runs
+                while events and events[0][1] - t > seconds:
+                    events.popleft()
+                own = {c for c in codes or () if c is not None}
+                for lead, _, said, held in events:
+                    if held & own and said and title and indel_ratio(said, title) >= least:
+                        held |= own
+                        break
+                else:
+                    lead = article
+                    events.append((lead, t, title, own))
+                leads.append(lead)
+            ids = batch.column("article")
+            yield pa.RecordBatch.from_arrays([ids, pa.array(leads, ids.type)], names=["article", "event"])
 
     kind = articles.schema["article"].dataType.simpleString()
-    # some runs share a group, as a call for each would cost more than its work
-    return runs.select("block", "run", F.floor(F.col("run") / 64).alias("part"), "article", "t", "title", "codes").groupBy("block", "part").applyInPandas(fold, f"article {kind}, event {kind}")
+    return runs.mapInArrow(fold, f"article {kind}, event {kind}")
 
 
 def _blocks(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -118,7 +135,7 @@ def board_dedupe(signals: DataFrame, key: list[str], order: list[str], title: st
 
     A family: report and summary of one period; all of the kind buyback_or_increase; equal normalised titles with
     compatible amounts, for the kind approval with any; and alike normalised titles with compatible amounts. Empty
-    titles match nothing. kind names the column of the event type.
+    titles match nothing. kind names the column of the event type. Each key is read once as it is sorted.
     """
     schema = signals.schema
     rows = signals.withColumns({
@@ -126,30 +143,56 @@ def board_dedupe(signals: DataFrame, key: list[str], order: list[str], title: st
         "__period": F.coalesce(X.report_period(F.col(title)), F.lit("")), "__kind": F.coalesce(F.col(kind), F.lit("")) if kind else F.lit(""),
     })
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        own = [set(x if x is not None else ()) for x in pdf[amounts]]
-        said, normal, period, kinds = (pdf[c].tolist() for c in ("__title", "__normal", "__period", "__kind"))
-
-        def same(i: int, k: int) -> bool:
-            if period[i] and period[i] == period[k] and "报告" in said[i] and "报告" in said[k] and ("摘要" in said[i] or "摘要" in said[k]):
-                return True
-            both = kinds[i] if kinds[i] == kinds[k] else ""
-            if both == "buyback_or_increase":
-                return True
-            if not normal[i] or not normal[k]:
-                return False
-            if normal[i] == normal[k] and both == "approval":
-                return True
-            return (not own[i] or not own[k] or own[i] == own[k]) and indel_ratio(normal[i], normal[k]) >= least
-
-        kept: list[int] = []
-        for i in range(len(pdf)):
-            if not any(same(i, k) for k in kept):
-                kept.append(i)
-        return pdf.loc[kept, schema.names]
-
-    return rows.groupBy(*key).applyInPandas(fold, schema)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        board = _Board(least)
+        for batch in batches:
+            parts = (batch.column(c).to_pylist() for c in ("__new", "__title", "__normal", "__period", "__kind", amounts))
+            keep = []
+            for new, *row in zip(*parts, strict=True):
+                if new:
+                    board = _Board(least)
+                keep.append(board.takes(*row))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(schema.names)
+
+    by = W.partitionBy(*key).orderBy(*order)
+    first = rows.withColumn("__new", F.row_number().over(by) == 1).sortWithinPartitions(*key, *order)
+    return first.mapInArrow(fold, schema)
+
+
+class _Board:
+    """What the rows kept of one key bar later rows from. Equal rows bar the same, so it holds distinct ones only."""
+
+    def __init__(self, least: float):
+        self.least, self.bought_back = least, False
+        self.reports: dict[str, bool] = {}  # period: is a summary among its reports?
+        self.approved: set[str] = set()
+        self.said: dict[str, set[frozenset]] = {}  # normal title: amounts said with it
+
+    def takes(self, title: str, normal: str, period: str, kind: str, amounts: list | None) -> bool:
+        report, summary = bool(period) and "报告" in title, "摘要" in title
+        if report and period in self.reports and (summary or self.reports[period]):
+            return False
+        if kind == "buyback_or_increase" and self.bought_back or kind == "approval" and normal in self.approved:
+            return False
+        own = frozenset(x for x in amounts or () if x is not None)
+        if normal and any(self._fits(own, held) and indel_ratio(normal, other) >= self.least for other, held in self.said.items() if self._near(normal, other)):
+            return False
+        if report:
+            self.reports[period] = self.reports.get(period, False) or summary
+        self.bought_back |= kind == "buyback_or_increase"
+        if normal:
+            self.said.setdefault(normal, set()).add(own)
+            if kind == "approval":
+                self.approved.add(normal)
+        return True
+
+    def _near(self, a: str, b: str) -> bool:
+        """Can titles of these lengths be alike? The common part is no longer than the shorter one."""
+        return 200.0 * min(len(a), len(b)) >= self.least * (len(a) + len(b))
+
+    @staticmethod
+    def _fits(own: frozenset, held: set[frozenset]) -> bool:
+        return not own or own in held or frozenset() in held
 
 
 def survivor(clusters: DataFrame, group: str, n: str, first_seen: str, cluster: str) -> DataFrame:

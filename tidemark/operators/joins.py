@@ -7,17 +7,73 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from ..functions.text import trigram_cosine
 
-def overlap_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, codes: str, within: Column) -> DataFrame:
-    """Distinct (left_id, right_id) that share a code and meet a condition on their other columns, joined by the codes."""
-    a, b = left.withColumn("__code", F.explode(codes)).drop(codes), right.withColumn("__code", F.explode(codes)).drop(codes)
-    return a.join(b, "__code").where(within).select(left_id, right_id).distinct()
+
+def overlap_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, codes: str, left_at: str, right_at: str, seconds: int) -> DataFrame:
+    """Distinct (left_id, right_id) of different rows that share a code, the right one at most `seconds` older, none newer.
+
+    Rows meet by code and stretch of time as long as the bound: a right row is in its own stretch and the next, so a
+    code that most rows have is spread over time and only close rows are compared. Equal keys go to two plain sides,
+    which Spark can split where one is hot.
+    """
+    second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    stretch = lambda c: F.floor(second(c) / seconds)
+    a = left.select(left_id, left_at, F.explode(F.array_distinct(codes)).alias("__code"), stretch(left_at).alias("__stretch"))
+    b = right.select(right_id, right_at, F.explode(F.array_distinct(codes)).alias("__code"), stretch(right_at).alias("__own"))
+    b = b.select(right_id, right_at, "__code", F.explode(F.array(F.col("__own"), F.col("__own") + 1)).alias("__stretch"))
+    near = a.join(b, ["__code", "__stretch"]).where((F.col(left_id) != F.col(right_id)) & (F.col(right_at) <= F.col(left_at)) & (F.col(right_at) >= F.col(left_at) - F.make_dt_interval(secs=F.lit(seconds))))
+    return near.select(left_id, right_id).distinct()
 
 
 def newest_before(rows: DataFrame, history: DataFrame, key: str, row_id: str, at: str, past_id: str, past_at: str, least: str, most: str) -> DataFrame:
-    """(row_id, past_id): the newest earlier row of the same key that is between `least` and `most` (intervals) older."""
-    joined = rows.join(history, key).where(F.col(past_at).between(F.col(at) - F.expr(f"interval {most}"), F.col(at) - F.expr(f"interval {least}")))
-    return joined.groupBy(row_id).agg(F.max_by(past_id, F.struct(past_at, past_id)).alias(past_id))
+    """(row_id, past_id): the newest earlier row of the same key that is between `least` and `most` (intervals) older.
+
+    Both tables are put in one order of time per key, the rows moved back by `least`; the last past row before each is
+    the newest one, and is taken if it isn't too old. No row is joined to the history of its key.
+    """
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    past = F.struct(F.col(past_at).alias("at"), F.col(past_id).alias("id"))
+    asked = rows.where(f"{key} is not null and {at} is not null").select(key, (F.col(at) - F.expr(f"interval {least}")).alias("__at"), F.lit(1).alias("__side"), F.col(row_id), F.col(at), F.struct(none(history, past_at).alias("at"), none(history, past_id).alias("id")).alias("__past"))
+    known = history.where(f"{key} is not null and {past_at} is not null").select(key, F.col(past_at).alias("__at"), F.lit(0).alias("__side"), none(rows, row_id).alias(row_id), none(rows, at).alias(at), past.alias("__past"))
+    upto = W.partitionBy(key).orderBy("__at", "__side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = known.union(asked).withColumn("__last", F.max(F.when(F.col("__side") == 0, F.col("__past"))).over(upto)).where("__side = 1")
+    near = found.where(F.col("__last.at") >= F.col(at) - F.expr(f"interval {most}"))
+    return near.groupBy(row_id).agg(F.max("__last").alias("__last")).select(row_id, F.col("__last.id").alias(past_id))
+
+
+def alike_pairs(names: DataFrame, key: list[str], name: str, grams: str, least: float) -> DataFrame:
+    """(key, a, b, cosine) of distinct names of a key whose sets of trigrams have a cosine of at least `least`, a < b.
+
+    Such a pair shares at least least² of either set, so the first n - ceil(least² n) + 1 grams of both, in one order of
+    all grams, have one in common: only those are joined.
+    """
+    distinct = names.where(F.size(grams) > 0).groupBy(*key, name).agg(F.any_value(grams).alias("__grams"))
+    n = F.size("__grams")
+    few = (n - F.ceil(n * F.lit(least * least) - 1e-9) + 1).cast("int")
+    hashed = F.array_sort(F.transform("__grams", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    probes = distinct.select(*key, name, F.explode(F.slice(hashed, F.lit(1), few)).alias("__gram"))
+    side = lambda c: probes.select(*key, F.col(name).alias(c), F.col("__gram.g").alias("__gram"))
+    met = side("a").join(side("b"), [*key, "__gram"]).where("a < b").select(*key, "a", "b").distinct()
+    whole = lambda c: distinct.select(*key, F.col(name).alias(c), F.col("__grams").alias(f"__{c}"))
+    both = met.join(whole("a"), [*key, "a"]).join(whole("b"), [*key, "b"])
+    return both.withColumn("cosine", trigram_cosine(F.col("__a"), F.col("__b"))).where(F.col("cosine") >= least - 1e-12).select(*key, "a", "b", "cosine")
+
+
+def edit_pairs(names: DataFrame, key: list[str], name: str, most: int) -> DataFrame:
+    """(key, a, b, distance) of distinct names of a key at most `most` edits apart, a < b.
+
+    Names at most `most` edits apart have a variant in common, each with up to `most` characters deleted: variants are
+    joined, then the distance is computed.
+    """
+    distinct = names.where(F.col(name).isNotNull()).select(*key, name).distinct().withColumn("__variants", F.array(name))
+    for _ in range(most):
+        less = F.flatten(F.transform("__variants", lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1))), lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v))))))
+        distinct = distinct.withColumn("__variants", F.array_union("__variants", less))
+    probes = distinct.select(*key, name, F.explode("__variants").alias("__variant"))
+    side = lambda c: probes.select(*key, F.col(name).alias(c), "__variant")
+    met = side("a").join(side("b"), [*key, "__variant"]).where("a < b").select(*key, "a", "b").distinct()
+    return met.withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0")
 
 
 def first_alias(rows: DataFrame, key: str, tables: list[tuple[DataFrame, str]], fallback: Column, out: str) -> DataFrame:

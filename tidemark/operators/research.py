@@ -52,6 +52,7 @@ LIST_HEAD = r"参与单位|参与机构|参加单位|出席单位|参会机构|
 LIST_END = r"时间[:：]?|地点[:：]?|方式[:：]?|日期[:：]?|上市公司接待|接待人|交流内容|主要内容|问答情况|问题[一二三四五六七八九十\d]*\s*[:：]|备注[:：]?|公司简介|会议纪要|问\s*[:：]|答\s*[:：]"
 INSTITUTION = r"(?:证券|基金|基金管理|保险|人寿|信托|资产管理|资本管理|投资管理|创业投资|资管|资产|资本|投资|私募|理财|养老|合伙企业|创投|银行|期货|金控|集团|控股|研究院|研究所|公司)$"
 DATE_LABEL = r"(?:活动|调研|会议|接待|路演|说明会|交流)?(?:时间|日期)|活动安排|日程安排"
+LIST_MARKS = "[^、，,；;|]"
 _TO = r"\s*(?:至|—|–|-|～|~|到)\s*"
 _DAY = r"(?:(20\d{2})(?:年|[./-]))?(\d{1,2})(?:月|[./-])(\d{1,2})日?"
 DATES = r"(?:20\d{2}(?:年|[./-]))?(?<!\d)\d{1,2}(?:月|[./-])\d{1,2}日?(?!\d)(?:" + _TO + r"(?:20\d{2}(?:年|[./-]))?(?:\d{1,2}(?:月|[./-]))?\d{1,2}日?(?!\d))?"
@@ -172,6 +173,36 @@ def participants(text: Column) -> Column:
     return F.array_distinct(F.transform(good, lambda x: x["n"]))
 
 
+def mention_context(line: Column, name: Column) -> Column:
+    """The list item of a line that holds a name, not the whole line; the name itself if the line has none."""
+    at = F.instr(line, name)
+    before = F.regexp_extract(F.substring(line, F.lit(1), at - 1), LIST_MARKS + r"*$", 0)
+    after = F.regexp_extract(F.substring(line, at + F.length(name), F.length(line)), "^" + LIST_MARKS + "*", 0)
+    item = F.regexp_replace(F.concat(before, name, after), r"^\s+|\s+$", "")
+    return F.when((at > 0) & (item != ""), item).otherwise(name)
+
+
+def assembled(records: DataFrame, record: str, code: str, text: str, published: str) -> DataFrame:
+    """One row per record: (record, activity_id, code, days, precision, kind, reported, named, question_count,
+    high_depth, depth_counts, topic_counts). Named are the eligible organisations of the list, each name form once,
+    judged by their own list item. Records without text or code are left out.
+    """
+    rows = records.where((F.trim(F.coalesce(text, F.lit(""))) != "") & F.col(code).isNotNull()).select(record, code, text, published)
+    days = activity_dates(rows, record, text, published).groupBy(record).agg(F.array_sort(F.collect_set("day")).alias("days"), F.first("precision").alias("precision"))
+    lines = rows.select(record, F.explode(participants(F.col(text))).alias("name"), text)
+    own = F.try_element_at(F.filter(F.split(text, "\n"), lambda line: F.contains(line, F.col("name"))), F.lit(1))
+    people = lines.select(record, "name", normalize_institution(F.col("name")).alias("alias"), mention_context(F.coalesce(own, F.col("name")), F.col("name")).alias("context"))
+    counts = eligibility(F.col("name"), institution_type(F.col("alias")), F.col("context"))["eligible"]
+    named = people.where(counts).groupBy(record).agg(F.count_distinct("alias").alias("named"))
+    asked = rows.select(record, code, activity_kind(F.col(text)).alias("kind"), reported_count(F.col(text)).alias("reported"), questions(F.col(text)).alias("q"))
+    out = asked.join(days, record).join(named, record, "left")
+    tally = lambda field, names: F.map_from_entries(F.transform(F.array(*map(F.lit, names)), lambda k: F.struct(k, F.size(F.filter("q", lambda q: q[field] == k)))))
+    activity = F.concat(F.lit("activity:"), F.substring(F.sha1(F.concat_ws("|", record, code)), 1, 16))
+    depths = tally("depth", ("low", "medium", "high"))
+    topics = F.map_filter(tally("topic", (*(n for n, _ in TOPICS), "other")), lambda _, n: n > 0)
+    return out.select(record, activity.alias("activity_id"), code, "days", "precision", "kind", "reported", F.coalesce("named", F.lit(0)).alias("named"), F.size("q").alias("question_count"), depths["high"].alias("high_depth"), depths.alias("depth_counts"), topics.alias("topic_counts"))
+
+
 def company_self(name: Column, own_names: Column) -> Column:
     """True if a name is one of the company's own, with or without a legal suffix."""
     bare = lambda c: F.regexp_replace(c, LEGAL_SUFFIX, "")

@@ -131,6 +131,22 @@ def persistent_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_documents(docs)
 
 
+@query("""WITH o AS (SELECT o_custkey, o_orderpriority AS p, o_orderkey, epoch(o_orderdate)::BIGINT AS t, CAST(o_orderkey AS VARCHAR) AS id FROM orders),
+ g AS (SELECT *, coalesce(t - lag(t) OVER w > 259200, true) AS opens, t - lag(t) OVER w AS gap FROM o WINDOW w AS (PARTITION BY o_custkey, p ORDER BY t, id)),
+ r AS (SELECT *, sum(opens::INT) OVER (PARTITION BY o_custkey, p ORDER BY t, id) AS run FROM g),
+ f AS (SELECT o_custkey, p, run, substr(sha1(arg_min(id, (t, id))), 1, 16) AS event_id, min(gap) FILTER (opens) AS gap FROM r GROUP BY 1, 2, 3),
+ h AS (SELECT *, CASE WHEN gap <= 15552000 THEN lag(event_id) OVER (PARTITION BY o_custkey, p ORDER BY run) END AS historical_event_id FROM f)
+ SELECT id AS document_id, event_id, historical_event_id FROM r JOIN h USING (o_custkey, p, run)""")
+def cluster_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persistent clusters of orders whose titles are alike only if equal: chains within 72 hours, linked to older ones."""
+    none = F.lit(None).cast("string")
+    docs = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("document_id"), F.col("o_orderdate").cast("timestamp").alias("at"), F.md5("o_orderpriority").alias("title"), F.lit("").alias("body"),
+        none.alias("url"), none.alias("content_hash"), none.alias("kind_hint"), F.array(F.col("o_custkey").cast("string")).alias("codes"),
+    )
+    return clustering.cluster_documents(docs)
+
+
 @query("""SELECT count(*) AS n, count(*) FILTER (r.s = l.s) AS unchanged, count(*) FILTER (r.s <> l.s) AS corrected FROM (SELECT l_suppkey, string_agg(DISTINCT CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR)) AS s FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' GROUP BY 1) l JOIN (SELECT l_suppkey, string_agg(DISTINCT CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR)) AS s FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-02-01' GROUP BY 1) r USING (l_suppkey)""")
 def correction_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = lambda day: table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit(day).cast("timestamp_ntz")).groupBy("l_suppkey").agg(F.array_sort(F.collect_set("l_partkey")).alias(day))

@@ -18,7 +18,10 @@ def anchor_dedupe_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.anchor_dedupe(events, ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_type, event_id, CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) AS n FROM events),
+f AS (SELECT user_id, event_type, event_id, n, t AS lead_at, event_id AS lead FROM o WHERE n = 1 UNION ALL
+ SELECT o.user_id, o.event_type, o.event_id, o.n, CASE WHEN f.lead_at - o.t > 21600 THEN o.t ELSE f.lead_at END, CASE WHEN f.lead_at - o.t > 21600 THEN o.event_id ELSE f.lead END FROM f JOIN o ON o.user_id = f.user_id AND o.event_type = f.event_type AND o.n = f.n + 1)
+SELECT event_id AS article, lead AS event FROM f""")
 def leader_clustering_6h(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     title = F.concat_ws(" ", "event_type", F.regexp_replace("props", r"[0-9]", ""))
@@ -38,7 +41,7 @@ def cluster_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.representative(docs, "o_custkey", "o_orderkey", "priority", "o_orderdate")
 
 
-@query()
+@query("""SELECT p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_type, p_name, p_size ORDER BY p_retailprice DESC, p_partkey) = 1""")
 def board_family_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_brand", "p_type", "p_retailprice", "p_partkey", "p_name", F.array(F.col("p_size").cast("string")).alias("amounts")).withColumn("points", -F.col("p_retailprice"))
     return folds.board_dedupe(part, ["p_brand", "p_type"], ["points", "p_partkey"], "p_name", "amounts", kind="p_type").select("p_partkey")
@@ -155,7 +158,7 @@ def array_overlap_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_partkey").alias("codes"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").join(codes, "o_orderkey")
     a, b = (orders.select(F.col("o_orderkey").alias(n), F.col("o_orderdate").alias(f"at_{n}"), "codes") for n in "ab")
-    return joins.overlap_pairs(a, b, "a", "b", "codes", (F.col("a") != F.col("b")) & F.col("at_b").between(F.col("at_a") - F.expr("interval 72 hours"), F.col("at_a")))
+    return joins.overlap_pairs(a, b, "a", "b", "codes", "at_a", "at_b", 72 * 3600)
 
 
 @query("""SELECT x.o_orderkey, arg_max(y.o_orderkey, (y.o_orderdate, y.o_orderkey)) AS past FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND y.o_orderdate BETWEEN x.o_orderdate - INTERVAL 180 DAY AND x.o_orderdate - INTERVAL 72 HOUR GROUP BY 1""")

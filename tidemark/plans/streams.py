@@ -46,4 +46,4 @@ f AS (SELECT user_id, event_type, event_id, n, t AS anchor, true AS kept FROM o
  SELECT o.user_id, o.event_type, o.event_id, o.n, CASE WHEN o.t - f.anchor > 86400 THEN o.t ELSE f.anchor END, o.t - f.anchor > 86400 FROM f JOIN o ON o.user_id = f.user_id AND o.event_type = f.event_type AND o.n = f.n + 1)
 SELECT event_id FROM f WHERE kept""")
 def stream_anchor_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drained(streaming.anchored(_events(spark, sf_dir).select("user_id", "event_type", "event_id", "at"), ["user_id", "event_type"], "at", "event_id"))
+    return _drained(streaming.anchored(_events(spark, sf_dir).select("user_id", "event_type", "event_id", "at"), ["user_id", "event_type"], "at", "event_id", "200 days"))

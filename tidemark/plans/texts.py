@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import joins
 from . import query, table
 
 _TITLE = r"[\s,.!?:;''()<>\[\]_-]+"
@@ -132,23 +133,23 @@ def jsonp_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT p_partkey, p_brand, p_type, list_distinct([substr(p_name, CAST(i AS INTEGER), 3) for i in range(1, length(p_name) - 1)]) AS g FROM part WHERE p_size <= 5)
-SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.g, b.g)) / sqrt(CAST(len(a.g) AS DOUBLE) * CAST(len(b.g) AS DOUBLE)) AS cosine
-FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE len(a.g) > 0 AND len(b.g) > 0
+WITH g AS (SELECT DISTINCT p_brand, p_type, p_name, list_distinct([substr(p_name, CAST(i AS INTEGER), 3) for i in range(1, length(p_name) - 1)]) AS g FROM part)
+SELECT p_brand, p_type, a, b, cosine FROM (SELECT a.p_brand, a.p_type, a.p_name AS a, b.p_name AS b, len(list_intersect(a.g, b.g)) / sqrt(CAST(len(a.g) AS DOUBLE) * CAST(len(b.g) AS DOUBLE)) AS cosine
+FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_name < b.p_name WHERE len(a.g) > 0 AND len(b.g) > 0) WHERE cosine >= 0.5 - 1e-12
 """)
 def trigram_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = table(spark, sf_dir, "part").where("p_size <= 5").select("p_partkey", "p_brand", "p_type", X.trigrams(F.col("p_name")).alias("g")).where(F.size("g") > 0)
-    left, right = (grams.select("p_brand", "p_type", F.col("p_partkey").alias(n), F.col("g").alias(f"g{n}")) for n in "ab")
-    return left.join(right, ["p_brand", "p_type"]).where("a < b").select("a", "b", X.trigram_cosine(F.col("ga"), F.col("gb")).alias("cosine"))
+    """Pairs of the distinct names of a brand and type: parts of one name are one side."""
+    grams = table(spark, sf_dir, "part").select("p_brand", "p_type", "p_name", X.trigrams(F.col("p_name")).alias("g"))
+    return joins.alike_pairs(grams, ["p_brand", "p_type"], "p_name", "g", 0.5)
 
 
 @query("""
-SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE a.p_name <> b.p_name AND levenshtein(a.p_name, b.p_name) <= 8
+WITH p AS (SELECT DISTINCT p_brand, p_size, p_name FROM part)
+SELECT a.p_brand, a.p_size, a.p_name AS a, b.p_name AS b, CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) <= 3
 """)
 def edit_distance_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", "p_name")
-    left, right = part.withColumnsRenamed({"p_partkey": "a", "p_name": "x"}), part.withColumnsRenamed({"p_partkey": "b", "p_name": "y"})
-    return left.join(right, ["p_brand", "p_size"]).where("a < b and x <> y").withColumn("distance", F.levenshtein("x", "y", 8)).where("distance >= 0").select("a", "b", "distance")
+    """Pairs of the distinct names of a brand and size: parts of one name are one side."""
+    return joins.edit_pairs(table(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_name", 3)
 
 
 @query("""

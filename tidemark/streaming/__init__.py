@@ -27,22 +27,31 @@ def once(stream: DataFrame, key: str, at: str, delay: str) -> DataFrame:
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def anchored(stream: DataFrame, key: list[str], at: str, row_id: str, seconds: int = 86_400) -> DataFrame:
-    """The streaming form of the anchor fold: state is one time for each key. Rows of a batch are taken in time order."""
+def anchored(stream: DataFrame, key: list[str], at: str, row_id: str, delay: str, seconds: int = 86_400) -> DataFrame:
+    """The streaming form of the anchor fold: state is one time for each key. Rows of a batch are taken in time order.
+
+    A key's state goes once the watermark is past its anchor's window, so state is bounded by the keys of late; rows
+    behind the watermark are too late for it and go as well.
+    """
 
     def keep(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        anchor = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        anchor, mark = state.get[0] if state.exists else None, state.getCurrentWatermarkMs()
         rows, kept = pd.concat(frames), []
         for t, i in sorted(zip(rows["__t"], rows[row_id], strict=True)):
-            if anchor is None or t - anchor > seconds:
+            if t * 1000 >= mark and (anchor is None or t - anchor > seconds):
                 anchor = int(t)
                 kept.append(i)
-        state.update((anchor,))
+        if anchor is not None:
+            state.update((anchor,))
+            state.setTimeoutTimestamp(max((anchor + seconds + 1) * 1000, mark + 1))
         yield pd.DataFrame({row_id: kept})
 
-    timed = stream.withColumn("__t", F.unix_seconds(F.col(at).cast("timestamp")))
+    timed = stream.withWatermark(at, delay).withColumn("__t", F.unix_seconds(F.col(at).cast("timestamp")))
     kind = stream.schema[row_id].dataType.simpleString()
-    return timed.groupBy(*key).applyInPandasWithState(keep, f"{row_id} {kind}", "anchor long", "append", GroupStateTimeout.NoTimeout)
+    return timed.groupBy(*key).applyInPandasWithState(keep, f"{row_id} {kind}", "anchor long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, target: str, checkpoint: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> None:
