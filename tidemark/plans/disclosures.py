@@ -109,6 +109,28 @@ def activity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("c_custkey", "kind", "reported", F.size("q").alias("questions"), F.array_join(F.transform("q", lambda q: F.concat_ws(":", q["depth"], q["topic"])), ",").alias("asked"), F.array_join("people", ",").alias("participants"))
 
 
+@query(f"""SELECT c_custkey, pos, name, CASE pos WHEN 1 THEN name || {_sql_pick(("研究部", "", "（上海）"), 'c_custkey')} ELSE name END AS context, pos = 3 OR pos = 1 AND c_custkey % 3 = 0 AS eligible
+ FROM customer, (VALUES (1, '平安银行'), (2, '招商银行'), (3, '华泰证券')) v(pos, name)""")
+def mention_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each organisation judged by its own list item: a bank's research department counts for that bank alone."""
+    key = F.col("c_custkey")
+    line = F.concat(F.lit("平安银行"), _pick(("研究部", "", "（上海）"), key), F.lit(" ， 招商银行;华泰证券"))
+    names = F.posexplode(F.array(F.lit("平安银行"), F.lit("招商银行"), F.lit("华泰证券")))
+    rows = table(spark, sf_dir, "customer").select(key, line.alias("line"), names.alias("pos", "name")).withColumn("context", research.mention_context(F.col("line"), F.col("name")))
+    counts = research.eligibility(F.col("name"), research.institution_type(F.col("name")), F.col("context"))["eligible"]
+    return rows.select(key, (F.col("pos") + 1).alias("pos"), "name", "context", counts.alias("eligible"))
+
+
+@query(f"""SELECT c_custkey, 'activity:' || substr(sha1(c_custkey || '|600000'), 1, 16) AS activity_id, CAST(make_date(2025, CAST(c_custkey % 12 + 1 AS INTEGER), CAST(c_custkey % 20 + 1 AS INTEGER)) AS VARCHAR) AS days, 'explicit' AS precision, {_sql_pick([k for _, k in KINDS], 'c_custkey')} AS kind,
+ CAST(c_custkey % 40 + 2 AS INTEGER) AS reported, CAST(1 + c_custkey % 3 AS INTEGER) AS question_count, 'low=' || CAST(c_custkey % 3 AS VARCHAR) || ',medium=1,high=0' AS depths, 'orders=1' || CASE WHEN c_custkey % 3 > 0 THEN ',growth=' || CAST(c_custkey % 3 AS VARCHAR) ELSE '' END AS topics FROM customer""")
+def assembled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole activity records, one row each; maps are shown as text."""
+    rows = _records(spark, sf_dir).select("c_custkey", F.lit("600000").alias("code"), "text", F.lit("2025-12-31 10:00:00").cast("timestamp_ntz").alias("published"))
+    shown = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    out = research.assembled(rows, "c_custkey", "code", "text", "published")
+    return out.select("c_custkey", "activity_id", F.array_join(F.col("days").cast("array<string>"), ",").alias("days"), "precision", "kind", "reported", "question_count", shown("depth_counts").alias("depths"), shown("topic_counts").alias("topics"))
+
+
 _DAY = "make_date(2025, CAST(c_custkey % 12 + 1 AS INTEGER), CAST(c_custkey % 20 + 1 AS INTEGER))"
 
 
