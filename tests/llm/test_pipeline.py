@@ -40,6 +40,7 @@ def test_pipeline_equals_brute_force(spark, folder):
     key = lambda i: (i is not None, i or 0)
     assert sorted((key(r.doc_id), r.size, round(r.target, 6), r.taken) for r in got) == sorted((key(i), n, round(t, 6), k) for i, n, t, k in want)
     assert 0 < len(got) < docs.count()
+    assert sorted((key(r.doc_id), r.text or "") for r in got) == sorted((key(i), t or "") for i, t, _ in rows)
 
 
 def test_all_but_the_last_stage_keep_the_columns(spark, folder):

@@ -1,5 +1,7 @@
 """Near copies, lines, benchmark passages, quality and mixing against brute force."""
 
+from collections import Counter
+
 import brute
 import numpy as np
 import pytest
@@ -163,3 +165,16 @@ def test_held_out_labels_are_told_apart(spark):
     auc = ((good[:, None] > bad[None, :]) + 0.5 * (good[:, None] == bad[None, :])).mean()
     print("held-out AUC", round(float(auc), 4), "of", len(rows))
     assert auc > 0.9
+
+
+def test_the_mixed_corpus_holds_each_row_as_often_as_taken(spark):
+    rows = [(i, "a b " * (1 + i % 3), f"s{min(i % 9, 2)}", i, "x") for i in range(60)] + [(None, "c d", None, 1, None), (7, None, "s0", 2, None), (7, "", "s0", 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, copy string")
+    counts = mixing.mix(docs, with_text=True).collect()
+    out = mixing.emitted(docs)
+    assert out.columns == ["doc_id", "text", "source", "size", "copy"]
+    want = Counter({(r.doc_id, r.text): 0 for r in counts})
+    for r in counts:
+        want[r.doc_id, r.text] += r.copies
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == +want and len(counts) == len(rows)
+    assert mixing.emitted(docs.limit(0)).count() == 0

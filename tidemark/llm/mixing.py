@@ -60,22 +60,42 @@ def uniform(key: F.Column, seed: str = SEED) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST, seed: str = SEED) -> DataFrame:
-    """(id_col, size, source_size, target, copies, taken) of every row of docs.
+def _counted(docs: DataFrame, id_col: str, text_col: str, source_col: str, most: int, seed: str, *more: F.Column) -> DataFrame:
+    """(id, size, source_size, target, copies) of every row of docs, and more columns of it."""
+    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *more)
+    if not more:  # small rows: words are counted once; texts are read again rather than written
+        rows = cut(rows)
+    rates = cut(source_rates(rows.select("source", "size"), most))
+    if rates.count() <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
+    joined = rows.alias("d").join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source"))).drop("source")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    extra = uniform(F.col("id"), seed) < F.col("rate") - F.floor("rate")
+    return joined.withColumn("rate", rate).withColumn("copies", F.floor("rate") + extra.cast("long"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST, seed: str = SEED, with_text: bool = False) -> DataFrame:
+    """(id_col, size, source_size, target, copies, taken) of every row of docs, and its text_col if asked for.
 
     A row is taken floor(rate) times, and once more if its id's hash falls below the rate's fraction. Null texts and
     texts without words have size 0 and take 0 words. A null source is a source of its own. Rows that share an id share
     the decision on the extra copy. An empty table gives an empty table. Other columns are not read.
     """
-    sizes = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
-    rates = cut(source_rates(sizes, most))
-    if rates.count() <= BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
-    joined = sizes.alias("d").join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor("rate") + (uniform(F.col("id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
-    out = joined.select("id", "size", "source_size", "target", rate.alias("rate")).withColumn("copies", copies)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    more = [F.col(text_col).alias("__text")] if with_text else []
+    out = _counted(docs, id_col, text_col, source_col, most, seed, *more)
+    shown = [F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")]
+    return out.select(*shown, *([F.col("__text").alias(text_col)] if with_text else []))
+
+
+def emitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST, seed: str = SEED, copy: str = "copy") -> DataFrame:
+    """The mixed corpus: each row of docs as often as mix() takes it, with a column of the copy's number from 1.
+
+    Rows that are not taken are left out. A column of docs that has the name of the copy column is replaced.
+    """
+    out = _counted(docs, id_col, text_col, source_col, most, seed, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != copy)).alias("__row"))
+    taken = out.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy"))
+    return taken.select("__row.*", F.col("__copy").alias(copy))
 
 
 ORACLE_SQL = r"""
