@@ -35,8 +35,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document."""
-    return mixing.mix(docs)
+    """Each document's text, and how often and how many words the mix takes of it; mixing.emitted() writes the copies."""
+    return mixing.mix(docs, with_text=True)
 
 
 STAGES = [("quality", good), ("line_dedup", lines), ("simhash", copies), ("decontamination", benchmark), ("mixing", mixture)]
