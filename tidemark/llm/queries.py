@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, license_scan, line_dedup, mixing, quality, secret_scan, simhash, url_filter, vector_dedup
+from . import conversation_repair, conversation_sql, decontam, html_extract, license_scan, line_dedup, mixing, quality, secret_scan, simhash, url_filter, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,13 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
-_ALL = (op1_html_extraction, op2_url_filters, op3_benchmark_decontamination, op4_license_scans, op5_simhash_near_dedup, op6_quality_classifier, op7_source_mixing, op8_line_dedup, op9_secret_scans, op10_embedding_near_dedup)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_all(talks, conversation_repair.damaged(talks))
+
+
+_ALL = (op1_html_extraction, op2_url_filters, op3_benchmark_decontamination, op4_license_scans, op5_simhash_near_dedup, op6_quality_classifier, op7_source_mixing, op8_line_dedup, op9_secret_scans, op10_embedding_near_dedup, op11_conversation_repair)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLE: dict[str, str] = {"op2_url_filters": url_filter.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op2_url_filters": url_filter.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL, "op11_conversation_repair": conversation_sql.REPAIR}
