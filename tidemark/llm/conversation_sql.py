@@ -75,3 +75,31 @@ SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
     coalesce(illegal, 0)::BIGINT AS illegal, coalesce(substr(way, 1, 6)::BIGINT, 0) AS cost, coalesce(substr(way, 7), '') AS audit, sha256(coalesce(kept, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
 """
+
+TRIE = f"""
+WITH ordered AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text, conv_id::VARCHAR AS name FROM conversations WHERE conv_id IS NOT NULL
+), talks AS (
+    SELECT conv_id, {crc32("name")} % 6 AS h FROM (SELECT DISTINCT conv_id, name FROM ordered)
+), rebuilt AS (
+    SELECT t.conv_id, 0 AS part, o.pos, o.role, o.text FROM talks t JOIN ordered o ON o.conv_id = t.conv_id - t.conv_id % 100 AND o.pos <= t.h
+    UNION ALL
+    SELECT t.conv_id, 1, o.pos, o.role, o.text FROM talks t JOIN ordered o ON o.conv_id = t.conv_id AND o.pos > t.h
+), steps AS (
+    SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w) AS node
+    FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), paths AS (
+    SELECT conv_id, depth, chars, node FROM steps UNION ALL SELECT conv_id, 0, 0, '' FROM talks
+), ended AS (
+    SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM paths
+), nodes AS (
+    SELECT node, min(parent) AS parent, any_value(depth) AS depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM ended GROUP BY node
+), kids AS (
+    SELECT n.*, (n.n_convs - 1) * n.chars AS saved, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN (SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent) k ON k.parent = n.node
+), sums AS (
+    SELECT p.node, count(*) FILTER (k.n_children = 0) AS n_leaves, sum(k.saved) AS saved_tokens FROM kids k JOIN paths p ON p.conv_id = k.conv_id AND p.depth <= k.depth GROUP BY p.node
+)
+SELECT k.conv_id, k.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_convs::BIGINT AS n_convs, k.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+FROM kids k JOIN sums s USING (node) LEFT JOIN nodes p ON p.node = k.parent
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, conversation_sql, decontam, html_extract, license_scan, line_dedup, mixing, quality, secret_scan, simhash, substring_dedup, url_filter, vector_dedup
+from . import conversation_repair, conversation_sql, decontam, html_extract, license_scan, line_dedup, mixing, prefix_trie, quality, secret_scan, simhash, substring_dedup, url_filter, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +66,12 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).drop("spans")
 
 
-_ALL = (op1_html_extraction, op2_url_filters, op3_benchmark_decontamination, op4_license_scans, op5_simhash_near_dedup, op6_quality_classifier, op7_source_mixing, op8_line_dedup, op9_secret_scans, op10_embedding_near_dedup, op11_conversation_repair, op12_substring_dedup)
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+_ALL = (op1_html_extraction, op2_url_filters, op3_benchmark_decontamination, op4_license_scans, op5_simhash_near_dedup, op6_quality_classifier, op7_source_mixing, op8_line_dedup, op9_secret_scans, op10_embedding_near_dedup, op11_conversation_repair, op12_substring_dedup, op13_conversation_prefix_trie)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLE: dict[str, str] = {"op2_url_filters": url_filter.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL, "op11_conversation_repair": conversation_sql.REPAIR, "op12_substring_dedup": substring_dedup.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op2_url_filters": url_filter.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL, "op11_conversation_repair": conversation_sql.REPAIR, "op12_substring_dedup": substring_dedup.ORACLE_SQL, "op13_conversation_prefix_trie": conversation_sql.TRIE}
