@@ -44,11 +44,15 @@ BLOCK_BYTES = 2 << 20
 #: Phrases of one automaton, and windows of a piece of text that phrases are cut from.
 SHARD_PHRASES, PIECE = 20_000, 64
 EMPTY = sha256(b"").hexdigest()
+#: A document's number holds its task, its block in it and its place in that: bits of the last, and of the last two.
+PLACE_BITS, BLOCK_BITS = 22, 42
+#: A word is two letters, of a digit each: nodes of an automaton are searched through, so they should have few children.
+DIGITS, HIGH = 128, 0x100
 #: Salts of the two halves of a window's hash.
 ONE, TWO = 21, 22
 
 _DOCS = pa.schema([*((c, pa.int64()) for c in ("block", "uid", "doc_id", "n_words")), ("sha", pa.string()), ("same", pa.int64()), ("text", pa.string())])
-_FOUND = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("block", "uid", "doc_id")), ("piece", pa.int32()), ("base", pa.int32()), ("text", pa.string()), *((c, pa.list_(pa.int64())) for c in ("h1", "h2", "uids", "ids")), ("pos", pa.list_(pa.int32())), ("multi", pa.list_(pa.bool_()))])
+_FOUND = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("block", "uid", "doc_id")), ("piece", pa.int32()), ("base", pa.int32()), ("text", pa.string()), *((c, pa.list_(pa.int64())) for c in ("h1", "uids", "ids", "at")), ("h2", pa.list_(pa.int32()))])
 _SPANS = pa.schema([("uid", pa.int64()), ("removed", pa.int64()), ("kept_sha", pa.string()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("kept", pa.string())])
 
 #: DuckDB SQL for the rows of the query.
@@ -99,23 +103,24 @@ class Words:
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
     """The documents with their block, row number, words and digest of the words, stored."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = TaskContext.get().partitionId() << 33, 0
+        block, size, place = TaskContext.get().partitionId() << BLOCK_BITS - PLACE_BITS, 0, 0
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
-                raw, blocks, counts, digests = data.tobytes(), [], [], []
+                raw, uids, counts, digests = data.tobytes(), [], [], []
                 for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    if size and size + e - s > block_bytes:
-                        block, size = block + 1, 0
+                    if size and size + e - s > block_bytes or place >> PLACE_BITS:
+                        block, size, place = block + 1, 0, 0
                     size += e - s
+                    uids.append(block << PLACE_BITS | place)
+                    place += 1
                     words = raw[s:e].split()
-                    blocks.append(block)
                     counts.append(len(words))
                     digests.append(sha256(b" ".join(words)))
                 same = np.frombuffer(b"".join(d.digest()[:8] for d in digests), "<i8")
-                columns = [pa.array(blocks), part.column(0), part.column(1), pa.array(counts), pa.array([d.hexdigest() for d in digests]), pa.array(same), part.column(2)]
+                columns = [pa.array([u >> PLACE_BITS for u in uids]), pa.array(uids), part.column(0), pa.array(counts), pa.array([d.hexdigest() for d in digests]), pa.array(same), part.column(1)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _DOCS, strict=True)], schema=_DOCS)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return stored(rows.mapInArrow(make, from_arrow_schema(_DOCS)))
 
 
@@ -183,44 +188,47 @@ def _candidates(docs: pa.Table, side: pa.Table) -> pa.Table:
                 out.append({"kind": 1, "block": block, "uid": uid[t], "piece": base // PIECE, "base": base, "text": kept.decode()})
             ids = np.array([-1 if x is None else x for x in doc_id], np.int64)
             none = np.array([x is None for x in doc_id])
-            found.append((words.windows(chosen, ONE), words.windows(chosen, TWO), ~none[text], ids[text], np.array(uid, np.int64)[text], at))
+            found.append((words.windows(chosen, ONE), words.windows(chosen, TWO).astype(np.uint32).view(np.int32), ~none[text], ids[text], np.array(uid, np.int64)[text], at))
     if found:
         h1, h2, named, ids, uids, at = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((at, uids, ids, named, h2, h1))
-        h1, h2, named, ids, uids, at = (x[order] for x in (h1, h2, named, ids, uids, at))
-        new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+        new = np.append(True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]))
         first = np.flatnonzero(new)
-        multi = np.diff(np.append(first, len(h1))) > 1
+        multi = np.zeros(len(h1), np.int64)
+        multi[order[first]] = np.diff(np.append(first, len(h1))) > 1
+        first = np.sort(order[first])  # in the order of texts, which compresses better
         for i in range(0, len(first), 4096):
             x = first[i : i + 4096]
             known = [v if k else None for v, k in zip(ids[x].tolist(), named[x].tolist(), strict=True)]
-            out.append({"kind": 2, "block": block, "h1": h1[x].view(np.int64), "h2": h2[x].view(np.int64), "uids": uids[x], "ids": known, "pos": at[x].astype(np.int32), "multi": multi[i : i + 4096].tolist()})
+            out.append({"kind": 2, "block": block, "h1": h1[x].view(np.int64), "h2": h2[x], "uids": uids[x], "ids": known, "at": at[x] << 1 | multi[x]})
     return pa.Table.from_pylist(out, _FOUND)
 
 
-def shards(phrases: Iterator[tuple[list[str], list[int], int, int]], most: int) -> Iterator[tuple[object, dict[str, str]]]:
-    """Automata of at most so many phrases each, with the letters of their words.
+def spelling(i: int) -> str:
+    """The two letters of word number i."""
+    high = HIGH + i // DIGITS
+    return chr(high if high < 0xD800 else high + 0x800) + chr(1 + i % DIGITS)  # surrogates are no characters
 
-    phrases: words of a piece, the places in the document of the windows asked for, the place of its first word, and
-    the document's row. Each phrase leads to (row, place).
+
+def shards(phrases: list[tuple[str, list[int], int, int]], most: int) -> Iterator[object]:
+    """Automata of at most so many phrases each.
+
+    phrases: a piece of text in letters, the places in its document of the windows asked for, the place of its first
+    word, and the document's number. Each phrase leads to (number, place).
     """
     import ahocorasick
 
-    def letter(i: int) -> str:  # surrogates are no characters
-        return chr(i + 1 if i + 1 < 0xD800 else i + 0x801)
-
-    automaton, letters = ahocorasick.Automaton(), {}
-    for words, asked, base, uid in phrases:
+    automaton = ahocorasick.Automaton()
+    for letters, asked, base, uid in phrases:
         for at in asked:
-            window = words[at - base : at - base + WINDOW]
-            automaton.add_word("".join(letters.setdefault(w, letter(len(letters) + 1)) for w in window), (uid, at))
-            if len(automaton) >= most:
-                automaton.make_automaton()
-                yield automaton, letters
-                automaton, letters = ahocorasick.Automaton(), {}
+            automaton.add_word(letters[2 * (at - base) : 2 * (at - base + WINDOW)], (uid, at))
+        if len(automaton) >= most:
+            automaton.make_automaton()
+            yield automaton
+            automaton = ahocorasick.Automaton()
     if len(automaton):
         automaton.make_automaton()
-        yield automaton, letters
+        yield automaton
 
 
 def _split(text: str) -> list[str]:
@@ -231,14 +239,21 @@ def _located(most: int, with_text: bool):
     """The documents of a block streamed through its automata: what is covered in each."""
 
     def locate(docs: pa.Table, phrases: pa.Table) -> pa.Table:
+        letters: dict[str, str] = {}
+        asked = []
+        for p in phrases.to_pylist():
+            for w in (own := _split(p["text"])):
+                if w not in letters:
+                    letters[w] = spelling(len(letters))
+            asked.append(("".join([letters[w] for w in own]), p["asked"], p["base"], p["fuid"]))
         rows = docs.select(["uid", "text"]).to_pylist()
         words = [_split(r["text"]) for r in rows]
+        spelt = ["".join([letters.get(w, "\0\0") for w in own]) for own in words]
         covered = [np.zeros(len(w) + 1, np.int32) for w in words]
-        asked = ((_split(p["text"]), p["asked"], p["base"], p["fuid"]) for p in phrases.to_pylist())
-        for automaton, letters in shards(asked, most):
-            for r, own, marks in zip(rows, words, covered, strict=True):
+        for automaton in shards(asked, most):
+            for r, own, marks in zip(rows, spelt, covered, strict=True):
                 uid = r["uid"]
-                hits = [end for end, (fuid, at) in automaton.iter("".join([letters.get(w, "\x01") for w in own])) if fuid != uid or at != end - WINDOW + 1]
+                hits = [end // 2 for end, (fuid, at) in automaton.iter(own) if fuid != uid or at != end // 2 - WINDOW + 1]
                 if hits:
                     np.add.at(marks, np.array(hits) - WINDOW + 1, 1)
                     np.add.at(marks, np.array(hits) + 1, -1)
@@ -271,13 +286,14 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     side = recurring.select("block", "h", none.alias("uid")).union(reps.select("block", none, "uid"))
 
     found = stored(long.select(own_block, "uid", "doc_id", "text").groupBy("block").cogroup(side.groupBy("block")).applyInArrow(_candidates, from_arrow_schema(_FOUND)))
-    zipped = F.inline(F.arrays_zip("h1", "h2", "uids", "ids", "pos", "multi")).alias("h1", "h2", "uid", "doc_id", "pos", "multi")
-    windows = found.where("kind = 2").select("block", zipped)
+    windows = found.where("kind = 2").select(F.inline(F.arrays_zip("h1", "h2", "uids", "ids", "at")).alias("h1", "h2", "uid", "doc_id", "at"))
     by = W.partitionBy("h1", "h2")
-    first = F.min(F.struct("doc_id", "uid", "pos")).over(by)
-    repeated = windows.select("block", first.alias("f"), (F.col("multi") | (F.count("*").over(by) > 1)).alias("recurs")).where("recurs")
-    # block and document that each phrase comes from, by the piece that holds its text
-    asked = repeated.groupBy("block", F.col("f.uid").alias("fuid"), F.floor(F.col("f.pos") / PIECE).cast("int").alias("piece")).agg(F.collect_list("f.pos").alias("asked"))
+    first = F.min(F.struct("doc_id", "uid", "at")).over(by)
+    repeated = windows.select("uid", "at", first.alias("f"), (F.col("at") % 2 == 1).alias("multi"), (F.count("*").over(by) > 1).alias("more"))
+    # a block asks for the phrases that stand in it but not only at their first place
+    repeated = repeated.where(F.col("multi") | (F.col("more") & ((F.col("uid") != F.col("f.uid")) | (F.col("at") != F.col("f.at")))))
+    repeated = repeated.select(F.shiftright("uid", PLACE_BITS).alias("block"), F.col("f.uid").alias("fuid"), F.shiftright("f.at", 1).cast("int").alias("pos"))
+    asked = repeated.groupBy("block", "fuid", F.floor(F.col("pos") / PIECE).cast("int").alias("piece")).agg(F.collect_list("pos").alias("asked"))
     pieces = found.where("kind = 1").select(F.col("uid").alias("fuid"), "piece", "base", "text")
     phrases = asked.join(pieces, ["fuid", "piece"]).select("block", "fuid", "base", "text", "asked")
 
