@@ -9,21 +9,25 @@ from pyspark.sql import functions as F
 from ..plans.session import cut
 
 PART, BEFORE = "__tidemark_part", "__tidemark_before"
+#: Rows up to which one task numbers them all: fewer than a range is worth.
+ONE_TASK = 100_000
 
 
-def numbered(df: DataFrame, *order: Column, name: str = "n") -> DataFrame:
+def numbered(df: DataFrame, *order: Column, name: str = "n", one_task: int = ONE_TASK) -> DataFrame:
     """df with its rows numbered from 1 in an order; among equal rows the numbers are any.
 
-    Rows are cut into ranges, numbered within each and moved up by the rows of the ranges before: one count for each
-    range is all that is collected. Equal rows are in one range.
+    df is computed once, and counted. Up to one_task rows are numbered in one task; more are cut into ranges, numbered
+    within each and moved up by the rows of the ranges before: one count for each range is all that is collected. Equal
+    rows are in one range.
     """
-    ranged = cut(df.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
+    once = cut(df)
+    if once.count() <= one_task:
+        return once.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long"))
+    ranged = cut(once.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
     total, before = 0, []
     for r in ranged.groupBy(PART).count().orderBy(PART).collect():
         before.append((r[PART], total))
         total += r["count"]
-    if not before:
-        return ranged.withColumn(name, F.lit(0).cast("long")).drop(PART)
     sizes = df.sparkSession.createDataFrame(before, f"{PART} int, {BEFORE} long")
     own = F.row_number().over(W.partitionBy(PART).orderBy(*order))
     # one row for each range, of which there are as many as shuffle partitions

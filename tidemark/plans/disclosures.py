@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as X
-from ..operators import extraction, folds, research, scoring
+from ..operators import extraction, folds, participants, research, scoring
 from ..sources import feeds, sinks
 from . import query, table
 from .session import shared_dir
@@ -131,6 +131,37 @@ def assembled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", "activity_id", F.array_join(F.col("days").cast("array<string>"), ",").alias("days"), "precision", "kind", "reported", "question_count", shown("depth_counts").alias("depths"), shown("topic_counts").alias("topics"))
 
 
+HAN_DIGITS = "零一二三四五六七八九"
+
+
+def _fund(key: Column) -> Column:
+    """A made name without a telling ending: the key in Chinese digits."""
+    return F.concat(F.translate(key.cast("string"), "0123456789", HAN_DIGITS), F.lit("谷汇融"))
+
+
+_SQL_FUND = f"translate(CAST({{}} AS VARCHAR), '0123456789', '{HAN_DIGITS}') || '谷汇融'"
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM supplier), o AS (SELECT o_orderkey, {_SQL_FUND.format("o_custkey % n")} AS a, {_SQL_FUND.format("o_orderkey % n")} AS b, o_orderkey % 4 AS k FROM orders, n),
+ v AS (SELECT *, unnest(CASE k WHEN 0 THEN ['国寿安保基金', '正心谷', a, '高毅资产', b, '华泰资产'] WHEN 1 THEN ['淡水泉投资', a, b, '和风亚洲基金'] WHEN 2 THEN ['南方基金', a, '西南证券'] ELSE [a, '敦美投资', 'TX Capital'] END) AS name,
+  unnest(range(6)) AS pos FROM o)
+ SELECT o_orderkey, string_agg(name, ',' ORDER BY pos) AS names FROM (SELECT o_orderkey, name, min(pos) AS pos FROM v WHERE name IS NOT NULL GROUP BY ALL) GROUP BY o_orderkey""")
+def listed_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists with names broken over lines, glued, joined by 和, with persons or remarks; made names are the suppliers'."""
+    known = table(spark, sf_dir, "supplier").select(research.normalize_institution(_fund(F.col("s_suppkey"))).alias("alias"))
+    n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))  # one row
+    orders = table(spark, sf_dir, "orders").crossJoin(F.broadcast(n)).select("o_orderkey", _fund(F.col("o_custkey") % F.col("n")).alias("a"), _fund(F.col("o_orderkey") % F.col("n")).alias("b"))
+    a, b, say = F.col("a"), F.col("b"), F.lit
+    kinds = [
+        F.concat(say("参与单位名称\n国寿安保基金、正心谷"), a, say("、高\n毅资产、"), F.substring(b, F.lit(1), F.length(b) - 1), say("\n"), F.substring(b, F.length(b), F.lit(1)), say("、华泰资产及个\n人投资者等\n时间 2026年5月11日\n")),
+        F.concat(say("参与单位：淡水泉投资和"), a, say("、和"), b, say("、和风亚洲基金\n交流内容：略\n")),
+        F.concat(say("参与单位名称及人员姓名\n南方基金史博、应帅、邹寅隆、"), a, say("周泰、西南证券王龙钰\n时间 2026年5月15日\n")),
+        F.concat(say("参与单位名称\n"), a, say("：李晓光\n2、敦美投资：王千\nTX Capital: A B\n地点：会议室\n")),
+    ]
+    text = orders.select("o_orderkey", F.element_at(F.array(*kinds), (F.col("o_orderkey") % 4).cast("int") + 1).alias("text"))
+    return participants.listed_names(text, "o_orderkey", "text", known, "alias").select("o_orderkey", F.array_join("names", ",").alias("names"))
+
+
 _DAY = "make_date(2025, CAST(c_custkey % 12 + 1 AS INTEGER), CAST(c_custkey % 20 + 1 AS INTEGER))"
 
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import streaming
+from ..operators import paging
+from ..operators.order import numbered
+from ..sources import commits
 from . import query, table
-from .session import shared_dir
+from .session import cut, shared_dir
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,3 +51,42 @@ f AS (SELECT user_id, event_type, event_id, n, t AS anchor, true AS kept FROM o
 SELECT event_id FROM f WHERE kept""")
 def stream_anchor_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(streaming.anchored(_events(spark, sf_dir).select("user_id", "event_type", "event_id", "at"), ["user_id", "event_type"], "at", "event_id", "200 days"))
+
+
+_PAGES, _BUDGET, _CUT = 6, 4, "1998-01-01"
+_LISTED = f"""WITH o AS (SELECT o_orderkey, o_orderpriority AS source, CAST(o_orderdate AS DATE) AS day, max(n) OVER () AS most FROM orders JOIN (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) USING (o_orderpriority)),
+ p AS (SELECT *, CASE WHEN day <= DATE '{_CUT}' THEN (row_number() OVER (PARTITION BY source, day <= DATE '{_CUT}' ORDER BY day DESC, o_orderkey DESC) - 1) // CAST(ceil(most / {_PAGES}) AS BIGINT) + 1 END AS page FROM o)"""
+
+
+def _listing(documents: DataFrame, size: int) -> DataFrame:
+    """Pages of so many documents for each source, newest first."""
+    order = [F.col("source"), F.desc("published"), F.desc("document")]
+    placed = numbered(documents, *order)
+    first = placed.groupBy("source").agg(F.min("n").alias("first"))
+    return placed.join(first, "source").select("source", (F.floor((F.col("n") - F.col("first")) / size) + 1).cast("int").alias("page"), "document", "published")
+
+
+@query(_LISTED + f""" SELECT o_orderkey, source, CASE WHEN page IS NULL THEN 3 WHEN page <= {_BUDGET} THEN 1 ELSE 2 END AS batch FROM p""")
+def resumed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the run that read them: two runs over one listing, each cut short, and one over a longer listing.
+
+    The second run fails between its rows and their marker and is sent again; the third is sent twice.
+    """
+    root = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    documents = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source"), F.col("o_orderkey").alias("document"), F.col("o_orderdate").cast("date").alias("published"))
+    size = -(-(documents.groupBy("source").count().agg(F.max("count")).first()[0] or 1) // _PAGES)
+    early, late = _listing(documents.where(F.col("published") <= F.lit(_CUT).cast("date")), size), _listing(documents, size)
+    schema = "source string, document long, published date, step int"
+
+    def sent(batch: int, listing: DataFrame, fails: bool = False) -> None:
+        known, cursors = commits.rows(spark, root, "documents", schema), commits.newest(spark, root, "cursors", paging.CURSORS)
+        steps = cut(paging.run_pages(listing, known, cursors, _BUDGET, date(1900, 1, 1)))
+        tables = {"documents": paging.new_documents(listing, known, steps), "cursors": paging.moved_cursors(cursors, steps)}
+        if fails:
+            commits.stage(root, batch, tables)
+        else:
+            commits.commit(spark, root, batch, tables)
+
+    for batch, listing, fails in ((1, early, False), (2, early, True), (2, early, False), (3, late, False), (3, late, False)):
+        sent(batch, listing, fails)
+    return commits.rows(spark, root, "documents", schema).select(F.col("document").alias("o_orderkey"), "source", F.col("batch").cast("int").alias("batch"))
