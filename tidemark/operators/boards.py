@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .order import numbered
+from .order import ONE_TASK, numbered, running_total
 
 
 def ranked(rows: DataFrame, order: Sequence[Column], rank: str = "rank", top: int | None = None) -> DataFrame:
@@ -31,19 +33,46 @@ def event_tags(events: DataFrame, key: str, event: str, tag: str) -> DataFrame:
     return keys.join(tags, event).groupBy(key).agg(F.array_sort(F.collect_set(tag)).alias("tags"))
 
 
-def average_rank_percentile(value: str, partition: Sequence[str] = ()) -> Column:
-    """(average rank - 1) / (n - 1) * 100 within the partition; 100 for a single row."""
-    by, own = W.partitionBy(*partition), W.partitionBy(*partition, value)
-    n = F.count(F.lit(1)).over(by)
-    average = F.rank().over(by.orderBy(value)) + (F.count(F.lit(1)).over(own) - 1) / 2.0
-    return F.when(n == 1, 100.0).otherwise((average - 1) / (n - 1) * 100.0)
+def value_ranks(rows: DataFrame, value: str, partition: Sequence[str] = (), one_task: int = ONE_TASK) -> DataFrame:
+    """rows with __below, __equal and __all: how many of the partition are below a row, as high, and there at all.
+
+    Rows of a value are counted first. The counts are summed up in one order of partition and value, in ranges, and
+    joined back by value; so neither a partition nor all rows need fit in a task. Nulls are the lowest value.
+    """
+    by = list(partition)
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("__equal"))
+    summed = running_total(counts, *(F.col(c).asc_nulls_first() for c in (*by, value)), amount="__equal", name="__upto", one_task=one_task)
+    summed = summed.withColumn("__upto", F.col("__upto") - F.col("__equal"))
+    parts = summed.groupBy(*by).agg(F.min("__upto").alias("__from"), F.sum("__equal").alias("__all"))
+    same = lambda other, keys: reduce(and_, (F.col(f"__{c}").eqNullSafe(other[c]) for c in keys), F.lit(True))
+    named = lambda df, keys: df.withColumnsRenamed({c: f"__{c}" for c in keys})
+    # one row without partition columns
+    ranked_values = summed.join(named(parts, by), same(summed, by)).drop(*(f"__{c}" for c in by)) if by else summed.crossJoin(F.broadcast(parts))
+    ranks = named(ranked_values.withColumn("__below", F.col("__upto") - F.col("__from")).drop("__upto", "__from"), [*by, value])
+    return rows.join(ranks, same(rows, [*by, value])).drop(*(f"__{c}" for c in (*by, value)))
+
+
+def _average_rank(below: Column, equal: Column, n: Column) -> Column:
+    return F.when(n == 1, 100.0).otherwise((below + 1 + (equal - 1) / 2.0 - 1) / (n - 1) * 100.0)
+
+
+def average_rank_percentiles(rows: DataFrame, value: str, partition: Sequence[str] = (), out: str = "percentile", one_task: int = ONE_TASK) -> DataFrame:
+    """rows with (average rank - 1) / (n - 1) * 100 within the partition; 100 for a single row."""
+    ranks = value_ranks(rows, value, partition, one_task)
+    return ranks.withColumn(out, _average_rank(F.col("__below"), F.col("__equal"), F.col("__all"))).drop("__below", "__equal", "__all")
+
+
+def midrank_percentiles(rows: DataFrame, value: str, partition: Sequence[str], least: int, out: str = "percentile", one_task: int = ONE_TASK) -> DataFrame:
+    """rows with (rows below + half of those equal) / n * 100 within the partition; null below `least` rows."""
+    ranks = value_ranks(rows, value, partition, one_task)
+    share = F.when(F.col("__all") >= least, (F.col("__below") + 0.5 * F.col("__equal")) / F.col("__all") * 100.0)
+    return ranks.withColumn(out, share).drop("__below", "__equal", "__all")
 
 
-def midrank_percentile(value: str, partition: Sequence[str], least: int) -> Column:
-    """(rows below + half of those equal) / n * 100 within the partition; null below `least` rows."""
-    by, own = W.partitionBy(*partition), W.partitionBy(*partition, value)
-    n = F.count(F.lit(1)).over(by)
-    return F.when(n >= least, (F.rank().over(by.orderBy(value)) - 1 + 0.5 * F.count(F.lit(1)).over(own)) / n * 100.0)
+def average_rank_percentile(value: str) -> Column:
+    """The average-rank percentile over a short list of rows, as a window in one task."""
+    n = F.count(F.lit(1)).over(W.partitionBy())
+    return _average_rank(F.rank().over(W.orderBy(value)) - 1, F.count(F.lit(1)).over(W.partitionBy(value)), n)
 
 
 def industry_heat(popular: DataFrame, articles: DataFrame, industry: str, code: str, article: str) -> DataFrame:

@@ -45,16 +45,28 @@ def newest_before(rows: DataFrame, history: DataFrame, key: str, row_id: str, at
 def alike_pairs(names: DataFrame, key: list[str], name: str, grams: str, least: float) -> DataFrame:
     """(key, a, b, cosine) of distinct names of a key whose sets of trigrams have a cosine of at least `least`, a < b.
 
-    Such a pair shares at least least² of either set, so the first n - ceil(least² n) + 1 grams of both, in one order of
-    all grams, have one in common: only those are joined.
+    Grams are put in one order, the rarest of the key first. Of two such names with n and m >= n grams, at least
+    least * n and least**2 * m are common, so the first n - ceil(least * n) + 1 grams of the shorter one and the first
+    m - ceil(least**2 * m) + 1 of the other have one in common: only those are joined, where the numbers of grams
+    allow the cosine and the places of the common gram leave enough others behind it. A gram that all names hold is
+    last in each, so it joins only names that consist of next to nothing else.
     """
     distinct = names.where(F.size(grams) > 0).groupBy(*key, name).agg(F.any_value(grams).alias("__grams"))
-    n = F.size("__grams")
-    few = (n - F.ceil(n * F.lit(least * least) - 1e-9) + 1).cast("int")
-    hashed = F.array_sort(F.transform("__grams", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
-    probes = distinct.select(*key, name, F.explode(F.slice(hashed, F.lit(1), few)).alias("__gram"))
-    side = lambda c: probes.select(*key, F.col(name).alias(c), F.col("__gram.g").alias("__gram"))
-    met = side("a").join(side("b"), [*key, "__gram"]).where("a < b").select(*key, "a", "b").distinct()
+    single = distinct.select(*key, name, F.explode("__grams").alias("__gram"))
+    held = single.groupBy(*key, "__gram").agg(F.count("*").alias("__held"))
+    rare = single.join(held, [*key, "__gram"]).groupBy(*key, name).agg(F.array_sort(F.collect_list(F.struct("__held", "__gram"))).alias("__g"))
+    n, tiny = F.size("__g"), 1e-9
+    few = lambda share: (n - F.ceil(n * F.lit(share) - tiny) + 1).cast("int")
+
+    def side(c: str, share: float) -> DataFrame:
+        first = rare.select(*key, F.col(name).alias(c), n.alias(f"__n_{c}"), F.posexplode(F.slice("__g", F.lit(1), few(share))).alias(f"__at_{c}", "__x"))
+        return first.select(*key, c, f"__n_{c}", f"__at_{c}", F.col("__x.__gram").alias("__gram"))
+
+    shorter = (F.col("__n_a") < F.col("__n_b")) | (F.col("__n_a") == F.col("__n_b")) & (F.col("a") < F.col("b"))
+    wanted = F.sqrt(F.col("__n_a").cast("double") * F.col("__n_b")) * least - tiny
+    left_over = F.least(F.col("__n_a") - F.col("__at_a"), F.col("__n_b") - F.col("__at_b"))
+    pairs = side("a", least).join(side("b", least * least), [*key, "__gram"]).where(shorter & (F.col("__n_a") >= wanted) & (left_over >= wanted))
+    met = pairs.select(*key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     whole = lambda c: distinct.select(*key, F.col(name).alias(c), F.col("__grams").alias(f"__{c}"))
     both = met.join(whole("a"), [*key, "a"]).join(whole("b"), [*key, "b"])
     return both.withColumn("cosine", trigram_cosine(F.col("__a"), F.col("__b"))).where(F.col("cosine") >= least - 1e-12).select(*key, "a", "b", "cosine")
@@ -63,16 +75,30 @@ def alike_pairs(names: DataFrame, key: list[str], name: str, grams: str, least:
 def edit_pairs(names: DataFrame, key: list[str], name: str, most: int) -> DataFrame:
     """(key, a, b, distance) of distinct names of a key at most `most` edits apart, a < b.
 
-    Names at most `most` edits apart have a variant in common, each with up to `most` characters deleted: variants are
-    joined, then the distance is computed.
+    The shorter name is cut into most + 1 pieces, one of which no edit touches: it stands in the longer one as well,
+    moved by no more than the edits before and behind it allow. So names are joined by length, number and text of a
+    piece, some (most + 1)**3 of them for a name of any length, and then the distance is computed.
     """
-    distinct = names.where(F.col(name).isNotNull()).select(*key, name).distinct().withColumn("__variants", F.array(name))
-    for _ in range(most):
-        less = F.flatten(F.transform("__variants", lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1))), lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v))))))
-        distinct = distinct.withColumn("__variants", F.array_union("__variants", less))
-    probes = distinct.select(*key, name, F.explode("__variants").alias("__variant"))
-    side = lambda c: probes.select(*key, F.col(name).alias(c), "__variant")
-    met = side("a").join(side("b"), [*key, "__variant"]).where("a < b").select(*key, "a", "b").distinct()
+    distinct = names.where(F.col(name).isNotNull()).select(*key, name).distinct()
+    size, parts = F.length(name), most + 1
+    start = lambda n, i: i * F.floor(n / parts) + F.greatest(i - (parts - n % parts), F.lit(0))
+    width = lambda n, i: start(n, i + 1) - start(n, i)
+    text = lambda at, n: F.substring(F.col(name), (at + 1).cast("int"), n.cast("int"))
+    numbers = F.sequence(F.lit(0), F.lit(most))
+    pieces = F.transform(numbers, lambda i: F.struct(size.cast("int").alias("n"), i.alias("i"), text(start(size, i), width(size, i)).alias("t")))
+
+    def places(n: Column, i: Column) -> Column:
+        more = size - n
+        low = F.greatest(start(n, i) - i, start(n, i) + more - (most - i), F.lit(0))
+        high = F.least(start(n, i) + i, start(n, i) + more + (most - i), size - width(n, i))
+        ats = F.when(low <= high, F.sequence(low.cast("int"), F.greatest(low, high).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(ats, lambda at: F.struct(n.cast("int").alias("n"), i.alias("i"), text(at, width(n, i)).alias("t")))
+
+    lengths = F.sequence(F.greatest(size - most, F.lit(0)), size)
+    asked = F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(numbers, lambda i: places(n, i))))))
+    side = lambda c, found: distinct.select(*key, F.col(name).alias(c), F.inline(found).alias("__n", "__i", "__t"))
+    met = side("a", pieces).join(side("b", asked), [*key, "__n", "__i", "__t"]).where("a <> b")
+    met = met.select(*key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return met.withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0")
 
 

@@ -72,7 +72,8 @@ SELECT c_custkey, c_mktsegment, CASE WHEN count(*) OVER s = 1 THEN 100.0 ELSE (r
 FROM customer WINDOW s AS (PARTITION BY c_mktsegment)
 """)
 def avg_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", B.average_rank_percentile("c_nationkey", ["c_mktsegment"]).alias("percentile"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    return B.average_rank_percentiles(customers, "c_nationkey", ["c_mktsegment"]).drop("c_nationkey")
 
 
 @query("""
@@ -84,7 +85,7 @@ def midrank_percentile_min_sample(spark: SparkSession, sf_dir: str) -> DataFrame
     supplier, items = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem")
     counts = items.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("l_orderkey").alias("v"))
     rows = supplier.join(counts, "s_suppkey", "left").select("s_suppkey", "s_nationkey", F.coalesce("v", F.lit(0)).alias("v"))
-    return rows.withColumn("percentile", B.midrank_percentile("v", ["s_nationkey"], 5))
+    return B.midrank_percentiles(rows, "v", ["s_nationkey"], 5)
 
 
 @query("""
