@@ -101,3 +101,11 @@ def test_figures_come_from_the_best_section(spark):
     body = "风险提示\n净利润同比下降5%。\n主要财务数据\n归母净利润同比增长20%。"
     r = spark.createDataFrame([(body,)], "b string").select(E.figures(F.col("b"), "净利润|归母净利润").alias("f"), E.section_rank(F.col("b"), F.lit(6)).alias("a"), E.section_rank(F.col("b"), F.lit(0)).alias("b")).first()
     assert r.f.startswith("归母净利润同比增长20%") and (r.a, r.b) == (2, 1)
+
+
+def test_novelty_and_unexpectedness_come_from_the_older_event(spark):
+    docs = [("a", "合同公告", "金额5亿元"), ("b", "合同公告", "金额5亿元"), ("c", "合同", "金额6亿元"), ("c", "补充", "另有1亿元"), ("d", "合同", "没有金额"), ("e", "首次合同", "金额5亿元，超预期"), ("f", None, None), (None, "x", "y")]
+    links = [("b", "a"), ("c", "a"), ("d", "a"), ("e", "gone"), ("f", None)]
+    found = spark.createDataFrame([(x,) for x in "abcdefz"], "event_id string")
+    got = E.with_history(found, spark.createDataFrame(docs, "event_id string, title string, body string"), spark.createDataFrame(links, "event_id string, historical_event_id string"))
+    assert {r.event_id: (r.novelty, r.unexpectedness) for r in got.collect()} == {"a": (100.0, 50.0), "b": (30.0, 25.0), "c": (60.0, 25.0), "d": (30.0, 0.0), "e": (30.0, 100.0), "f": (100.0, 50.0), "z": (None, None)}

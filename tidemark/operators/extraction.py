@@ -56,8 +56,8 @@ def stage(text: Column) -> Column:
     return F.when(text.rlike(R.EXECUTED), "executed").when(text.rlike(R.SIGNED), "signed").when(text.rlike(R.AWARDED), "awarded").when(text.rlike(R.RUMOR), "rumor").otherwise("framework")
 
 
-def unexpectedness(text: Column, has_history: Column) -> Column:
-    return F.when(text.rlike(R.BEAT), 100.0).when(text.rlike(R.FIRST), 75.0).when(~has_history, 50.0).when(text.rlike(R.PROGRESS), 25.0).otherwise(0.0)
+def unexpectedness(beats: Column, first: Column, has_history: Column, progress: Column) -> Column:
+    return F.when(beats, 100.0).when(first, 75.0).when(~has_history, 50.0).when(progress, 25.0).otherwise(0.0)
 
 
 def novelty(has_history: Column, now: Column, then: Column) -> Column:
@@ -208,3 +208,22 @@ def leading_facts(detections: DataFrame) -> DataFrame:
     """Each stock's strongest fact of an event: positive, then level, then certainty, then the first rule."""
     order = W.partitionBy("event_id", "stock_code").orderBy((F.col("direction") == "positive").desc(), F.desc("level"), F.desc("certainty"), F.asc("rule"))
     return detections.withColumn("__n", F.row_number().over(order)).withColumn("leads", F.col("__n") == 1).drop("__n")
+
+
+def with_history(detections: DataFrame, documents: DataFrame, links: DataFrame) -> DataFrame:
+    """detections with novelty and unexpectedness, from what their events and the older ones they resemble say.
+
+    documents has (event_id, title, body), all of an event's and of those before it; links has (event_id,
+    historical_event_id), at most one row for an event, null for none. An event's amounts are those of all its bodies.
+    A resembled event whose documents are gone has no amounts. Texts are read once and leave an event's amounts and
+    cues only; these are joined by event, so no event meets the history of its stock.
+    """
+    says = lambda pattern: F.concat_ws("\n", "title", "body").rlike(pattern)
+    cues = {"beats": says(R.BEAT), "first": says(R.FIRST), "progress": says(R.PROGRESS)}
+    read = documents.where("event_id is not null").select("event_id", X.amounts(_or_empty(F.col("body"))).alias("said"), *(v.alias(k) for k, v in cues.items()))
+    events = cut(read.groupBy("event_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("said")))).alias("now"), *(F.bool_or(k).alias(k) for k in cues)))
+    past = events.select(F.col("event_id").alias("historical_event_id"), F.col("now").alias("then"))
+    known = events.join(links, "event_id", "left").join(past, "historical_event_id", "left")
+    has, none = F.col("historical_event_id").isNotNull(), F.array().cast("array<string>")
+    scored = known.select("event_id", "historical_event_id", novelty(has, F.col("now"), F.coalesce("then", none)).alias("novelty"), unexpectedness(F.col("beats"), F.col("first"), has, F.col("progress")).alias("unexpectedness"))
+    return detections.join(scored, "event_id", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as X
-from ..operators import extraction, folds, participants, research, scoring
+from ..operators import extraction, folds, joins, participants, research, scoring
 from ..sources import feeds, sinks
 from . import query, table
 from .session import shared_dir
@@ -76,6 +76,26 @@ def event_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("event_id").cast("long").alias("o_orderkey"), "event_type", "direction", "stage", "leads", "level", "ratio", "amount")
 
 
+_BEATS = "超预期"
+
+
+@query(_FACTS.rstrip().removesuffix("FROM orders)") + f""", o_custkey % 10 AS stock, o_orderdate AS at, o_orderkey % 7 = 0 AS beats FROM orders),
+ e AS (SELECT o.*, event_type, [{', '.join(repr(t + chr(10) + b) for t, b in TEXTS)}][k + 1] AS said FROM o JOIN facts USING (k)),
+ h AS (SELECT a.o_orderkey, arg_max(b.o_orderkey, (b.at, b.o_orderkey)) AS past FROM e a JOIN o b ON a.stock = b.stock AND a.k = b.k AND b.at <= a.at - INTERVAL 72 HOUR AND b.at >= a.at - INTERVAL 180 DAY GROUP BY 1)
+ SELECT e.o_orderkey, event_type, past, CASE WHEN past IS NULL THEN 100.0 WHEN regexp_matches(said, '[{{]n[}}](亿元|00万)') AND e.n <> past % 9 + 1 THEN 60.0 ELSE 30.0 END::DOUBLE AS novelty,
+ CASE WHEN beats THEN 100.0 WHEN contains(said, '突破') THEN 75.0 WHEN past IS NULL THEN 50.0 WHEN contains(said, '公告') THEN 25.0 ELSE 0.0 END::DOUBLE AS unexpectedness FROM e LEFT JOIN h USING (o_orderkey)""")
+def event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reported events scored against the newest one of their stock and kind, 72 hours to 180 days before."""
+    more = F.when(F.col("o_orderkey") % 7 == 0, _BEATS).otherwise("")
+    docs = _announcements(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("at")), "o_orderkey")
+    docs = docs.select(F.col("o_orderkey").cast("string").alias("event_id"), (F.col("o_custkey") % 10).cast("string").alias("stock_code"), F.col("o_orderkey").cast("string").alias("document_id"), F.lit("cninfo").alias("provider_key"), "title", F.concat("body", more).alias("body"), "at", (F.col("o_custkey") % 10 * 20 + F.col("o_orderkey") % 20).alias("kind"))
+    past = docs.select("kind", F.col("event_id").cast("long").alias("past"), F.col("at").alias("past_at"))
+    links = joins.newest_before(docs.select("kind", "event_id", "at"), past, "kind", "event_id", "at", "past", "past_at", "72 hours", "180 days")
+    links = links.select("event_id", F.col("past").cast("string").alias("historical_event_id"))
+    found = extraction.with_history(extraction.detect(docs), docs, links)
+    return found.select(F.col("event_id").cast("long").alias("o_orderkey"), "event_type", F.col("historical_event_id").cast("long").alias("past"), "novelty", "unexpectedness")
+
+
 @query(_FACTS + "SELECT o_orderkey, event_type AS hint FROM o LEFT JOIN facts USING (k)")
 def event_type_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _announcements(spark, sf_dir).select("o_orderkey", F.concat_ws("\n", "title", "body").alias("text"))
