@@ -64,3 +64,34 @@ def test_indel_ratio(a, b, ratio):
 def test_a_document_without_codes_is_an_event_of_its_own(spark):
     got = clusters(spark, [doc("a", 0, "公司签订重大合同公告", codes=()), doc("b", 1, "公司签订重大合同公告", codes=()), doc("c", 1, "公司签订重大合同公告")])
     assert len({r.event_id for r in got.values()}) == 3
+
+
+def test_batches_equal_one_run_and_fold_only_what_they_touch(spark):
+    import random
+
+    from tidemark.operators.clustering import add_documents
+    from tidemark.plans.session import cut
+
+    rng, rows = random.Random(6), []
+    titles = ["公司签订重大合同公告", "公司签订重大合同的公告", "关于回购股份的公告", "新药获批公告", "2026年半年度报告", "2026年半年度报告摘要", "股东减持计划", ""]
+    for i in range(220):
+        codes = rng.sample([f"{c:06d}" for c in range(40)], rng.choice([0, 1, 1, 1, 2]))
+        rows.append(doc(f"d{i:03d}", rng.randrange(24 * 400), rng.choice(titles), rng.choice(["", "金额5亿元", "金额6亿元", "客户：甲方"]), codes, url=rng.choice([None, "u1", "u2"])))
+    want = {r.document_id: (r.event_id, r.historical_event_id) for r in cluster_documents(spark.createDataFrame(rows, DOC)).collect()}
+    rng.shuffle(rows)
+    stored, folded = None, []
+    for batch in (rows[:90], rows[90:200], rows[200:219], rows[210:220]):
+        stored = cut(add_documents(stored, spark.createDataFrame(batch, DOC)))
+        folded.append(stored.where("refolded").count())
+    assert {r.document_id: (r.event_id, r.historical_event_id) for r in stored.collect()} == want
+    left = stored.where("not refolded").count()
+    assert folded[0] == 90 and left > 20 and folded[3] < 200
+    touched = {c for r in rows[219:220] for c in r[7]}
+    assert not any(touched & set(r.codes) for r in stored.where("not refolded").collect())
+
+
+def test_a_long_block_gives_up_its_documents_on_the_way(spark):
+    rows = [doc(f"d{i:05d}", i, f"第{i // 60}号合同公告", f"金额{i // 60 + 1}亿元") for i in range(3000)]
+    got = clusters(spark, rows)
+    assert len(got) == 3000 and len({r.event_id for r in got.values()}) == 50
+    assert all(got[f"d{i:05d}"].event_id == got[f"d{i // 60 * 60:05d}"].event_id for i in range(3000))

@@ -7,7 +7,10 @@ hashes of the first document, so they stay when sources join and are the same in
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import sys
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.session import cut
 from .folds import _blocks, in_runs, indel_ratio
 
 # Fixed values of the merge test.
@@ -55,110 +59,243 @@ def _set(x) -> frozenset:
     return frozenset(() if x is None else x)
 
 
-def _same_family(a, b) -> bool:
-    """Documents of one day and one matter: an approval, a report and its summary, or a buyback."""
-    if a.t // 86_400 != b.t // 86_400:
-        return False
-    ta, tb = a.title or "", b.title or ""
-    if a.norm and a.norm == b.norm and APPROVED.search(ta) and APPROVED.search(tb):
-        return True
-    if a.period and a.period == b.period and REPORT.search(ta) and REPORT.search(tb) and bool(SUMMARY.search(ta)) != bool(SUMMARY.search(tb)):
-        return True
-    return bool(BUYBACK.search(ta) and BUYBACK.search(tb))
-
-
-def _alike(doc, cluster: dict) -> bool:
-    """The merge test in order: family, conflict of facts, URL, content, title, trigrams, facts."""
-    members = cluster["members"].values()
-    if any(_same_family(doc, m) for m in members):
-        return True
-    facts = [(_set(getattr(doc, k)), frozenset().union(*(_set(getattr(m, k)) for m in members))) for k in ("amounts", "targets", "dates")]
-    if any(a and b and a != b for a, b in facts):
-        return False
-    for m in members:
-        if doc.url and doc.url == m.url or doc.content_hash and doc.content_hash == m.content_hash:
+class _Cluster:
+    """What a cluster's documents say, kept as unions and indexes, so that a test doesn't read the documents again."""
+
+    def __init__(self, key: str, past: str | None):
+        self.id, self.past, self.gone = key, past, False
+        self.documents: dict[str, int] = {}
+        self.codes, self.kinds, self.urls, self.hashes = set(), set(), set(), set()
+        self.facts = {k: frozenset() for k in ("amounts", "targets", "dates")}
+        self.first = self.last = None
+        self.families: set[tuple] = set()  # (day, kind, what) of approvals, reports, summaries and buybacks
+        self.norms: dict[int, set[str]] = defaultdict(set)  # by length
+        self.grams: list[frozenset] = []
+        self.by_gram: dict[str, list[int]] = defaultdict(list)
+        self.known_grams: set[frozenset] = set()
+
+    def add(self, r: _Document) -> None:
+        if r.document_id in self.documents:
+            return
+        self.documents[r.document_id] = r.t
+        self.codes |= set(r.codes)
+        self.first = r.t if self.first is None else min(self.first, r.t)
+        self.last = r.t if self.last is None else max(self.last, r.t)
+        self.facts = {k: v | _set(getattr(r, k)) for k, v in self.facts.items()}
+        self.families |= _families(r)
+        for held, value in ((self.kinds, r.kind_hint), (self.urls, r.url), (self.hashes, r.content_hash)):
+            if value:
+                held.add(value)
+        if r.norm:
+            self.norms[len(r.norm)].add(r.norm)
+        self._index(_set(r.grams))
+
+    def _index(self, grams: frozenset) -> None:
+        if grams and grams not in self.known_grams:
+            self.known_grams.add(grams)
+            for g in _leading(grams):
+                self.by_gram[g].append(len(self.grams))
+            self.grams.append(grams)
+
+    def take(self, other: _Cluster) -> None:
+        """All that another cluster holds."""
+        self.documents |= other.documents
+        self.first, self.last = min(self.first, other.first), max(self.last, other.last)
+        self.facts = {k: v | other.facts[k] for k, v in self.facts.items()}
+        for mine, theirs in ((self.codes, other.codes), (self.kinds, other.kinds), (self.urls, other.urls), (self.hashes, other.hashes), (self.families, other.families)):
+            mine |= theirs
+        for n, norms in other.norms.items():
+            self.norms[n] |= norms
+        for grams in other.grams:
+            self._index(grams)
+
+    def alike(self, r: _Document) -> bool:
+        """The merge test in order: family, conflict of facts, URL, content, title, trigrams, facts."""
+        if _partners(r) & self.families:
             return True
-        if doc.norm and m.norm and indel_ratio(doc.norm, m.norm) >= TITLE_LIKENESS:
+        facts = [(_set(getattr(r, k)), v) for k, v in self.facts.items()]
+        if any(a and b and a != b for a, b in facts):
+            return False
+        if r.url in self.urls or r.content_hash in self.hashes:
             return True
-        a, b = _set(doc.grams), _set(m.grams)
-        if a and b and len(a & b) / (len(a) * len(b)) ** 0.5 >= TRIGRAM_LIKENESS:
+        return self._title(r.norm) or self._text(_set(r.grams)) or r.kind_hint in self.kinds and all(not a or not b or a == b for a, b in facts) and any(a and b for a, b in facts)
+
+    def _title(self, norm: str) -> bool:
+        """Titles are alike only if their lengths are: the common part is no longer than the shorter one."""
+        n = len(norm or "")
+        near = (x for m, held in self.norms.items() if n and 200.0 * min(n, m) >= TITLE_LIKENESS * (n + m) for x in held)
+        return norm in self.norms.get(n, ()) if n and norm in self.norms.get(n, ()) else any(indel_ratio(norm, x) >= TITLE_LIKENESS for x in near)
+
+    def _text(self, grams: frozenset) -> bool:
+        if grams in self.known_grams:
             return True
-    kinds = {m.kind_hint for m in members if m.kind_hint}
-    return bool(doc.kind_hint and doc.kind_hint in kinds and all(not a or not b or a == b for a, b in facts) and any(a and b for a, b in facts))
+        met = {i for g in _leading(grams) for i in self.by_gram.get(g, ())}
+        return any(len(grams & self.grams[i]) / (len(grams) * len(self.grams[i])) ** 0.5 >= TRIGRAM_LIKENESS for i in met)
+
+
+def _leading(grams: frozenset) -> list[str]:
+    """The first grams, in an order of all grams, of which two alike sets have one in common."""
+    n = len(grams)
+    least = math.ceil(n * TRIGRAM_LIKENESS**2 - 1e-9)
+    return sorted(grams, key=lambda g: (zlib.crc32(g.encode()), g))[: n - least + 1]
+
+
+def _families(r: _Document) -> set[tuple]:
+    """(day, kind, what) of the matters of a day that a document stands for."""
+    day, title, out = r.t // 86_400, r.title or "", set()
+    if r.norm and APPROVED.search(title):
+        out.add((day, "approval", r.norm))
+    if r.period and REPORT.search(title):
+        out.add((day, "summary" if SUMMARY.search(title) else "report", r.period))
+    if BUYBACK.search(title):
+        out.add((day, "buyback", ""))
+    return out
+
+
+def _partners(r: _Document) -> set[tuple]:
+    """The matters whose documents a document belongs to: a report's are its summaries, and the other way round."""
+    swap = {"summary": "report", "report": "summary"}
+    return {(day, swap.get(kind, kind), what) for day, kind, what in _families(r)}
 
 
 class _Events:
-    """The clusters of a block, found by their codes; those too old to matter are forgotten on the way."""
+    """The clusters of a block, found by their codes. Those that can't change any more give up their documents, and those
+    too old for the history are forgotten."""
 
     def __init__(self):
-        self.by_code: dict[str, list[dict]] = defaultdict(list)
-        self.home: dict[str, dict] = {}
+        self.by_code: dict[str, list[_Cluster]] = defaultdict(list)
+        self.home: dict[str, _Cluster] = {}
+        self.open: dict[int, _Cluster] = {}
 
-    def opened(self, key: str, r, past: str | None = None) -> dict:
-        c = {"id": key, "members": {}, "codes": set(), "first": r.t, "last": r.t, "past": past, "gone": False}
+    def opened(self, key: str, r: _Document, past: str | None = None) -> _Cluster:
+        c = _Cluster(key, past)
+        self.open[id(c)] = c
         self.join(c, r)
         return c
 
-    def join(self, c: dict, r) -> None:
-        c["members"].setdefault(r.document_id, r)
-        for code in set(r.codes) - c["codes"]:
-            self.by_code[code].append(c)
-        c["codes"] |= set(r.codes)
-        c["first"], c["last"] = min(c["first"], r.t), max(c["last"], r.t)
+    def join(self, c: _Cluster, r: _Document) -> None:
+        before = set(c.codes)
+        c.add(r)
+        self._find_by(c, c.codes - before)
         self.home[r.document_id] = c
 
-    def of(self, r) -> list[dict]:
+    def _find_by(self, c: _Cluster, codes: set[str]) -> None:
+        for code in codes:
+            self.by_code[code].append(c)
+
+    def merge(self, keep: _Cluster, gone: _Cluster) -> None:
+        before = set(keep.codes)
+        keep.take(gone)
+        self._find_by(keep, keep.codes - before)
+        for d in gone.documents:
+            self.home[d] = keep
+        gone.gone = True
+        self.open.pop(id(gone), None)
+
+    def of(self, r: _Document) -> list[_Cluster]:
         """Clusters that share a code with a row and are no older than the history."""
         found = {}
         for code in set(r.codes):
-            live = self.by_code[code] = [c for c in self.by_code[code] if not c["gone"] and c["last"] >= r.t - HISTORY_SECONDS]
+            live = self.by_code[code] = [c for c in self.by_code[code] if not c.gone and c.last >= r.t - HISTORY_SECONDS]
             found |= {id(c): c for c in live}
         return list(found.values())
 
+    def settled(self, before: int) -> list[tuple]:
+        """The rows of clusters whose last document is before a time; they stay for the history, without documents."""
+        out = []
+        for key, c in [(k, c) for k, c in self.open.items() if c.last < before]:
+            out += [(d, c.id, c.past) for d in c.documents]
+            for d in c.documents:
+                del self.home[d]
+            c.documents = {}
+            del self.open[key]
+        return out
 
-def _fold(rows: list) -> list[tuple]:
-    """(document, event, historical event) of the rows of a run, in order of time and id."""
-    events, restored = _Events(), {}
-    for r in rows:  # documents that already belong to a cluster restore it
-        if r.event_id is not None and r.document_id not in events.home:
-            if r.event_id in restored:
-                events.join(restored[r.event_id], r)
+    def forget(self, before: int) -> None:
+        """Leaves out clusters too old for the history, also under codes that don't come up again."""
+        for code in list(self.by_code):
+            live = [c for c in self.by_code[code] if not c.gone and c.last >= before]
+            if live:
+                self.by_code[code] = live
             else:
-                restored[r.event_id] = events.opened(r.event_id, r)
-    for r in rows:
+                del self.by_code[code]
+
+
+class _Fold:
+    """The fold of one block in order of time and id; done rows come out on the way."""
+
+    def __init__(self, restored: list[_Document] = ()):
+        self.events, self.known = _Events(), {}
+        for r in restored:  # documents that already belong to a cluster restore it
+            if r.event_id is not None and r.document_id not in self.events.home:
+                if r.event_id in self.known:
+                    self.events.join(self.known[r.event_id], r)
+                else:
+                    self.known[r.event_id] = self.events.opened(r.event_id, r)
+
+    def take(self, r: _Document) -> None:
+        events = self.events
         own, found = events.home.get(r.document_id), events.of(r)
-        near = sorted((c for c in found if c is not own and c["last"] >= r.t - MERGE_SECONDS), key=lambda c: (-c["last"], c["id"]))
+        near = sorted((c for c in found if c is not own and c.last >= r.t - MERGE_SECONDS), key=lambda c: (-c.last, c.id))
         for c in near:
-            if not _alike(r, c):
+            if not c.alike(r):
                 continue
             if own is None:
                 events.join(c, r)
                 own = c
             else:  # the document ties two clusters: the larger, then earlier, then smaller id survives
-                keep, gone = sorted((own, c), key=lambda x: (-len(x["members"]), x["first"], x["id"]))
-                for m in gone["members"].values():
-                    events.join(keep, m)
-                gone["gone"] = True
+                keep, gone = sorted((own, c), key=lambda x: (-len(x.documents), x.first, x.id))
+                events.merge(keep, gone)
                 own = keep
         if own is None:
-            past = max((c for c in found if c["last"] < r.t - MERGE_SECONDS and _alike(r, c)), key=lambda c: (c["last"], c["id"]), default=None)
-            events.opened(hashlib.sha1(r.document_id.encode()).hexdigest()[:16], r, past and past["id"])
-    return [(d, c["id"], c["past"]) for d, c in events.home.items()]
+            past = max((c for c in found if c.last < r.t - MERGE_SECONDS and c.alike(r)), key=lambda c: (c.last, c.id), default=None)
+            events.opened(hashlib.sha1(r.document_id.encode()).hexdigest()[:16], r, past and past.id)
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows, one run after the other; a run is all that is held."""
-    run: list = []
+    """Sorted rows, one run after the other. What is held are the clusters that a later row can meet: those of the merge
+    window with their documents, those of the history without. Equal rows are one document."""
+    fold, seen, steps = _Fold(), 0, 0
+    for batch in batches:
+        done: list[tuple] = []
+        columns = [batch.column("__new").to_pylist(), *(batch.column(c).to_pylist() for c in _Document._fields)]
+        for new, *values in zip(*columns, strict=True):
+            r = _Document(*values)
+            if new:
+                done += fold.events.settled(sys.maxsize)
+                fold = _Fold()
+            elif r.t > seen:
+                steps += 1
+                if steps % 256 == 0:
+                    done += fold.events.settled(r.t - MERGE_SECONDS)
+                if steps % 4096 == 0:
+                    fold.events.forget(r.t - HISTORY_SECONDS)
+            seen = r.t
+            fold.take(r)
+        yield _result(done)
+    yield _result(fold.events.settled(sys.maxsize))
+
+
+def _refolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with known events, one block after the other; a block is all that is held."""
+    run: list[_Document] = []
+
+    def folded() -> list[tuple]:
+        fold = _Fold(run)
+        for r in run:
+            fold.take(r)
+        return fold.events.settled(sys.maxsize)
+
     for batch in batches:
         done: list[tuple] = []
         columns = [batch.column("__new").to_pylist(), *(batch.column(c).to_pylist() for c in _Document._fields)]
         for new, *values in zip(*columns, strict=True):
             if new and run:
-                done += _fold(run)
-                run = []
+                done += folded()
+                run.clear()
             run.append(_Document(*values))
         yield _result(done)
-    yield _result(_fold(run))
+    yield _result(folded())
 
 
 def _result(rows: list[tuple]) -> pa.RecordBatch:
@@ -166,17 +303,68 @@ def _result(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=names)
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows with their block: documents that share codes, directly or through others; those without codes alone."""
+    blocks = _blocks(rows.select(F.col("document_id").alias("article"), F.explode("codes").alias("code"))).withColumnRenamed("article", "document_id")
+    return rows.join(blocks, "document_id", "left").withColumn("block", F.coalesce("block", F.concat(F.lit("#"), "document_id")))
+
+
+def _prepared(documents: DataFrame) -> DataFrame:
+    rows = features(documents).withColumn("t", F.coalesce(F.unix_seconds(F.col("at").cast("timestamp")), F.lit(0).cast("long")))
+    return rows.withColumn("codes", F.coalesce(F.array_compact("codes"), F.array().cast("array<string>")))
+
+
+def _clustered(placed: DataFrame, known: bool = False) -> DataFrame:
+    kept = placed.select("block", *_Document._fields)
+    runs = in_runs(kept, ["block"], F.col("t"), [F.asc("t"), F.asc("document_id")], None if known else HISTORY_SECONDS)
+    return runs.mapInArrow(_refolded if known else _folded, "document_id string, event_id string, historical_event_id string")
+
+
 def cluster_documents(documents: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(document_id, event_id, historical_event_id) for rows of (document_id, at, title, body, url, content_hash,
     kind_hint, codes). known: (document_id, event_id) of earlier runs; running again over the same rows changes nothing.
     A document without codes is an event of its own. Blocks are cut where no document comes for longer than the history
-    reaches, unless known events may span the gap; a run between two cuts is held in one task.
+    reaches; a run between two cuts is read once in order of time, and what is held are the clusters that a later
+    document can still join or resemble. With known events a block is held whole, as they may be of any time.
     """
-    rows = features(documents).withColumn("t", F.unix_seconds(F.col("at").cast("timestamp")))
+    rows = _prepared(documents)
     rows = rows.join(known.select("document_id", "event_id"), "document_id", "left") if known is not None else rows.withColumn("event_id", F.lit(None).cast("string"))
-    rows = rows.withColumn("codes", F.coalesce(F.array_compact("codes"), F.array().cast("array<string>")))
-    blocks = _blocks(rows.select(F.col("document_id").alias("article"), F.explode("codes").alias("code"))).withColumnRenamed("article", "document_id")
-    placed = rows.join(blocks, "document_id", "left").withColumn("block", F.coalesce("block", F.concat(F.lit("#"), "document_id")))
-    kept = placed.select("block", *_Document._fields)
-    runs = in_runs(kept.withColumn("t", F.coalesce("t", F.lit(0).cast("long"))), ["block"], F.col("t"), [F.asc("t"), F.asc("document_id")], None if known is not None else HISTORY_SECONDS)
-    return runs.mapInArrow(_folded, "document_id string, event_id string, historical_event_id string")
+    return _clustered(_placed(rows), known is not None)
+
+
+RESULT = ["document_id", "event_id", "historical_event_id"]
+
+
+def add_documents(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """stored with the documents of a batch: the rows of both, their block and the columns of cluster_documents.
+
+    stored is what this gave for the batches before; None at first. Only blocks that a document of the batch shares a
+    code with are folded again, joined into one where it ties them; the rows of all others are left as they are, in the
+    column refolded. So batches in any order give what one run over all documents gives. Documents that are stored
+    already are left alone.
+    """
+    new = batch.select("document_id", "at", "title", "body", "url", "content_hash", "kind_hint", "codes").dropDuplicates(["document_id"])
+    if stored is None:
+        rows = _prepared(new).withColumn("event_id", F.lit(None).cast("string"))
+        placed = cut(_placed(rows))
+        return _with_results(placed, _clustered(placed))
+    new = new.join(stored.select("document_id"), "document_id", "left_anti")
+    fresh = cut(_prepared(new).withColumn("event_id", F.lit(None).cast("string")))
+    asked = fresh.select(F.explode("codes").alias("code")).distinct()
+    # a block stands in the graph as one document: its own name is its smallest code
+    touched = stored.select("block", F.explode("codes").alias("code")).join(asked, "code").select("block", "code").distinct()
+    as_document = F.concat(F.lit("block:"), "block")
+    edges = touched.select(as_document.alias("article"), "code").union(touched.select(as_document, F.col("block"))).distinct()
+    edges = edges.union(fresh.select(F.concat(F.lit("new:"), "document_id"), F.explode("codes")))
+    blocks = cut(_blocks(edges))
+    named = lambda kind, name: blocks.where(F.col("article").startswith(kind)).select(F.substring("article", len(kind) + 1, 1 << 30).alias(name), F.col("block").alias("new_block"))
+    mine = stored.drop("refolded").join(named("block:", "block"), "block", "left")
+    old = mine.where("new_block is not null").drop("block", *RESULT[1:]).withColumnRenamed("new_block", "block").withColumn("event_id", F.lit(None).cast("string"))
+    own = fresh.join(named("new:", "document_id"), "document_id", "left").withColumn("block", F.coalesce("new_block", F.concat(F.lit("#"), "document_id"))).drop("new_block")
+    placed = cut(own.unionByName(old))
+    kept = mine.where("new_block is null").drop("new_block").withColumn("refolded", F.lit(False))
+    return kept.unionByName(_with_results(placed, _clustered(placed)))
+
+
+def _with_results(placed: DataFrame, clustered: DataFrame) -> DataFrame:
+    return placed.drop("event_id").join(clustered, "document_id").withColumn("refolded", F.lit(True))

@@ -12,6 +12,7 @@ from ..operators import metrics as M
 from ..operators.extraction_rules import Rule
 from ..sources import feeds, sinks
 from . import metrics, query, table
+from .session import cut
 
 
 @query(metrics._COUNTS + """, z AS (SELECT l_suppkey, max(CASE WHEN bucket = 0 THEN groups END) AS current, (max(CASE WHEN bucket = 0 THEN groups END) - avg(CASE WHEN bucket > 0 THEN groups END)) / greatest(stddev_pop(CASE WHEN bucket > 0 THEN groups END), 1.0) AS z FROM grid GROUP BY 1),
@@ -147,6 +148,36 @@ def cluster_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_documents(docs)
 
 
+#: Documents of one customer: hours, title, body, the document whose event each is in, and the event it resembles.
+_CASE = (
+    (0, "关于新药获批的公告", "金额5亿元", 0, None), (3, "关于新药获批的公告", "金额6亿元", 0, None),  # approvals of a day, whatever their amounts
+    (30, "关于新药获批的公告", "金额7亿元", 2, None),  # another day and another amount
+    (200, "2025年半年度报告", "净利润1亿元", 3, None), (202, "2025年半年度报告摘要", "净利润2亿元", 3, None),  # a report and its summary
+    (400, "关于回购股份方案的公告", "金额3亿元", 5, None), (405, "回购进展核查意见", "金额4亿元", 5, None),  # buybacks of a day
+    (600, "与甲方签订重大合同的公告", "合同金额8亿元", 7, None), (670, "与甲方签订重大合同公告", "合同金额8亿元", 7, None),  # alike titles and equal amounts
+    (671, "与甲方签订重大合同的公告", "合同金额9亿元", 9, None),  # a conflict of amounts
+    (900, "与甲方签订重大合同的公告", "合同金额8亿元", 10, 7),  # beyond 72 hours: a new event that resembles the old one
+    (6000, "与甲方签订重大合同的公告", "合同金额8亿元", 11, None),  # beyond 180 days
+)
+
+
+@query(f"""SELECT c_custkey || '-' || lpad(CAST(i AS VARCHAR), 2, '0') AS document_id, substr(sha1(c_custkey || '-' || lpad(CAST(home AS VARCHAR), 2, '0')), 1, 16) AS event_id, substr(sha1(c_custkey || '-' || lpad(CAST(past AS VARCHAR), 2, '0')), 1, 16) AS historical_event_id
+ FROM customer, (VALUES {', '.join(f"({i}, {home}, {'NULL' if past is None else past})" for i, (*_, home, past) in enumerate(_CASE))}) v(i, home, past)""")
+def cluster_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merge test in order, in batches: each customer's documents come in three, and only its own block is folded again."""
+    cases = F.posexplode(F.array(*(F.struct(F.lit(h).alias("hours"), F.lit(t).alias("title"), F.lit(b).alias("body")) for h, t, b, *_ in _CASE)))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", cases.alias("i", "d"))
+    at = F.to_timestamp(F.lit("2026-01-05 01:00:00")) + F.make_dt_interval(hours=F.col("d.hours"))
+    none = F.lit(None).cast("string")
+    docs = rows.select(
+        F.concat_ws("-", F.col("c_custkey").cast("string"), F.lpad(F.col("i").cast("string"), 2, "0")).alias("document_id"), at.alias("at"), "d.title", "d.body", none.alias("url"), none.alias("content_hash"), none.alias("kind_hint"), F.array(F.col("c_custkey").cast("string")).alias("codes"), "i"
+    )
+    stored = None
+    for part in (F.col("i") % 3 == 1, F.col("i") % 3 == 0, F.lit(True)):
+        stored = cut(clustering.add_documents(stored, docs.where(part).drop("i")))
+    return stored.select("document_id", "event_id", "historical_event_id")
+
+
 @query("""SELECT count(*) AS n, count(*) FILTER (r.s = l.s) AS unchanged, count(*) FILTER (r.s <> l.s) AS corrected FROM (SELECT l_suppkey, string_agg(DISTINCT CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR)) AS s FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' GROUP BY 1) l JOIN (SELECT l_suppkey, string_agg(DISTINCT CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR)) AS s FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-02-01' GROUP BY 1) r USING (l_suppkey)""")
 def correction_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = lambda day: table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit(day).cast("timestamp_ntz")).groupBy("l_suppkey").agg(F.array_sort(F.collect_set("l_partkey")).alias(day))
