@@ -34,24 +34,23 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset("advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion promoted banner sidebar widget widgets menubar nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus cookie cookies consent gdpr newsletter subscribe subscription pagination pager toolbar masthead popup modal".split())
 #: Words that have other uses too: they only mark names in which nothing but such words and words of layout stands.
 LOOSE = frozenset("ad ads side rail menu reply replies respond discussion notice notices notification alert overlay signup login share sharing social related recommended recommendations skip hidden copyright disclaimer".split())
-LAYOUT_WORDS = frozenset("area aside bar block body bottom box btn button buttons center col column container content drawer entry footer global group header icon icons inner item items js left link links list main modal outer page panel post posts primary right row secondary section site slot story stories sub tools top unit view wide wrap wrapper zone".split())
+LAYOUT_WORDS = frozenset("area aside bar block body bottom box btn button buttons card cards center col column container content drawer entry footer global group header icon icons inner item items js left link links list main modal outer page panel post posts primary right row secondary section site slot story stories sub tools top unit view wide wrap wrapper zone".split())
 NAME_PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 #: has-sidebar, content-with-comments, no-ads: such a name tells the layout of what holds the article.
 LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no)(?:[-_]|(?=[A-Z]))\S*")
 #: Marks of what readers write: it can be longer than the article.
 READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
-#: Plain text of an article's part that its loose name does not make the part a list of links or a notice.
-PROSE = 80
+PARAGRAPHS, HEADINGS = frozenset("p blockquote pre".split()), frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ARTICLES = frozenset(["article", "main"])
 CONTENT = ARTICLES | {"body", "html"}
 BORDERS = frozenset("td th li article section div body".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "inner", "own", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "marks", "depth", "block", "border", "article")
+    __slots__ = ("tag", "parent", "children", "dropped", "inner", "own", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "marks", "pure", "depth", "block", "border", "article")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
-        self.tag, self.parent, self.dropped, self.children, self.marks = tag, parent, dropped, [], frozenset()
+        self.tag, self.parent, self.dropped, self.children, self.marks, self.pure = tag, parent, dropped, [], frozenset(), False
         # the nearest nodes from here up: a block, one that no inline end tag crosses; and whether an article is among them
         self.depth = parent.depth + 1 if parent else 0
         self.block = self if tag in BLOCK or not parent else parent.block
@@ -59,69 +58,114 @@ class Node:
         self.article = tag in ARTICLES or bool(parent and parent.article)
 
 
-def _marked(tag: str, attributes: str, inside_content: bool) -> tuple[bool, frozenset]:
-    """Whether an element is never content, and else the names that mark it as such."""
+def _marked(tag: str, attributes: str, inside_content: bool) -> tuple[bool, frozenset, bool]:
+    """Whether an element is never content, and else the words that mark it as such, and whether its names that hold
+    them hold nothing but such words and words of layout."""
     none = frozenset()
     if tag in DROPPED or tag == "header" and not inside_content:
-        return True, none
+        return True, none, True
     if not attributes or attributes == "/":
-        return False, none
+        return False, none, True
     found = {}
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), a or b or c)
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES:
-        return True, none
+        return True, none, True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        return True, none
+        return True, none, True
     if tag in CONTENT:
-        return False, none
-    marks = set()
+        return False, none, True
+    marks, pure = set(), True
     for name in LAYOUT.sub("", f"{found.get('class', '')} {found.get('id', '')}").split():
         parts = {x.lower() for x in NAME_PARTS.split(name) if x and not x.isdigit()}
         marks |= MARKS & parts
         if parts <= LOOSE | MARKS | LAYOUT_WORDS:
             marks |= LOOSE & parts
+        elif MARKS & parts:
+            pure = False
         # a block named header holds the site's name, unless it is part of the article
         if "header" in parts and not inside_content and tag in ("div", "section"):
             marks.add("header")
-    return False, frozenset(marks)
+    return False, frozenset(marks), pure
 
 
-def _drop_marked(root: Node) -> None:
+class _Marked:
     """Drops the elements that their names mark, but not those that hold the article in spite of them.
 
-    Such an element holds an article or main and more characters outside links than the articles outside marked
-    elements; or, on a page without such articles, over half of the page's. One named for what readers write is kept
-    only if there is no other article, or nothing else.
+    Elements of one set of marks are judged together, those inside an article or main apart from the others. They stay
+    if they hold more characters outside links than what is known to stay: the unmarked text, to which the larger sets
+    are added first. So an article in many blocks of one name stays, and smaller sets beside it go. Outside of
+    articles none stays if there is one; an element that holds an article or main itself is judged by itself. In an
+    article, parts that only their looser names mark stay if they have paragraphs like it, and parts whose names hold
+    other words too stay if they have one. What readers write stays only if nothing else but headings is there.
     """
-    order = _walk(root)
-    plain: dict[Node, int] = {}
-    linked: dict[Node, int] = {}
-    holds: dict[Node, bool] = {}
-    for n in reversed(order):
-        below = [x for x in n.children if isinstance(x, Node) and not x.dropped]
-        own = sum(_length(x) for x in n.children if isinstance(x, str))
-        plain[n] = 0 if n.tag == "a" else own + sum(plain[x] for x in below)
-        linked[n] = (own + sum(plain[x] for x in below) if n.tag == "a" else 0) + sum(linked[x] for x in below)
-        holds[n] = any(holds[x] or x.tag in ARTICLES and plain[x] > 0 for x in below)
-    # characters outside marked elements: of the page and of its articles
-    page = articles = 0
-    todo = [(root, False)]
-    while todo:
-        n, inside = todo.pop()
-        if n.marks or n.tag == "a":
-            continue
-        inside = inside or n.tag in ARTICLES
-        own = sum(_length(x) for x in n.children if isinstance(x, str))
-        page, articles = page + own, articles + own * inside
-        todo += [(x, inside) for x in n.children if isinstance(x, Node) and not x.dropped]
-    for n in order:
-        if n.parent is not None and n.parent.dropped:
-            n.dropped = True
-        elif n.marks:
-            kept = holds[n] and not articles or not page if n.marks & READERS else plain[n] > articles if holds[n] else not articles and 2 * plain[n] > plain[root]
-            prose = n.parent is not None and n.parent.article and n.marks <= LOOSE - READERS and plain[n] >= PROSE and plain[n] > linked[n]
-            n.dropped = not (plain[n] and (kept or prose))
+
+    def __init__(self, root: Node):
+        self.plain: dict[Node, int] = {}
+        self.linked: dict[Node, int] = {}
+        self.paragraphs: dict[Node, int] = {}
+        self.holds: dict[Node, bool] = {}
+        for n in reversed(_walk(root)):
+            below = [x for x in n.children if isinstance(x, Node) and not x.dropped]
+            text = sum(_length(x) for x in n.children if isinstance(x, str)) + sum(self.plain[x] for x in below)
+            self.plain[n] = 0 if n.tag == "a" else text
+            self.linked[n] = (text if n.tag == "a" else 0) + sum(self.linked[x] for x in below)
+            self.paragraphs[n] = sum(self.paragraphs[x] for x in below) + (n.tag in PARAGRAPHS and self.plain[n] > self.linked[n])
+            self.holds[n] = any(self.holds[x] or x.tag in ARTICLES and self.plain[x] > 0 for x in below)
+        # what stays for sure: characters of the page, those of its articles, and those that are no headings
+        self.page = self.articles = self.prose = 0
+        opened = [root]
+        while opened:
+            opened = self.judged(self.look(opened))
+
+    def look(self, opened: list[Node]) -> list[Node]:
+        """Counts the text of opened elements up to marked ones, which it returns."""
+        marked, todo = [], [(n, n.article, n.tag in HEADINGS) for n in opened]
+        while todo:
+            n, inside, heading = todo.pop()
+            if n.tag == "a":
+                continue
+            own = sum(_length(x) for x in n.children if isinstance(x, str))
+            self.page, self.articles, self.prose = self.page + own, self.articles + own * inside, self.prose + own * (not heading)
+            for x in n.children:
+                if isinstance(x, Node) and not x.dropped:
+                    if x.marks:
+                        marked.append(x)
+                    else:
+                        todo.append((x, inside or x.article, heading or x.tag in HEADINGS))
+        return marked
+
+    def judged(self, marked: list[Node]) -> list[Node]:
+        """Those of the marked elements that stay; the others are dropped."""
+        groups: dict[object, list[Node]] = {}
+        for n in marked:
+            # an element around an article is a group of its own
+            groups.setdefault(n if self.holds[n] else (n.marks, n.article), []).append(n)
+        size = {key: sum(self.plain[n] for n in group) for key, group in groups.items()}
+        kept, page, articles = [], self.page, self.articles
+        readers = lambda group: bool(group[0].marks & READERS)
+        for key in sorted(groups, key=lambda k: (readers(groups[k]), -size[k])):
+            group, inside = groups[key], groups[key][0].article
+            if readers(group):
+                stays = not articles if isinstance(key, Node) else not self.prose and not kept
+            elif isinstance(key, Node):
+                stays = size[key] > articles
+            else:
+                stays = size[key] > articles if inside else not articles and size[key] > page
+            if stays and size[key]:
+                kept += group
+                page, articles = page + size[key], articles + size[key] * (inside or isinstance(key, Node))
+            elif inside and not readers(group):
+                kept += [n for n in group if self.is_part(n)]
+        whole = set(kept)
+        for n in marked:
+            n.dropped = n not in whole
+        return kept
+
+    def is_part(self, n: Node) -> bool:
+        """Is a marked part of an article prose all the same?"""
+        least = 1 if not n.pure else 2 if n.marks <= LOOSE else None
+        return least is not None and self.plain[n] > self.linked[n] and self.paragraphs[n] >= least
 
 
 def _tag_end(html: str, at: int) -> int:
@@ -207,9 +251,9 @@ def parse(html: str) -> Node:
             continue
         open_.before(tag)
         node = open_.node
-        never, marks = (True, frozenset()) if node.dropped else _marked(tag, attributes, node.article)
+        never, marks, pure = (True, frozenset(), True) if node.dropped else _marked(tag, attributes, node.article)
         new = Node(tag, node, never)
-        new.marks = marks
+        new.marks, new.pure = marks, pure
         marked = marked or bool(marks)
         node.children.append(new)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
@@ -220,7 +264,7 @@ def parse(html: str) -> Node:
             continue
         open_.add(new)
     if marked:
-        _drop_marked(open_.root)
+        _Marked(open_.root)
     return open_.root
 
 
