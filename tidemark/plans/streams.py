@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..operators import paging
 from ..operators.order import numbered
-from ..sources import commits
+from ..sources import commits, sinks
+from ..streaming import coverage
 from . import query, table
 from .session import cut, shared_dir
 
@@ -90,3 +91,41 @@ def resumed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch, listing, fails in ((1, early, False), (2, early, True), (2, early, False), (3, late, False), (3, late, False)):
         sent(batch, listing, fails)
     return commits.rows(spark, root, "documents", schema).select(F.col("document").alias("o_orderkey"), "source", F.col("batch").cast("int").alias("batch"))
+
+
+_LATE = "30 days"
+
+
+@query(f"""WITH d AS (SELECT event_type, ts, CASE WHEN user_id % 5 <> 0 THEN 0 ELSE 1 END AS delivery FROM events WHERE dayofyear(ts) % 9 <> 0),
+ f AS (SELECT event_type, max(ts) AS last FROM d WHERE delivery = 0 GROUP BY 1),
+ c AS (SELECT event_type AS source, min(ts) AS first, max(ts) AS end, count(*) AS rows, count(*) FILTER (delivery = 1 AND ts < last - INTERVAL {_LATE}) AS late FROM d LEFT JOIN f USING (event_type) GROUP BY 1),
+ m AS (SELECT source, count(*) AS missing FROM (SELECT source, unnest(generate_series(CAST(first AS DATE), CAST(c.end AS DATE), INTERVAL 1 DAY)) AS day FROM c) s
+  WHERE isodow(day) < 6 AND NOT EXISTS (SELECT 1 FROM d WHERE d.event_type = s.source AND CAST(d.ts AS DATE) = s.day) GROUP BY 1)
+ SELECT source, CAST(CAST(first AS DATE) AS VARCHAR) AS covered_start, CAST(CAST(c.end AS DATE) AS VARCHAR) AS covered_end, rows, late, coalesce(missing, 0) AS missing, coalesce(missing, 0) = 0 AND late = 0 AS complete, 2::BIGINT AS batches, (SELECT count(*) FROM d)::BIGINT AS observed FROM c LEFT JOIN m USING (source)""")
+def stream_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of event types that land in two deliveries, the second with old rows, and some days never."""
+    root = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp")).where(F.dayofyear("ts") % 9 != 0).select("event_id", "user_id", "event_type", "at")
+    seen = None
+    for n, part in enumerate((F.col("user_id") % 5 != 0, F.col("user_id") % 5 == 0)):
+        events.where(part).write.parquet(f"{root}/landed/delivery={n}")
+        stream = coverage.observed(streaming.files(spark, f"{root}/landed/delivery=*", events.schema, 10_000), "at")
+        ended = streaming.drain(stream, "", f"{root}/checkpoint", sink=coverage.covering(f"{root}/tables", "event_type", "at", _LATE))
+        figures = coverage.progress(spark, ended)
+        seen = figures if seen is None else seen.union(figures)
+    now = commits.newest(spark, f"{root}/tables", "coverage", coverage.COVERAGE)
+    missing = coverage.missing_days(now, commits.rows(spark, f"{root}/tables", "days", coverage.DAYS), F.dayofweek("day").between(2, 6))
+    totals = seen.where("rows > 0").agg(F.count_distinct("batch").alias("batches"), F.sum("rows").alias("observed"))  # one row
+    day = lambda c: F.col(c).cast("date").cast("string").alias(c)
+    return coverage.completeness(now, missing).crossJoin(F.broadcast(totals)).select("source", day("covered_start"), day("covered_end"), "rows", "late", "missing", "complete", "batches", "observed")
+
+
+@query("""SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, count(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) >= (SELECT CAST(max(o_orderdate) AS DATE) - 90 FROM orders) GROUP BY 1""")
+def retained_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last 90 days, from a table whose older days were dropped without reading them."""
+    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    last = orders.agg(F.max("o_orderdate")).first()[0] or date(1970, 1, 1)
+    sinks.write_days(orders.where(F.col("o_orderdate") >= F.lit(last - timedelta(days=400))), F.col("o_orderdate"), path)
+    sinks.drop_days(spark, path, last - timedelta(days=90))
+    return sinks.read_days(spark, path, last - timedelta(days=90)).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from .commits import _files
+
 BOM = "﻿"
 
 
@@ -28,8 +31,11 @@ def tsv(columns: Sequence[str]) -> Column:
 
 def publish(tables: dict[str, DataFrame | None], root: str, version: int) -> None:
     """Writes a new version of every table given, then flips the pointer. None keeps the version before, an empty
-    frame publishes an empty table. Readers see the old versions until the pointer is written."""
-    spark = next(t for t in tables.values() if t is not None).sparkSession
+    frame publishes an empty table; nothing but None leaves all as it is. Readers see the old versions until the
+    pointer is written."""
+    spark = next((t.sparkSession for t in tables.values() if t is not None), None)
+    if spark is None:
+        return
     before = current(spark, root)
     for name, df in tables.items():
         if df is not None:
@@ -51,3 +57,29 @@ def current(spark: SparkSession, root: str) -> dict[str, int]:
 
 def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}/v={current(spark, root)[name]}")
+
+
+def write_days(rows: DataFrame, day: Column, path: str, name: str = "day") -> None:
+    """Appends rows to a table with a folder for each day, so that whole days can go without rewriting others."""
+    rows.withColumn(name, day.cast("date")).repartition(name).write.mode("append").partitionBy(name).parquet(path)
+
+
+def days(spark: SparkSession, path: str, name: str = "day") -> list[date]:
+    """The days that a table has folders for."""
+    files, place = _files(spark, path)
+    found = [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+    return sorted(date.fromisoformat(f.removeprefix(f"{name}=")) for f in found if f.startswith(f"{name}=") and not f.endswith("__HIVE_DEFAULT_PARTITION__"))
+
+
+def drop_days(spark: SparkSession, path: str, before: date, name: str = "day") -> list[date]:
+    """Removes the days before one, and returns them. Rows without a day stay. No row is read or written."""
+    files, _ = _files(spark, path)
+    gone = [d for d in days(spark, path, name) if d < before]
+    for d in gone:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}={d.isoformat()}"), True)
+    return gone
+
+
+def read_days(spark: SparkSession, path: str, since: date, name: str = "day") -> DataFrame:
+    """The rows from a day on: only the folders of those days are read."""
+    return spark.read.parquet(path).where(F.col(name) >= F.lit(since))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -17,7 +18,8 @@ def files(spark: SparkSession, path: str, schema: StructType, files_per_batch: i
 
 
 def windowed_counts(stream: DataFrame, at: str, key: str, width: str, delay: str, value: str) -> DataFrame:
-    """Rows and sums per window and key; rows later than the delay are dropped."""
+    """Rows and sums per window and key. In append and update mode rows later than the delay are dropped, and a window's
+    state with them; complete mode keeps all windows, and drops none."""
     counts = stream.withWatermark(at, delay).groupBy(F.window(at, width), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return counts.select(F.col("window.start").alias("start"), key, "n", "total")
 
@@ -54,8 +56,10 @@ def anchored(stream: DataFrame, key: list[str], at: str, row_id: str, delay: str
     return timed.groupBy(*key).applyInPandasWithState(keep, f"{row_id} {kind}", "anchor long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drain(stream: DataFrame, target: str, checkpoint: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Runs a stream over all that has landed, into Parquet files or a function of each batch, and stops."""
+def drain(stream: DataFrame, target: str, checkpoint: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Runs a stream over all that has landed, into Parquet files or a function of each batch, and stops. The ended query
+    has the progress of its batches."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     query = (writer.foreachBatch(sink) if sink else writer.format("parquet").option("path", target)).start()
     query.awaitTermination()
+    return query
