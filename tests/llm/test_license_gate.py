@@ -6,6 +6,7 @@ import time
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import license_scan
 from tidemark.llm.license_rules import root, signatures, written
@@ -112,3 +113,30 @@ def test_long_text_with_many_places(spark):
     row = license_scan.scan(df).first()
     assert len(row.detections) == 10_000 and row.labels == "cc-by-sa-4.0,gpl-3" and row.n_words == 45_000
     assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("n", [7, 20_000])
+def test_places_that_overlap_in_a_chain(spark, n):
+    text = "under the mit license " * n
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").cache()
+    df.count()
+    began = time.perf_counter()
+    row = license_scan.scan(df).first()
+    assert time.perf_counter() - began < 60
+    assert row.n_base == n and row.labels == "mit" and row.detections
+    if n < 100:
+        assert [tuple(d) for d in row.detections] == detections(text)
+
+
+def test_chained_and_nested_places_equal_all_pairs(spark):
+    rng, rows = random.Random(5), []
+    for _ in range(120):
+        rows.append([(s, s + rng.randint(1, 6), rng.choice([10, 20, 30]), rng.choice("ab")) for s in (rng.randint(0, 12) for _ in range(rng.randint(1, 150 if _ % 40 == 0 else 9)))])
+
+    def beats(o, d):
+        around, inside = o[0] <= d[0] and o[1] >= d[1], o[0] >= d[0] and o[1] <= d[1]
+        return (around or inside) and o[2] > d[2] or around and o[2] == d[2] and o[1] - o[0] > d[1] - d[0]
+
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, found array<struct<s: int, e: int, priority: int, label: string>>")
+    got = {r.i: [tuple(x) for x in r.kept] for r in df.select("i", license_scan.unsuppressed(F.col("found"), [10, 20, 30]).alias("kept")).collect()}
+    assert got == {i: sorted(d for d in set(r) if not any(beats(o, d) for o in r)) for i, r in enumerate(rows)}

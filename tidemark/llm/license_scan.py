@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from ..functions.places import listed, matches, places, scanned
+from ..functions.places import bound, listed, matches, places, scanned
 from .license_rules import root, signatures
 
 #: Word characters and the others, before A-Z are lower-cased. Fixed values.
@@ -52,25 +52,44 @@ def rule_places(text: Column, flat: Column, rules: list[tuple[str, int, str, str
     return F.flatten(placed)
 
 
-def unsuppressed(found: Column) -> Column:
+def unsuppressed(found: Column, priorities: list[int]) -> Column:
     """The places that no other suppresses, each once, by place.
 
-    Only places that overlap can contain each other, so the places in order are cut where one begins behind all before
-    it, and compared within such a run only.
+    Two sweeps over the places in order of their start, the longer and then the higher first. Going on, what is held
+    for each priority is how far the places so far reach: one that reaches to a place's end contains it. Going back, it
+    is the nearest end of the places behind: one that isn't behind a place's end is contained in it. So time grows with
+    the number of places, however they overlap.
     """
-    ordered = F.sort_array(found)
-    end = F.struct(F.lit((1 << 31) - 1).alias("s"), F.lit((1 << 31) - 1).alias("e"), F.lit(0).alias("priority"), F.lit("").alias("label"))
-    state = lambda e, run: F.struct(e.alias("e"), run.alias("run"))
-    step = lambda acc, x: F.when(x["s"] < acc["e"], state(F.greatest(acc["e"], x["e"]), F.concat(acc["run"], F.array(x)))).otherwise(state(x["e"], F.array(x)))
-    none = F.slice(F.array(end), 1, 0)
-    runs = scanned(F.concat(ordered, F.array(end)), state(F.lit(0), none), step, lambda acc, x: F.when(x["s"] < acc["e"], none).otherwise(acc["run"]))
+    keyed = F.sort_array(F.transform(found, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("back"), (-x["priority"]).alias("low"), x["label"].alias("label"))))
+    level = lambda x: -x["low"]
+    end = lambda x: -x["back"]
+    none, far = F.lit(-1), F.lit((1 << 31) - 1)
+    here = lambda p, s, before, at: F.struct(p.alias("p"), s.alias("s"), before.alias("before"), at.alias("at"))
 
-    def beats(o: Column, d: Column) -> Column:
-        around = (o["s"] <= d["s"]) & (o["e"] >= d["e"])
-        inside = (o["s"] >= d["s"]) & (o["e"] <= d["e"])
-        return (around | inside) & (o["priority"] > d["priority"]) | around & (o["priority"] == d["priority"]) & (o["e"] - o["s"] > d["e"] - d["s"])
+    def reached(held: Column, x: Column) -> Column:
+        """Does a place so far contain x, and is of higher priority, or of the same and longer?"""
+        higher = lambda h: (h["p"] > level(x)) & (F.greatest(h["before"], h["at"]) >= end(x))
+        same = lambda h: (h["p"] == level(x)) & ((h["before"] >= end(x)) | F.when(h["s"] < x["s"], h["at"] >= end(x)).otherwise(h["at"] > end(x)))
+        return F.exists(held, lambda h: higher(h) | same(h))
 
-    return F.flatten(F.transform(runs, lambda run: F.filter(F.array_distinct(run), lambda d: ~F.exists(run, lambda o: beats(o, d)))))
+    def further(held: Column, x: Column) -> Column:
+        moved = lambda h: F.when(h["s"] < x["s"], here(h["p"], x["s"], F.greatest(h["before"], h["at"]), end(x))).otherwise(here(h["p"], h["s"], h["before"], F.greatest(h["at"], end(x))))
+        return F.transform(held, lambda h: F.when(h["p"] == level(x), moved(h)).otherwise(h))
+
+    def judged(places_: Column) -> Column:
+        distinct = F.filter(places_, lambda x, i: (i == 0) | (x != F.get(places_, i - 1)))
+
+        def swept(each: Column) -> Column:
+            contained = scanned(each, F.array(*(here(F.lit(p), none, none, none) for p in priorities)), further, reached)
+            nearest = lambda held, x: F.transform(held, lambda h: F.when(h["p"] == level(x), F.struct(h["p"].alias("p"), F.least(h["e"], end(x)).alias("e"))).otherwise(h))
+            around = scanned(F.reverse(each), F.array(*(F.struct(F.lit(p).alias("p"), far.alias("e")) for p in priorities)), nearest, lambda held, x: F.exists(held, lambda h: (h["p"] > level(x)) & (h["e"] <= end(x))))
+            out = F.zip_with(F.zip_with(each, contained, lambda x, c: F.struct(x.alias("x"), c.alias("c"))), F.reverse(around), lambda y, a: F.when(~(y["c"] | a), y["x"]))
+            kept = F.filter(out, lambda x: x.isNotNull())
+            return F.sort_array(F.transform(kept, lambda x: F.struct(x["s"].alias("s"), end(x).alias("e"), level(x).alias("priority"), x["label"].alias("label"))))
+
+        return bound(distinct, swept)
+
+    return bound(keyed, judged)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,7 +112,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rules = signatures()
     found = rows.select("__id", "__text", "__words", F.when(base_gate, base).alias("base"), F.when(_gate(low, sorted({root(r[2], r[4]) for r in rules})), F.lower(F.regexp_replace("__text", NOT_ASCII_WORD + "+", " "))).alias("__flat"))
     found = found.withColumn("places", F.when(flat.isNotNull(), rule_places(text, flat, rules)))
-    kept = found.withColumn("detections", F.when(F.size("places") > 0, unsuppressed(F.col("places")))).withColumn("starts", F.transform("base", lambda m: m["s"]))
+    kept = found.withColumn("detections", F.when(F.size("places") > 0, unsuppressed(F.col("places"), sorted({r[1] for r in rules})))).withColumn("starts", F.transform("base", lambda m: m["s"]))
     names = F.transform(F.coalesce("base", F.filter("base", lambda _: F.lit(False))), lambda m: m["label"])
     some = F.size(F.coalesce("starts", F.array().cast("array<int>"))) > 0
     empty = F.array().cast("array<string>")
