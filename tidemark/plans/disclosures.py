@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as X
 from ..operators import extraction, folds, joins, participants, research, scoring
-from ..sources import feeds, sinks
+from ..sources import articles, feeds, listings, sinks
 from . import query, table
 from .session import shared_dir
 
@@ -329,3 +329,54 @@ def evidence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     joined = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey")).join(nation.select("n_nationkey", "n_name", F.col("n_regionkey").alias("r_regionkey")), "n_nationkey")
     return joined.join(region.select("r_regionkey", "r_name"), "r_regionkey").select("s_suppkey", "n_name", "r_name")
+
+
+@query("""SELECT c_custkey, '600' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || CASE WHEN c_custkey % 2 = 0 THEN ',600999' ELSE '' END AS codes, c_name AS name, CASE c_custkey % 3 WHEN 0 THEN '种植业' ELSE '' END AS tags, CASE c_custkey % 3 WHEN 0 THEN '种植业' WHEN 1 THEN c_mktsegment || '概念' ELSE '' END AS concepts,
+ CASE WHEN c_custkey % 5 = 0 THEN '同花顺财经' ELSE '证券时报' END AS source, CASE WHEN c_custkey % 4 = 0 THEN '2026-01-01 00:00:00' ELSE '2026-08-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') || ' 09:30:00' END AS published_at FROM customer""")
+def article_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stocks, tags, concepts, source and time of article pages; bylines and brokers that rate don't count as stocks."""
+    key = F.col("c_custkey")
+    code = F.concat(F.lit("600"), F.lpad((key % 1000).cast("string"), 3, "0"))
+    link = F.concat(F.lit('<a data-code="'), code, F.lit('">'), F.col("c_name"), F.lit("("), code, F.lit(")</a>"))
+    broker = F.when(key % 2 == 0, '<a data-code="600999">招商证券</a>签约').otherwise('<a data-code="600999">招商证券</a>给予买入评级')
+    more = F.when(key % 3 == 0, '<a data-type="hy" data-code="881101">种植业(881101)</a>').when(key % 3 == 1, F.concat(F.lit('<a href="http://q.10jqka.com.cn/gn/885525/">'), F.col("c_mktsegment"), F.lit("概念（885525）</a>"))).otherwise("")
+    day = F.lpad((key % 28 + 1).cast("string"), 2, "0")
+    time = F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("<time>2026-08-"), day, F.lit(" 09:30</time>")))
+    html = F.concat(F.lit('<div class="article-content"><p><a href="https://stockpage.10jqka.com.cn/300033/">同花顺</a>金融研究中心讯</p><p>'), link, broker, more, F.lit("</p></div>"), F.when(key % 5 == 0, "").otherwise("<p>来源：证券时报 编辑</p>"), time)
+    read = articles.articles(table(spark, sf_dir, "customer").select(key, "c_name", html.alias("html")), "html", F.lit("标题"), F.lit(""), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"))
+    joined = lambda c: F.array_join(c, ",").alias
+    return read.select(key, joined(F.transform("stocks", lambda s: s["code"]))("codes"), F.col("stocks")[0]["name"].alias("name"), joined(F.col("tags"))("tags"), joined(F.col("concepts"))("concepts"), "source", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+
+
+@query("""SELECT 'sse:' || o_orderkey AS record_id, '600' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') AS code, o_orderstatus || '股份' AS name, o_orderpriority || '？' AS question, CASE WHEN o_orderkey % 2 = 0 THEN '回复' || o_custkey END AS reply,
+ CAST(TIMESTAMP '2026-08-05 10:00:00' - to_hours(CAST(o_orderkey % 20 + 1 AS INTEGER)) AS VARCHAR) AS asked_at, CASE WHEN o_orderkey % 2 = 0 THEN '2026-08-04 09:05:00' END AS replied_at FROM orders WHERE o_orderkey % 3 > 0""")
+def question_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of feed pages; items without a known code don't count."""
+    key = F.col("o_orderkey")
+    text = F.concat(F.lit(":"), F.col("o_orderstatus"), F.lit("股份("), F.when(key % 3 == 0, "123456").otherwise(F.concat(F.lit("600"), F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"))), F.lit(") "), F.col("o_orderpriority"), F.lit("？"))
+    asked = F.concat(F.lit('<div class="m_feed_detail m_qa_detail"><div class="m_feed_txt">'), text, F.lit('</div><div class="m_feed_from"><span>'), (key % 20 + 1).cast("string"), F.lit("小时前</span></div></div>"))
+    answer = F.when(key % 2 == 0, F.concat(F.lit('<div class="m_feed_detail m_qa"><div class="m_feed_txt">回复'), F.col("o_custkey").cast("string"), F.lit('</div><div class="m_feed_from"><span>昨天 9:05</span></div></div>'))).otherwise("")
+    html = F.concat(F.lit('<div class="m_feed_item" id="item-'), key.cast("string"), F.lit('">'), asked, answer, F.lit("</div>"))
+    pages = table(spark, sf_dir, "orders").select(html.alias("html"), F.lit("2026-08-05 10:00:00").cast("timestamp_ntz").alias("now"))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return articles.question_feed(pages, "html", "now").select("record_id", "code", "name", "question", "reply", shown("asked_at"), shown("replied_at"))
+
+
+@query("""SELECT kind || CAST(o_orderkey AS VARCHAR) AS document_id, CASE WHEN kind = 'irm_ircs:' AND o_custkey % 2 = 1 THEN NULL ELSE CASE o_custkey % 2 WHEN 0 THEN '600001' ELSE '123456' END END AS code, o_orderpriority AS title,
+ CASE kind WHEN 'bse_ann:' THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' 00:00:00' ELSE strftime(to_timestamp(1785888000 + o_orderkey) AT TIME ZONE 'Asia/Shanghai', '%Y-%m-%d %H:%M:%S') END AS published_at,
+ CASE kind WHEN 'irm_ircs:' THEN 'https://static.cninfo.com.cn/f/' || o_orderkey || '.PDF' WHEN 'bse_ann:' THEN 'https://www.bse.cn/d/' || o_orderkey || '.doc' ELSE 'http://live/' || o_orderkey END AS document_url, CASE kind WHEN 'irm_ircs:' THEN 'PDF' WHEN 'bse_ann:' THEN 'DOC' END AS attachment
+ FROM orders, (VALUES ('irm_ircs:'), ('bse_ann:'), ('bse_perf:')) k(kind)""")
+def listed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three kinds of recorded pages, one item a page, in one shape."""
+    key, say = F.col("o_orderkey").cast("string"), F.lit
+    code = F.when(F.col("o_custkey") % 2 == 0, "600001").otherwise("123456")
+    ms = (F.lit(1785888000000) + F.col("o_orderkey") * 1000).cast("string")
+    title = F.concat(say('"'), F.col("o_orderpriority"), say('"'))
+    irm = F.concat(say('{"totalRecord": 1, "results": [{"indexId": "'), key, say('", "mainContent": '), title, say(', "stockCode": "'), code, say('", "pubDate": "'), ms, say('", "attachmentUrl": "f/'), key, say('.PDF", "filetype": "pdf"}]}'))
+    ann = F.concat(say('cb({"data": {"content": [{"totalElements": 1, "disclosures": [{"disclosureCode": "'), key, say('", "disclosureTitle": '), title, say(', "publishDate": "'), F.date_format("o_orderdate", "yyyy-MM-dd"), say('", "companyCd": "'), code, say('", "destFilePath": "/d/'), key, say('.doc"}]}]}})'))
+    perf = F.concat(say('cb([{"listInfo": {"content": [{"id": "'), key, say('", "title": '), title, say(', "stockCode": "'), code, say('", "showDate": {"time": '), ms, say('}, "url1": "http://live/'), key, say('"}]}}])'))
+    orders, out = table(spark, sf_dir, "orders"), None
+    for read, body in ((listings.irm_ircs, irm), (listings.bse_announcements, ann), (listings.bse_performances, perf)):
+        rows = read(orders.select(body.alias("body")), "body")
+        out = rows if out is None else out.union(rows)
+    return out.select("document_id", "code", "title", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"), "document_url", "attachment")
