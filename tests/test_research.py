@@ -76,3 +76,26 @@ def test_participants_of_several_days_need_their_own_date(spark):
     events = spark.createDataFrame([("r", date(2026, 3, 1), True), ("r", date(2026, 3, 2), True)], "id string, start date, eligible boolean")
     got = [(r.name, r.start) for r in R.participant_occurrences(people, events, "id", "line", "p").collect()]
     assert got == [("甲证券", date(2026, 3, 1))]
+
+
+def test_older_reading_takes_names_from_lines(spark):
+    from tidemark.operators import participants as P
+
+    text = "记录表：招商基金\n中信证券 王龙钰 分析师\n南方基金、某某财经公司、南方基金管理有限公司，先生公司\n本次交流。华夏基金\n参会名单。 华夏基金\n公司投资\nDM Capital Limited 首席分析师"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")
+    got = sorted((r.line_no, r.name, r.analyst, text[r.start : r.start + len(r.name)]) for r in P.line_mentions(df, "id", "text").collect())
+    assert got == [(1, "中信证券", "王龙钰", "中信证券"), (2, "先生公司", None, "先生公司"), (2, "南方基金", None, "南方基金"), (2, "南方基金管理有限公司", None, "南方基金管理有限公司"), (4, "华夏基金", None, "华夏基金"), (6, "DM Capital Limited", None, "DM Capital Limited")]
+
+
+@pytest.mark.parametrize("value", [0.0, 1.0, 12.5, -3.25, 123456.0, 1234567.0, 999999.5, 0.0001, 0.00001234567, 1e20, 0.1 + 0.2, 2.0 / 3])
+def test_metrics_are_shown_with_six_digits(spark, value):
+    from tidemark.operators import scoring
+
+    df = spark.createDataFrame([([("m", value, "u")],), ([],), ([(None, None, None)],)], "x array<struct<name: string, value: double, unit: string>>")
+    assert [r.s for r in df.select(scoring.shown_metric(F.col("x")).alias("s")).collect()] == [f"m {value:g} u", "—", "—"]
+
+
+def test_questions_keep_their_digits(spark):
+    text = "问：  0号项目进展如何？ \nQ2：1期产能？\n问： \n"
+    got = spark.createDataFrame([(text,)], "t string").select(R.questions(F.col("t")).alias("q")).first().q
+    assert [x.question for x in got] == ["0号项目进展如何？", "1期产能？"]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .research import LIST_HEAD, normalize_institution
+from .research import GENERIC, LIST_HEAD, MEDIA, PERSON_ENDS, analysts, normalize_institution
 
 # Patterns and word lists of participant lists.
 ENDINGS = "证券股份有限公司|证券有限责任公司|证券有限公司|证券股份|证券|基金管理有限责任公司|基金管理有限公司|基金管理|基金|保险(?:集团)?股份有限公司|保险有限公司|保险|人寿|信托|资产管理有限责任公司|资产管理有限公司|资产管理|资本管理|投资管理|创业投资|资管|资产|资本|投资|私募|理财|养老|有限合伙|合伙企业|创投|科技|生物|医药|实业|材料|银行|期货|租赁|金控|集团|控股|研究(?:院|所)|分公司|自营部|自营|（有限合伙）|\\(有限合伙\\)|股份有限公司|有限责任公司|有限公司|公司"
@@ -170,3 +170,36 @@ def listed_names(records: DataFrame, record: str, text: str, known: DataFrame, a
     named = by_line.select(record, "line_no", F.transform(kept, lambda x: x["name"]).alias("names"))
     whole = named.groupBy(record).agg(F.array_sort(F.collect_list(F.struct("line_no", "names"))).alias("lines"))
     return whole.select(record, F.array_distinct(F.flatten(F.transform("lines", lambda x: x["names"]))).alias("names"))
+
+
+# Endings of the older reading, which takes names from all lines of a text.
+OLD_ENDINGS = "证券股份有限公司|证券有限责任公司|证券有限公司|证券股份|证券|基金管理有限责任公司|基金管理有限公司|基金管理|基金|保险(?:集团)?股份有限公司|保险有限公司|保险|人寿|信托|资产管理有限责任公司|资产管理有限公司|资产管理|资本管理|投资管理|创业投资|资管|银行|期货|租赁|金控|集团|控股|研究(?:院|所)|股份有限公司|有限责任公司|有限公司|公司"
+OLD_META, HINTS = "记录表|时间|方式|地点|日期|参与单位|单位名称|交流内容|公司简介|证券代码|股票代码|公告编号|活动安排", "参与机构|参加单位|出席单位|机构名称|名单|附件|出席|到场|接待|调研机构"
+_BEHIND = "(?<=^|[、，,；;：: \\t(（【])"
+OLD_NAME = f"{_BEHIND}{_NAME_CHARS}{{2,24}}(?:{OLD_ENDINGS})(?![\\u4e00-\\u9fffA-Za-z0-9])"
+OLD_ENGLISH = f"{_BEHIND}[A-Za-z][A-Za-z0-9 .&'·-]{{1,60}}(?:{ENGLISH_ENDINGS})(?:\\.?(?:Co|Inc|LLC|LP|PLC))?(?![A-Za-z0-9])"
+LONGEST, LONGEST_ENGLISH = 20, 60
+
+
+def line_mentions(records: DataFrame, record: str, text: str) -> DataFrame:
+    """(record, line_no, start, name, analyst): organisations in any line of a text, each once, where it stands first.
+
+    The older reading: it knows no lists. Lines of labels are left out, and lines of prose without a word of lists.
+    start is the name's place in the text. The first analyst of a line belongs to its name if it has only one.
+    """
+    lines = F.split(F.col(text), "\n", -1)
+    rows = records.where(F.col(text).isNotNull()).select(record, lines.alias("lines")).select(record, "lines", F.posexplode("lines").alias("line_no", "line"))
+    # the line breaks before a line count as well
+    before = F.length(F.array_join(F.slice("lines", 1, F.col("line_no")), "\n")) + F.when(F.col("line_no") > 0, 1).otherwise(0)
+    rows = rows.where(~F.col("line").rlike(OLD_META) & (~F.col("line").rlike("[。！？]") | F.col("line").rlike(HINTS))).withColumn("before", before)
+    found = F.array_distinct(F.transform(F.concat(F.regexp_extract_all("line", F.lit(OLD_NAME), F.lit(0)), F.regexp_extract_all("line", F.lit(OLD_ENGLISH), F.lit(0))), lambda x: F.trim(x)))
+    rows = rows.withColumn("names", found).where(F.size("names") > 0)
+    analyst = F.when(F.size("names") == 1, F.try_element_at(analysts(F.col("line")), F.lit(1)))
+    named = rows.select(record, "line_no", "line", "before", analyst.alias("analyst"), F.explode("names").alias("name"))
+    latin = F.col("name").rlike("^[A-Za-z]")
+    fair = (F.length("name") <= LONGEST) | (latin & (F.length("name") <= LONGEST_ENGLISH))
+    kept = named.where(fair & ~F.col("name").rlike(f"^(?:{NO_NAME})")).withColumn("form", normalize_institution(F.col("name")))
+    kept = kept.where((F.col("form") != "") & ~F.col("name").rlike(MEDIA) & ~F.col("form").isin(*GENERIC) & ~F.col("name").rlike(PERSON_ENDS))
+    start = (F.col("before") + F.instr("line", F.col("name")) - 1).alias("start")
+    first = kept.select(record, "form", F.struct("line_no", start, "name", "analyst").alias("m")).groupBy(record, "form").agg(F.min("m").alias("m"))
+    return first.select(record, "m.line_no", "m.start", "m.name", "m.analyst")

@@ -97,7 +97,7 @@ def eligibility(name: Column, kind: Column, context: Column | None = None) -> Co
 
 def questions(text: Column) -> Column:
     """array<struct<question, depth, topic>> of the questions asked."""
-    asked = F.filter(F.transform(F.regexp_extract_all(text, F.lit(QUESTION), F.lit(1)), F.trim), lambda q: q != "")
+    asked = F.filter(F.transform(F.regexp_extract_all(text, F.lit(QUESTION), F.lit(1)), lambda q: F.trim(q)), lambda q: q != "")
     return F.transform(asked, lambda q: F.struct(q.alias("question"), F.coalesce(first_match(q, DEPTHS), F.lit("low")).alias("depth"), F.coalesce(first_match(q, TOPICS), F.lit("other")).alias("topic")))
 
 

@@ -85,3 +85,27 @@ def may_publish(hour: Column, fresh: Column, complete: Column, least_hour: int =
 def review(outcome: Column, certainty: Column) -> Column:
     """struct<verified, certainty>: agreement verifies; other outcomes only leave a trace."""
     return F.struct((outcome == "agree").alias("verified"), certainty.alias("certainty"))
+
+
+def shown_metric(metrics: Column) -> Column:
+    """The first of array<struct<name, value, unit>> as name, value and unit; a dash without one.
+
+    A value is shown with six digits, without zeros at the end, and with an exponent if it is very small or large.
+    """
+    first = F.try_element_at(metrics, F.lit(1))
+    value = first["value"]
+    plain = lambda text: F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    # rounding to six digits can add a digit before the point
+    digits = F.when(value == 0, 0).otherwise(F.floor(F.log10(F.abs(F.format_string("%.5e", value).cast("double")))))
+    mantissa = plain(F.regexp_extract(F.format_string("%.5e", value), r"^([^e]*)e", 1))
+    exponent = F.format_string("e%s%02d", F.when(digits < 0, "-").otherwise("+"), F.abs(digits).cast("int"))
+    fixed = F.coalesce(*(F.when(digits == d, plain(F.format_string(f"%.{5 - d}f", value))) for d in range(-4, 6)))
+    text = F.when(value.isNull(), "").when(value == 0, "0").otherwise(F.coalesce(fixed, F.concat(mantissa, exponent)))
+    parts = F.filter(F.array(F.coalesce(first["name"], F.lit("")), text, F.coalesce(first["unit"], F.lit(""))), lambda x: x != "")
+    return F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise("—")
+
+
+def shown_evidence(items: Column, most: int = 240) -> Column:
+    """The summaries of array<struct<kind, summary>>, kinds where there is none, joined and cut at `most` characters."""
+    labels = F.transform(items, lambda x: F.coalesce(F.nullif(x["summary"], F.lit("")), x["kind"], F.lit("")))
+    return F.coalesce(F.substring(F.array_join(labels, "；"), 1, most), F.lit(""))

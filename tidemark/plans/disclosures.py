@@ -380,3 +380,26 @@ def listed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = read(orders.select(body.alias("body")), "body")
         out = rows if out is None else out.union(rows)
     return out.select("document_id", "code", "title", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"), "document_url", "attachment")
+
+
+@query("""SELECT c_custkey, 1 AS line_no, 4 AS start, CAST(c_custkey AS VARCHAR) || '号证券' AS name, CASE WHEN c_custkey % 2 = 0 THEN '王龙钰' END AS analyst FROM customer
+ UNION ALL SELECT c_custkey, 1, CAST(8 + length(CAST(c_custkey AS VARCHAR)) AS INTEGER), '南方基金', NULL FROM customer WHERE c_custkey % 2 = 1
+ UNION ALL SELECT c_custkey, 3, CAST(CASE WHEN c_custkey % 2 = 0 THEN 25 ELSE 22 END + length(CAST(c_custkey AS VARCHAR)) AS INTEGER), 'DM Capital Limited', NULL FROM customer""")
+def line_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Organisations of all lines, with the analyst of a line that names one."""
+    key = F.col("c_custkey")
+    rest = F.when(key % 2 == 0, " 王龙钰 分析师").otherwise("、南方基金")
+    text = F.concat(F.lit("记录表\n"), key.cast("string"), F.lit("号证券"), rest, F.lit("\n公司称投资。银行\n"), F.lit("DM Capital Limited\n参与单位：某某基金"))
+    return participants.line_mentions(table(spark, sf_dir, "customer").select(key, text.alias("text")), "c_custkey", "text")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '—' ELSE '金额 ' || CASE p_partkey % 3 WHEN 1 THEN CAST(CAST(p_size AS BIGINT) * 1000 AS VARCHAR) ELSE p_size || '.5' END || ' 元' END AS metric, repeat('反证' || p_size || '；', 2) || 'partial' AS evidence FROM part""")
+def shown_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A signal's first metric and its counter-evidence as a board shows them."""
+    size = F.col("p_size").cast("double")
+    value = F.when(F.col("p_partkey") % 3 == 1, size * 1000).otherwise(size + 0.5)
+    metric = F.struct(F.lit("金额").alias("name"), value.alias("value"), F.lit("元").alias("unit"))
+    metrics = F.when(F.col("p_partkey") % 3 > 0, F.array(metric)).otherwise(F.filter(F.array(metric), lambda _: F.lit(False)))
+    item = F.struct(F.lit("title_body_conflict").alias("kind"), F.concat(F.lit("反证"), F.col("p_size").cast("string")).alias("summary"))
+    evidence = F.array(item, item, F.struct(F.lit("partial").alias("kind"), F.lit("").alias("summary")))
+    return table(spark, sf_dir, "part").select("p_partkey", scoring.shown_metric(metrics).alias("metric"), scoring.shown_evidence(evidence).alias("evidence"))
