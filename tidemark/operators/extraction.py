@@ -6,6 +6,7 @@ the document of the best provider is weighed; the strongest type of a stock lead
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql.column import Column
 from ..functions import text as X
 from ..functions.places import after, before
 from ..functions.places import few_matches as matches
-from ..plans.session import cut
+from ..plans.session import cut, shared_dir
 from . import extraction_rules as R
 from .scoring import STAGES, materiality_level
 
@@ -158,6 +159,13 @@ def _weigh(rule: R.Rule, title: Column, body: Column, text: Column, periodic: Co
     )
 
 
+def _by_rule(hits: DataFrame) -> DataFrame:
+    """hits written with a folder for each rule, and read again: a rule's plan reads no other's."""
+    path = f"{shared_dir(hits.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    hits.write.partitionBy("rule").parquet(path)
+    return hits.sparkSession.read.schema(hits.schema).parquet(path)
+
+
 def detect(documents: DataFrame, rules=R.RULES) -> DataFrame:
     """(event_id, stock_code, document_id, event_type, direction, mechanism, stage, certainty, level, ratio, amount, counter,
     evidence_id, excerpt, start, end) per event, stock and type, from rows of (event_id, stock_code, document_id,
@@ -175,13 +183,13 @@ def detect(documents: DataFrame, rules=R.RULES) -> DataFrame:
     earnings = [i for i, r in enumerate(rules) if r.name == "earnings_upgrade"]
     is_earnings = F.col("rule").isin(*earnings or [-1])
     # columns of their own, one from the other: long expressions that are used many times aren't copied into each other
-    best = best.withColumns({"places0": F.when(is_earnings, matches(body, F.lit(rules[earnings[0]].pattern))) if earnings else F.array(), "good0": F.when(is_earnings, _heads(body, R.PREFERRED_SECTION)), "other0": F.when(is_earnings, _heads(body, R.OTHER_SECTION))})
+    best = best.withColumns({"places0": F.when(is_earnings, matches(body, F.lit(rules[earnings[0]].pattern))) if earnings else F.array().cast("array<struct<s: int, e: int, m: string>>"), "good0": F.when(is_earnings, _heads(body, R.PREFERRED_SECTION)), "other0": F.when(is_earnings, _heads(body, R.OTHER_SECTION))})
     best = best.withColumns({"d0": direction(text, title), "amount0": X.parse_amount(body), "stage0": stage(text), "kinds0": counter_evidence(title, body, title.rlike(R.PERIODIC) & is_earnings)})
     best = best.withColumn("source0", F.when(is_earnings, _figures(body, F.col("places0"), F.col("good0"), F.col("other0"))).otherwise(body) if earnings else body)
     ratios = [F.when(F.col("rule") == i, X.parse_percent(F.regexp_extract("source0", r.ratio, 0))) for i, r in enumerate(rules) if r.ratio]
     best = best.withColumn("ratio0", F.coalesce(*ratios, F.lit(None).cast("double")))
-    # one small plan a rule over the stored hits, rather than one that holds the expressions of all rules
-    best = cut(best)
+    # one small plan a rule over its own folder of the stored hits, rather than one that holds the expressions of all
+    best = _by_rule(best)
     found = None
     for i, rule in enumerate(rules):
         own = best.where(F.col("rule") == i)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as X
-from ..operators import extraction, folds, joins, participants, research, scoring
+from ..operators import answers, extraction, folds, joins, participants, research, scoring
 from ..sources import articles, feeds, listings, sinks
 from . import query, table
 from .session import shared_dir
@@ -403,3 +403,32 @@ def shown_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct(F.lit("title_body_conflict").alias("kind"), F.concat(F.lit("反证"), F.col("p_size").cast("string")).alias("summary"))
     evidence = F.array(item, item, F.struct(F.lit("partial").alias("kind"), F.lit("").alias("summary")))
     return table(spark, sf_dir, "part").select("p_partkey", scoring.shown_metric(metrics).alias("metric"), scoring.shown_evidence(evidence).alias("evidence"))
+
+
+#: What is wrong with an answer, in turn: {x} is a key, {l} a level.
+_ANSWERS = (
+    '{"event_type": "mna", "direction": "positive", "certainty": 0.9, "materiality_level": {l}, "unexpectedness": 50, "novelty": 60.5, "metrics": [], "counter_evidence": [{"kind": "partial"}], "evidence_ids": ["{x}:1"]}',
+    '```{"event_type": "mna"}```',
+    '{"event_type": "mna", "direction": "positive", "certainty": 0.9, "materiality_level": {l}.5, "unexpectedness": 50, "novelty": 60, "metrics": [], "counter_evidence": [], "evidence_ids": []}',
+    '{"event_type": "mna", "direction": "positive", "certainty": 0.9, "materiality_level": {l}, "unexpectedness": 50, "novelty": 60, "metrics": [{"name": "x"}], "counter_evidence": [], "evidence_ids": []}',
+    '{"event_type": "approval", "direction": "neutral", "certainty": 0.5, "materiality_level": {l}, "unexpectedness": 0, "novelty": 100, "metrics": [], "counter_evidence": [], "evidence_ids": ["llm:{x}"], "no_valid_signal": true}',
+    '{"event_type": "mna", "direction": "up", "certainty": 0.9, "materiality_level": {l}, "unexpectedness": 50, "novelty": 60, "metrics": [], "counter_evidence": [], "evidence_ids": []}',
+    '{"event_type": "mna", "direction": "positive", "certainty": 0.9, "materiality_level": {l}, "unexpectedness": 50, "novelty": 60, "metrics": [], "counter_evidence": [], "evidence_ids": ["other:1"]}',
+)
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 7 AS k, CAST(o_custkey % 5 AS INTEGER) AS level, o_custkey % 3 AS c FROM orders)
+ SELECT o_orderkey, CASE WHEN c = 0 AND k = 0 THEN 'mna' WHEN c = 0 AND k = 4 THEN 'approval' ELSE 'risk_resolution' END AS event_type, CASE WHEN c = 0 AND k = 0 THEN 'signed' WHEN c = 0 AND k = 4 THEN 'framework' ELSE 'executed' END AS certainty_stage,
+ CASE WHEN c = 0 AND k IN (0, 4) THEN level ELSE 1 END AS materiality_level, CASE WHEN c = 0 AND k IN (0, 4) THEN 'llm' ELSE 'rules_fallback' END AS extractor FROM o WHERE c = 0 AND k IN (0, 4) OR o_orderkey % 2 = 0""")
+def answered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept answers for two documents in three, of which every other one is of an older text; the rules answer for the rest."""
+    key = F.col("o_orderkey")
+    text = F.replace(F.replace(_pick(list(_ANSWERS), key), F.lit("{x}"), key.cast("string")), F.lit("{l}"), (F.col("o_custkey") % 5).cast("string"))
+    orders = table(spark, sf_dir, "orders").select(key, F.col("o_custkey"), key.cast("string").alias("document_id"), F.md5(F.concat_ws(":", key.cast("string"), F.col("o_orderstatus"))).alias("content_hash"), text.alias("response"))
+    stale = F.when(F.col("o_custkey") % 3 == 1, "old").otherwise(F.col("content_hash"))
+    cache = orders.where(F.col("o_custkey") % 3 < 2).select("document_id", F.lit("m").alias("model"), F.lit("1").alias("prompt_version"), stale.alias("content_hash"), "response", F.lit(1).alias("answered_at"))
+    none = cache.limit(0)
+    found = answers.from_cache(orders.drop("response"), answers.to_cache(none, cache), "m", "1").withColumn("v", answers.parsed(F.col("response")))
+    read = found.select("o_orderkey", answers.holds(F.col("v"), F.array("document_id")).alias("holds"), answers.fields(F.col("v")).alias("f")).select("o_orderkey", "holds", "f.event_type", "f.certainty_stage", "f.materiality_level")
+    ruled = orders.where(key % 2 == 0).select("o_orderkey", F.lit("risk_resolution").alias("event_type"), F.lit("executed").alias("certainty_stage"), F.lit(1).alias("materiality_level"))
+    return answers.with_fallback(orders, read, ruled, ["o_orderkey"], ["event_type", "certainty_stage", "materiality_level"])

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import boards as B
 from ..operators import scoring as S
 from . import query, table
 
@@ -49,12 +49,10 @@ def penalty_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_EXTRACTIONS + """ SELECT l_orderkey, l_linenumber, board, CAST(row_number() OVER (PARTITION BY board ORDER BY score DESC, level DESC, certainty DESC, l_orderkey, l_linenumber) AS INTEGER) AS rank FROM b WHERE board IS NOT NULL QUALIFY rank <= 50""")
 def signal_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, out = _scored(spark, sf_dir), None
+    # the first rows of each board are kept before the shuffle, so a task holds two short lists
     order = [F.desc("score"), F.desc("level"), F.desc("certainty"), F.asc("l_orderkey"), F.asc("l_linenumber")]
-    for name in ("confirmed_positive", "potential_catalyst"):
-        part = B.ranked(rows.where(F.col("board") == name), order, top=50).select("l_orderkey", "l_linenumber", "board", "rank")
-        out = part if out is None else out.union(part)
-    return out
+    rank = F.row_number().over(W.partitionBy("board").orderBy(*order))
+    return _scored(spark, sf_dir).where("board is not null").withColumn("rank", rank).where("rank <= 50").select("l_orderkey", "l_linenumber", "board", "rank")
 
 
 @query(_EXTRACTIONS + """ SELECT l_orderkey, l_linenumber, (certainty < 0.7 OR score < 35 OR level < 1 OR certainty < 0.4) AS ambiguous, CAST((level >= 1)::INT + (level >= 2)::INT + (certainty >= 0.4)::INT + (certainty >= 0.7)::INT + (NOT uncertain)::INT + (score >= 35)::INT + (score >= 60)::INT AS INTEGER) AS passed FROM b""")
