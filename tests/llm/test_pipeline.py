@@ -49,9 +49,9 @@ def test_all_but_the_last_stage_keep_the_columns(spark, folder):
         assert stage(spark, docs, folder).columns == docs.columns
 
 
-def test_entry_has_all_eleven():
+def test_entry_has_all_fourteen():
     names = list(entry.queries())
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
 def test_n_chars_follows_the_text(spark, folder):
