@@ -99,3 +99,15 @@ def test_questions_keep_their_digits(spark):
     text = "问：  0号项目进展如何？ \nQ2：1期产能？\n问： \n"
     got = spark.createDataFrame([(text,)], "t string").select(R.questions(F.col("t")).alias("q")).first().q
     assert [x.question for x in got] == ["0号项目进展如何？", "1期产能？"]
+
+
+def test_assembled_records_count_names_of_wrapped_lists(spark):
+    from tidemark.operators import participants as P
+
+    text = "参与单位名称\n南方基金、正心谷中金公司、高\n毅资产、中信建投证\n券、平安银行\n时间 2026年5月6日\n"
+    df = spark.createDataFrame([("r", "600001", text, datetime(2026, 5, 8))], "id string, code string, text string, published timestamp")
+    known = spark.createDataFrame([("中金公司",), ("正心谷",)], "alias string")
+    names = P.listed_names(df, "id", "text", known, "alias")
+    assert names.first().names == ["南方基金", "正心谷", "中金公司", "高毅资产", "中信建投证券", "平安银行"]
+    row = R.assembled(df, "id", "code", "text", "published", names).first()
+    assert row.named == 3 and [str(d) for d in row.days] == ["2026-05-06"]

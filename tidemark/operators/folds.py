@@ -67,7 +67,8 @@ def leader_clusters(articles: DataFrame, seconds: int = 21_600, least: float = 9
     An article joins the first event, in order of creation, that is at most `seconds` away, shares a code (its codes grow
     with its members) and has a leader's title at least `least` alike; empty titles match nothing. Codes that meet in
     an article, directly or through others, are a block, and so is a stretch without a longer gap: an event never
-    crosses either. Each block is read once as it is sorted, and events older than the window are forgotten.
+    crosses either. Each block is read once as it is sorted, events older than the window are forgotten, and an article
+    looks only at those under its own codes.
     """
     pairs = articles.select("article", F.explode("codes").alias("code"))
     linked = _blocks(pairs)
@@ -76,22 +77,32 @@ def leader_clusters(articles: DataFrame, seconds: int = 21_600, least: float = 9
     runs = in_runs(placed.select("block", "article", "at", "title", "codes"), ["block"], moment, [F.desc("at"), F.asc("article")], seconds)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        events: deque[tuple] = deque()  # those that a later row can still join
+        events: dict[str, deque] = {}  # under each code those that a later row can still join, in order of creation
+        made = 0
         for batch in batches:
             leads = []
             for article, t, title, codes, new in zip(*(batch.column(c).to_pylist() for c in ("article", "__t", "title", "codes", "__new")), strict=True):
                 if new:
                     events.clear()  # no event crosses the gap between two runs
-                while events and events[0][1] - t > seconds:
-                    events.popleft()
                 own = {c for c in codes or () if c is not None}
-                for lead, _, said, held in events:
-                    if held & own and said and title and indel_ratio(said, title) >= least:
-                        held |= own
+                live = {}
+                for c in own & events.keys():
+                    held = events[c]
+                    while held and held[0][1] - t > seconds:
+                        held.popleft()
+                    live |= {e[0]: e for e in held if e[1] - t <= seconds}
+                for n in sorted(live):
+                    _, _, lead, said, found_by = live[n]
+                    if said and title and indel_ratio(said, title) >= least:
+                        event = live[n]
                         break
                 else:
-                    lead = article
-                    events.append((lead, t, title, own))
+                    made += 1
+                    lead, found_by = article, set()
+                    event = (made, t, article, title, found_by)
+                for c in own - found_by:
+                    events.setdefault(c, deque()).append(event)
+                found_by |= own
                 leads.append(lead)
             ids = batch.column("article")
             yield pa.RecordBatch.from_arrays([ids, pa.array(leads, ids.type)], names=["article", "event"])

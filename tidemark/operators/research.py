@@ -182,14 +182,18 @@ def mention_context(line: Column, name: Column) -> Column:
     return F.when((at > 0) & (item != ""), item).otherwise(name)
 
 
-def assembled(records: DataFrame, record: str, code: str, text: str, published: str) -> DataFrame:
+def assembled(records: DataFrame, record: str, code: str, text: str, published: str, named_in: DataFrame | None = None) -> DataFrame:
     """One row per record: (record, activity_id, code, days, precision, kind, reported, named, question_count,
     high_depth, depth_counts, topic_counts). Named are the eligible organisations of the list, each name form once,
-    judged by their own list item. Records without text or code are left out.
+    judged by their own list item. Records without text or code are left out. named_in: (record, names) of the lists,
+    as of participants.listed_names, which knows wrapped lists; without it a list's items are taken as they stand.
     """
     rows = records.where((F.trim(F.coalesce(text, F.lit(""))) != "") & F.col(code).isNotNull()).select(record, code, text, published)
     days = activity_dates(rows, record, text, published).groupBy(record).agg(F.array_sort(F.collect_set("day")).alias("days"), F.first("precision").alias("precision"))
-    lines = rows.select(record, F.explode(participants(F.col(text))).alias("name"), text)
+    if named_in is None:
+        lines = rows.select(record, F.explode(participants(F.col(text))).alias("name"), text)
+    else:
+        lines = rows.select(record, text).join(named_in.select(record, F.explode("names").alias("name")), record).select(record, "name", text)
     own = F.try_element_at(F.filter(F.split(text, "\n"), lambda line: F.contains(line, F.col("name"))), F.lit(1))
     people = lines.select(record, "name", normalize_institution(F.col("name")).alias("alias"), mention_context(F.coalesce(own, F.col("name")), F.col("name")).alias("context"))
     counts = eligibility(F.col("name"), institution_type(F.col("alias")), F.col("context"))["eligible"]
