@@ -69,10 +69,17 @@ def midrank_percentiles(rows: DataFrame, value: str, partition: Sequence[str], l
     return ranks.withColumn(out, share).drop("__below", "__equal", "__all")
 
 
-def average_rank_percentile(value: str) -> Column:
-    """The average-rank percentile over a short list of rows, as a window in one task."""
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    return _average_rank(F.rank().over(W.orderBy(value)) - 1, F.count(F.lit(1)).over(W.partitionBy(value)), n)
+def average_rank_percentile(value: str, partition: Sequence[str] = ()) -> Column:
+    """The average-rank percentile as a window, for partitions that fit in a task."""
+    by, own = W.partitionBy(*partition), W.partitionBy(*partition, value)
+    return _average_rank(F.rank().over(by.orderBy(value)) - 1, F.count(F.lit(1)).over(own), F.count(F.lit(1)).over(by))
+
+
+def midrank_percentile(value: str, partition: Sequence[str], least: int) -> Column:
+    """The midrank percentile as a window, for partitions that fit in a task."""
+    by, own = W.partitionBy(*partition), W.partitionBy(*partition, value)
+    n = F.count(F.lit(1)).over(by)
+    return F.when(n >= least, (F.rank().over(by.orderBy(value)) - 1 + 0.5 * F.count(F.lit(1)).over(own)) / n * 100.0)
 
 
 def industry_heat(popular: DataFrame, articles: DataFrame, industry: str, code: str, article: str) -> DataFrame:
