@@ -178,3 +178,18 @@ def test_the_mixed_corpus_holds_each_row_as_often_as_taken(spark):
         want[r.doc_id, r.text] += r.copies
     assert Counter((r.doc_id, r.text) for r in out.collect()) == +want and len(counts) == len(rows)
     assert mixing.emitted(docs.limit(0)).count() == 0
+
+
+def test_a_shingle_of_all_items_and_texts_leads_nowhere(spark):
+    common = "this very phrase stands in all of them"
+    rng = np.random.default_rng(2)
+    made = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    rows = [(i, f"{common} {made(30)}") for i in range(60)]
+    held = [(i, f"{made(40)} {common} {made(12)}") for i in range(58)] + [(58, rows[3][1] + " " + made(20)), (59, made(20) + "\n" + rows[4][1].upper())]
+    items, docs = (spark.createDataFrame(x, f"{i} long, text string") for x, i in ((rows, "item_id"), (held, "doc_id")))
+    sketch = decontam.sketches(items, "item_id", "text", 5, 0.8)
+    assert sketch.groupBy("hash").count().where("count > 1").count() == 0 and sketch.count() > 60
+    for most in (2_000_000, 0):
+        got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items, most_hashes=most).collect()}
+        assert got == {(58, 3), (59, 4)}
+        assert decontam.drop_contaminated(docs, items, most_hashes=most).count() == 58
