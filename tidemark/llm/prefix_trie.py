@@ -348,8 +348,11 @@ def _summed(open_nodes: DataFrame) -> DataFrame:
     while not now.where("up is not null").isEmpty():
         more = now.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("leaves").alias("l"), F.sum("saved").alias("s"))
         above = now.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        now = now.join(more, "node", "left").join(above, "up", "left")
-        now = cut(now.select("node", F.col("next").alias("up"), *((F.col(c) + F.coalesce(c[0], F.lit(0).cast("long"))).alias(c) for c in ("leaves", "saved"))))
+        # nodes that have come to the root don't move, and don't meet in one task for it
+        moved = now.where("up is not null").join(above, "up").select("node", "next", "leaves", "saved")
+        resting = now.where("up is null").select("node", F.col("up").alias("next"), "leaves", "saved")
+        joined = moved.union(resting).join(more, "node", "left")
+        now = cut(joined.select("node", F.col("next").alias("up"), *((F.col(c) + F.coalesce(c[0], F.lit(0).cast("long"))).alias(c) for c in ("leaves", "saved"))))
     return now.drop("up")
 
 
@@ -384,9 +387,11 @@ def prefix_trie(turns: DataFrame, sizes: DataFrame, *, block_keys: int = BLOCK,
     own = merged.select("node", "parent", (F.col("n_leaves") + (F.col("n_children") == 0).cast("long")).alias("leaves"), (F.col("saved_tokens") + (F.col("n_convs") - 1) * F.col("chars")).alias("saved"))
     owner = merged.select(F.col("node").alias("parent"), F.col("conv_id").alias("owner"))
     opened = merged.drop("n_leaves", "saved_tokens").join(_summed(own), "node").join(owner, "parent", "left")
-    done = found.where("done").join(owner, "parent", "left")
+    inside = found.where("done and parent is null").withColumn("owner", F.col("parent_conv_id"))
+    below_open = found.where("done and parent is not null").join(owner, "parent")
+    done = inside.unionByName(below_open)
     ends_here = F.coalesce("ends_sha256", F.lit(EMPTY)).alias("ends_sha256")
     counts = ("n_convs", "n_children")
-    return done.select("conv_id", "depth", F.coalesce("parent_conv_id", "owner").alias("parent_conv_id"), *counts, "n_leaves", "saved_tokens", ends_here).union(
+    return done.select("conv_id", "depth", F.col("owner").alias("parent_conv_id"), *counts, "n_leaves", "saved_tokens", ends_here).union(
         opened.select("conv_id", "depth", F.col("owner").alias("parent_conv_id"), *counts, F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), ends_here)
     )
