@@ -76,6 +76,23 @@ def event_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("event_id").cast("long").alias("o_orderkey"), "event_type", "direction", "stage", "leads", "level", "ratio", "amount")
 
 
+#: Announcements that look like an event of a type and are none, or another, or one without a mechanism.
+EXCLUDED = (
+    ("关于送股转增方案的公告", "利润分配预案为每10股送3股转增2股。"), ("关于专利获批的公告", "公司专利获批，取得证书。"), ("关于取消税收优惠的公告", "税收优惠取消，公司成本将受影响。"), ("股权激励计划草案", "股权激励计划将实施。"),
+    ("2026年半年度报告", "半年度报告显示净利润为-5000万元，业绩下降。"), ("公司中标订单并进入供应链的公告", "公司获得订单，进入某某汽车供应链，批量供货。"), ("关于调整回购价格的公告", "公司调整回购价格。"),
+    ("关于补偿事项的公告", "公司不存在向投资者提供补偿的情形。"), ("限制性股票回购注销公告", "限制性股票回购注销完成。"), ("关于全资子公司吸收合并的公告", "全资子公司吸收合并已完成。"),
+)
+
+
+@query("""SELECT o_orderkey, event_type, direction, mechanism, stage, CAST(level AS INTEGER) AS level FROM orders JOIN (VALUES (3, 'equity_incentive', 'neutral', false, 'framework', 0), (4, 'earnings_upgrade', 'negative', false, 'executed', 0), (5, 'customer_breakthrough', 'positive', true, 'awarded', 2)) v(k, event_type, direction, mechanism, stage, level) ON o_orderkey % 10 = k""")
+def event_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules leave out: titles and texts of other matters, terms that are missing, and losses."""
+    key = F.col("o_orderkey")
+    docs = table(spark, sf_dir, "orders").select(key.cast("string").alias("event_id"), F.col("o_custkey").cast("string").alias("stock_code"), key.cast("string").alias("document_id"), F.lit("cninfo").alias("provider_key"), _pick([t for t, _ in EXCLUDED], key).alias("title"), _pick([b for _, b in EXCLUDED], key).alias("body"))
+    found = extraction.detect(docs)
+    return found.select(F.col("event_id").cast("long").alias("o_orderkey"), "event_type", "direction", F.col("mechanism").isNotNull().alias("mechanism"), "stage", "level")
+
+
 _BEATS = "超预期"
 
 
