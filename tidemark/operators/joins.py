@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions.text import trigram_cosine
+from ..plans.session import cut
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, codes: str, left_at: str, right_at: str, seconds: int) -> DataFrame:
@@ -53,8 +54,8 @@ def alike_pairs(names: DataFrame, key: list[str], name: str, grams: str, least:
     """
     distinct = names.where(F.size(grams) > 0).groupBy(*key, name).agg(F.any_value(grams).alias("__grams"))
     single = distinct.select(*key, name, F.explode("__grams").alias("__gram"))
-    held = single.groupBy(*key, "__gram").agg(F.count("*").alias("__held"))
-    rare = single.join(held, [*key, "__gram"]).groupBy(*key, name).agg(F.array_sort(F.collect_list(F.struct("__held", "__gram"))).alias("__g"))
+    held = single.withColumn("__held", F.count("*").over(W.partitionBy(*key, "__gram")))
+    rare = cut(held.groupBy(*key, name).agg(F.array_sort(F.collect_list(F.struct("__held", "__gram"))).alias("__g")))
     n, tiny = F.size("__g"), 1e-9
     few = lambda share: (n - F.ceil(n * F.lit(share) - tiny) + 1).cast("int")
 
@@ -67,7 +68,7 @@ def alike_pairs(names: DataFrame, key: list[str], name: str, grams: str, least:
     left_over = F.least(F.col("__n_a") - F.col("__at_a"), F.col("__n_b") - F.col("__at_b"))
     pairs = side("a", least).join(side("b", least * least), [*key, "__gram"]).where(shorter & (F.col("__n_a") >= wanted) & (left_over >= wanted))
     met = pairs.select(*key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    whole = lambda c: distinct.select(*key, F.col(name).alias(c), F.col("__grams").alias(f"__{c}"))
+    whole = lambda c: rare.select(*key, F.col(name).alias(c), F.transform("__g", lambda x: x["__gram"]).alias(f"__{c}"))
     both = met.join(whole("a"), [*key, "a"]).join(whole("b"), [*key, "b"])
     return both.withColumn("cosine", trigram_cosine(F.col("__a"), F.col("__b"))).where(F.col("cosine") >= least - 1e-12).select(*key, "a", "b", "cosine")
 
