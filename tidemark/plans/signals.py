@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring as S
 from . import query, table
+from .session import cut
 
 _EXTRACTIONS = """WITH x AS (SELECT l_orderkey, l_linenumber, CASE l_suppkey % 5 WHEN 0 THEN 'cninfo' WHEN 1 THEN 'sse' WHEN 2 THEN 'irm' WHEN 3 THEN 'ths' ELSE 'bse' END AS provider,
  CAST(l_partkey % 5 AS INTEGER) AS level, CASE l_linenumber % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.7 ELSE 0.45 END::DOUBLE AS certainty, CASE l_suppkey % 4 WHEN 0 THEN 100.0 WHEN 1 THEN 75.0 WHEN 2 THEN 50.0 ELSE 25.0 END::DOUBLE AS unexpectedness,
@@ -17,7 +18,9 @@ s AS (SELECT *, least(confidence, certainty) * (0.35::DOUBLE * (level * 25.0::DO
 b AS (SELECT *, CASE WHEN level >= 2 AND certainty >= 0.7 AND NOT uncertain AND score >= 60 THEN 'confirmed_positive' WHEN level >= 1 AND certainty >= 0.4 AND score >= 35 THEN 'potential_catalyst' END AS board FROM s)"""
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
+    """Line items as extractions, scored. keep: the extractions are stored first, so that filters on a score don't work
+    out its columns again for every place that names them."""
     pick = lambda c, *values: F.element_at(F.array(*map(F.lit, values)), (c % len(values)).cast("int") + 1)
     s, p, n = F.col("l_suppkey"), F.col("l_partkey"), F.col("l_linenumber")
     rows = table(spark, sf_dir, "lineitem").select(
@@ -25,6 +28,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(p, 100.0, 60.0, 30.0).alias("novelty"), (F.col("l_quantity") * 2.0).alias("timeliness"), (F.col("l_returnflag") == "R").alias("partial"), ((F.col("l_linestatus") == "O") & (p % 11 == 0)).alias("uncertain"), (s % 2 == 0).alias("has_history"),
     )
     c = F.col
+    rows = cut(rows) if keep else rows
     rows = rows.withColumns({"confidence": S.source_confidence(c("provider")), "penalty": S.penalty(c("partial"), c("uncertain"), c("unexpectedness"), c("level"), c("novelty"), c("has_history"))})
     rows = rows.withColumn("score", S.score(c("confidence"), c("certainty"), c("level"), c("unexpectedness"), c("novelty"), c("timeliness"), c("penalty")))
     return rows.withColumn("board", S.board(c("score"), c("level"), c("certainty"), c("uncertain")))
@@ -52,7 +56,7 @@ def signal_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the first rows of each board are kept before the shuffle, so a task holds two short lists
     order = [F.desc("score"), F.desc("level"), F.desc("certainty"), F.asc("l_orderkey"), F.asc("l_linenumber")]
     rank = F.row_number().over(W.partitionBy("board").orderBy(*order))
-    return _scored(spark, sf_dir).where("board is not null").withColumn("rank", rank).where("rank <= 50").select("l_orderkey", "l_linenumber", "board", "rank")
+    return _scored(spark, sf_dir, keep=True).where("board is not null").withColumn("rank", rank).where("rank <= 50").select("l_orderkey", "l_linenumber", "board", "rank")
 
 
 @query(_EXTRACTIONS + """ SELECT l_orderkey, l_linenumber, (certainty < 0.7 OR score < 35 OR level < 1 OR certainty < 0.4) AS ambiguous, CAST((level >= 1)::INT + (level >= 2)::INT + (certainty >= 0.4)::INT + (certainty >= 0.7)::INT + (NOT uncertain)::INT + (score >= 35)::INT + (score >= 60)::INT AS INTEGER) AS passed FROM b""")
