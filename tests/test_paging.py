@@ -78,6 +78,14 @@ def test_a_list_that_starts_over_ends(spark):
     assert pages == [("fresh", p) for p in range(1, 6)] + [("backfill", 6)] and len(new) == 20 and cursor.reached_cutoff
 
 
+def test_a_page_is_one_row_whatever_it_holds(spark):
+    """A source's task took every document of its pages before."""
+    docs = [("s", p, i, date(2026, 1, 1)) for p in (1, 2, 4) for i in range(p * 1000, p * 1000 + 1000)] + [("s", 4, 1000, date(2026, 1, 2))]
+    listing, none = spark.createDataFrame(docs, LISTING), Store(spark)
+    got = paging.pages_near(listing, spark.createDataFrame([("s", i) for i in range(2000, 3000)], "source string, document long"), none.cursors, 3).collect()
+    assert sorted((r.page, r.first, r.last, sorted(r.unknown or [])) for r in got) == [(1, date(2026, 1, 1), date(2026, 1, 1), [[]]), (2, date(2026, 1, 1), date(2026, 1, 1), []), (4, date(2026, 1, 1), date(2026, 1, 2), [[], [1]])]
+
+
 def test_no_first_page_keeps_the_cursors(spark):
     listing = spark.createDataFrame([("s", 2, 1, date(2026, 1, 1))], LISTING)
     pages, new, cursor = Store(spark).run(listing, 3)

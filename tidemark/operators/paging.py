@@ -5,7 +5,8 @@ the scan before stopped, to the first page of known documents, the frontier. The
 cursor or below the frontier, whichever is deeper, until a page reaches back to the day asked for, the list ends, or a
 page below the frontier holds nothing new: lists that start over behind their end don't keep it going.
 
-A run looks at some five budgets of pages of a source at most, so a source's rows in a run are bounded by its pages.
+A run looks at some five budgets of pages of a source at most. A page goes to its source's task as one row, whatever it
+holds, so what a task holds is bounded by the budget.
 """
 
 from __future__ import annotations
@@ -24,21 +25,22 @@ _STEPS = "source string, step int, phase string, page int, next_page int, next_f
 class _Walk:
     """One source's run: the pages it reads, and the cursors after each."""
 
-    def __init__(self, pages: dict[int, list[tuple]], page: int, fresh: int, start: date | None, end: date | None, budget: int, target: date):
+    def __init__(self, pages: dict[int, tuple], page: int, fresh: int, start: date | None, end: date | None, budget: int, target: date):
         self.pages, self.page, self.fresh, self.start, self.end = pages, page, fresh, start, end
         self.left, self.target, self.cutoff, self.frontier, self.seen = budget, target, False, None, set()
 
-    def read(self, number: int) -> tuple[int, int]:
-        """Documents of a page, and those of them that are new."""
+    def read(self, number: int) -> tuple[bool, bool]:
+        """Does a page hold documents, and any that is new and on no page read before?"""
         self.left -= 1
-        items = self.pages.get(number, [])
-        new = {d for d, _, known in items if not known} - self.seen
-        self.seen |= new
-        if items:
-            days = [day for _, day, _ in items]
-            self.start, self.end = min([*days, *filter(None, [self.start])]), max([*days, *filter(None, [self.end])])
-            self.cutoff |= min(days) <= self.target
-        return len(items), len(new)
+        if number not in self.pages:
+            return False, False
+        first, last, unknown = self.pages[number]
+        new = any(self.seen.isdisjoint(earlier) for earlier in unknown)
+        self.seen.add(number)
+        if first is not None:
+            self.start, self.end = min([first, *filter(None, [self.start])]), max([last, *filter(None, [self.end])])
+            self.cutoff |= first <= self.target
+        return True, new
 
     def step(self, phase: str, number: int, next_page: int, next_fresh: int, error: str | None = None) -> tuple:
         return phase, number, next_page, next_fresh, self.start, self.end, self.cutoff, error
@@ -69,33 +71,41 @@ class _Walk:
         while self.left > 0 and not self.cutoff:
             items, new = self.read(number)
             self.cutoff |= not new
-            yield self.step("backfill", number, number + (items > 0), 1)
+            yield self.step("backfill", number, number + items, 1)
             number += 1
 
 
-def run_pages(listing: DataFrame, known: DataFrame, cursors: DataFrame, budget: int, target: date) -> DataFrame:
-    """The steps of a run: (source, step, phase, page) read, with the cursors and the coverage after each.
-
-    listing has (source, page, document, published), known (source, document), cursors CURSORS. A source without a
-    cursor starts at page 1.
-    """
+def pages_near(listing: DataFrame, known: DataFrame, cursors: DataFrame, budget: int) -> DataFrame:
+    """One row for each page that a run can read, with its days, its unknown documents' earlier pages and the cursors."""
     at = cursors.select("source", "page", "fresh_page", "covered_start", "covered_end").withColumnRenamed("page", "cursor")
     rows = listing.select("source", "page", "document", F.col("published").cast("date").alias("day")).join(at, "source", "left")
     rows = rows.withColumns({"cursor": F.coalesce("cursor", F.lit(1)), "fresh_page": F.coalesce("fresh_page", F.lit(1))})
     below = lambda c: F.col("page").between(F.col(c), F.col(c) + 2 * budget + 2)
     near = rows.where((F.col("page") <= 2 * budget + 2) | below("fresh_page") | below("cursor"))
-    marked = near.join(known.select("source", "document").distinct().withColumn("known", F.lit(True)), ["source", "document"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    # pages are read in order, so a document is new on a page if none of its earlier pages was read: of a page's unknown
+    # documents only the distinct lists of earlier pages go on, mostly one empty list
+    pages = near.groupBy("source", "page").agg(F.min("day").alias("first"), F.max("day").alias("last"), *(F.any_value(c).alias(c) for c in ("cursor", "fresh_page", "covered_start", "covered_end")))
+    unknown = near.select("source", "document", "page").join(known.select("source", "document").distinct(), ["source", "document"], "left_anti")
+    lists = unknown.groupBy("source", "document").agg(F.array_sort(F.collect_set("page")).alias("on")).groupBy("source", "on").agg(F.lit(1).alias("one"))
+    earlier = lists.select("source", F.explode("on").alias("page"), "on").select("source", "page", F.filter("on", lambda p: p < F.col("page")).alias("earlier"))
+    return pages.join(earlier.groupBy("source", "page").agg(F.collect_set("earlier").alias("unknown")), ["source", "page"], "left")
+
 
+def run_pages(listing: DataFrame, known: DataFrame, cursors: DataFrame, budget: int, target: date) -> DataFrame:
+    """The steps of a run: (source, step, phase, page) read, with the cursors and the coverage after each.
+
+    listing has (source, page, document, published), known (source, document), cursors CURSORS. A source without a
+    cursor starts at page 1.
+    """
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        pages: dict[int, list[tuple]] = {}
-        for r in frame.itertuples():
-            pages.setdefault(r.page, []).append((r.document, r.day, r.known))
+        day = lambda x: None if pd.isna(x) else x
+        pages = {int(r.page): (day(r.first), day(r.last), [set(map(int, e)) for e in r.unknown] if r.unknown is not None else []) for r in frame.itertuples()}
         first = frame.iloc[0]
-        days = [None if pd.isna(first[c]) else first[c] for c in ("covered_start", "covered_end")]
+        days = [day(first[c]) for c in ("covered_start", "covered_end")]
         steps = _Walk(pages, int(first["cursor"]), int(first["fresh_page"]), *days, budget, target).steps()
         return pd.DataFrame([(first["source"], n, *s) for n, s in enumerate(steps)], columns=[c.split()[0] for c in _STEPS.split(", ")])
 
-    return marked.groupBy("source").applyInPandas(walk, _STEPS)
+    return pages_near(listing, known, cursors, budget).groupBy("source").applyInPandas(walk, _STEPS)
 
 
 def new_documents(listing: DataFrame, known: DataFrame, steps: DataFrame) -> DataFrame:
