@@ -2,7 +2,9 @@
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from tidemark.functions import text
 from tidemark.operators.folds import indel_ratio
 
 
@@ -21,3 +23,9 @@ def test_indel_ratio_is_twice_the_common_share(a, b):
     want = 100.0 if not a and not b else 200.0 * lcs(a, b) / (len(a) + len(b))
     assert indel_ratio(a, b) == want
     assert indel_ratio(b, a) == want
+
+
+def test_an_amount_is_searched_for_once_for_each_part(spark):
+    """The value and the unit had six searches of the text between them."""
+    plan = spark.range(1).select(text.parse_amount(F.lit("约1,234.5万元").substr(F.lit(1), F.col("id") + 20)).alias("a")).select("a.*")._jdf.queryExecution()
+    assert plan.analyzed().toString().count("regexp_extract(") == 2 and plan.optimizedPlan().toString().count("regexp_extract(") <= 2

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from .places import bound
+
 # Patterns and word lists of the domain's rules.
 LEADING_SOURCE = r"^(?:[【\[][^】\]]{1,30}[】\]]|快讯[：:]?|消息[：:]?)"
 TITLE_NOISE = r"[\s　，,。.!！?？:：;；'\"“”‘’（）()《》<>【】\[\]、·—_-]+"
@@ -125,15 +127,19 @@ def report_period(title: Column) -> Column:
 
 
 def _number(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", ""), F.lit("")).try_cast("double")
+    return F.nullif(F.replace(F.regexp_extract(text, pattern, 1), F.lit(","), F.lit("")), F.lit("")).try_cast("double")
 
 
 def parse_amount(text: Column, pattern: str = AMOUNT, units: dict[str, float] | None = None) -> Column:
     """struct<yuan, unit, value> of the first amount with a unit; null without one."""
-    value, unit = _number(text, pattern), F.regexp_extract(text, pattern, 2)
-    table = units or UNITS
-    factor = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[unit]
-    return F.when(value.isNotNull() & factor.isNotNull(), F.struct((value * factor).alias("yuan"), unit.alias("unit"), value.alias("value")))
+    table = F.create_map(*(F.lit(x) for kv in (units or UNITS).items() for x in kv))
+
+    def made(found: Column) -> Column:
+        value, unit = found["value"], found["unit"]
+        return F.when(value.isNotNull() & table[unit].isNotNull(), F.struct((value * table[unit]).alias("yuan"), unit.alias("unit"), value.alias("value")))
+
+    # bound, as each use of a value or unit would search the text again
+    return bound(F.struct(_number(text, pattern).alias("value"), F.regexp_extract(text, pattern, 2).alias("unit")), made)
 
 
 def parse_percent(text: Column) -> Column:
