@@ -4,8 +4,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidemark import plans
 from tidemark.functions import text
 from tidemark.operators.folds import indel_ratio
+from tidemark.plans import session
 
 
 def lcs(a: str, b: str) -> int:
@@ -29,3 +31,12 @@ def test_an_amount_is_searched_for_once_for_each_part(spark):
     """The value and the unit had six searches of the text between them."""
     plan = spark.range(1).select(text.parse_amount(F.lit("约1,234.5万元").substr(F.lit(1), F.col("id") + 20)).alias("a")).select("a.*")._jdf.queryExecution()
     assert plan.analyzed().toString().count("regexp_extract(") == 2 and plan.optimizedPlan().toString().count("regexp_extract(") <= 2
+
+
+def test_rows_of_a_small_table_are_spread(spark):
+    """Articles and records were read and worked on in one task, however many there were."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert n > 1 and session.spread(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() == n
+    for name in ("article_fields",):
+        plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [c_custkey" in plan and f", {n}" in plan

@@ -13,7 +13,7 @@ from ..functions import text as X
 from ..operators import answers, extraction, folds, joins, participants, research, scoring
 from ..sources import articles, feeds, listings, sinks
 from . import query, table
-from .session import shared_dir
+from .session import shared_dir, spread
 
 #: Title and body of an announcement for each remainder of the key; {n} is an amount, {p} a percentage.
 TEXTS = (
@@ -135,7 +135,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("投资者关系活动记录表\n活动时间："), day, F.lit("\n"), _pick([k for k, _ in KINDS], key), F.lit("\n参与单位名称：约"), (key % 40 + 2).cast("string"), F.lit("家机构，"), names,
         F.lit("：王龙钰\n地点：公司会议室\n问：公司产能利用率和订单情况如何？\n答：利用率较高。\n"), F.repeat(F.lit("Q2：未来战略规划？\n"), (key % 3).cast("int")),
     )
-    return table(spark, sf_dir, "customer").select(key, text.alias("text"))
+    return spread(table(spark, sf_dir, "customer").select(key), "c_custkey").select(key, text.alias("text"))
 
 
 @query(f"""SELECT c_custkey, {_sql_pick([k for _, k in KINDS], 'c_custkey')} AS kind, CAST(c_custkey % 40 + 2 AS INTEGER) AS reported, CAST(1 + c_custkey % 3 AS INTEGER) AS questions,
@@ -153,7 +153,7 @@ def mention_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     line = F.concat(F.lit("平安银行"), _pick(("研究部", "", "（上海）"), key), F.lit(" ， 招商银行;华泰证券"))
     names = F.posexplode(F.array(F.lit("平安银行"), F.lit("招商银行"), F.lit("华泰证券")))
-    rows = table(spark, sf_dir, "customer").select(key, line.alias("line"), names.alias("pos", "name")).withColumn("context", research.mention_context(F.col("line"), F.col("name")))
+    rows = spread(table(spark, sf_dir, "customer").select(key), "c_custkey").select(key, line.alias("line"), names.alias("pos", "name")).withColumn("context", research.mention_context(F.col("line"), F.col("name")))
     counts = research.eligibility(F.col("name"), research.institution_type(F.col("name")), F.col("context"))["eligible"]
     return rows.select(key, (F.col("pos") + 1).alias("pos"), "name", "context", counts.alias("eligible"))
 
@@ -207,7 +207,7 @@ def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     first = F.concat(F.lit("活动时间：2025年"), (key % 12 + 1).cast("string"), F.lit("月"), (key % 20 + 1).cast("string"), F.lit("日"))
     text = F.when(key % 3 == 0, first).when(key % 3 == 1, F.concat(first, F.lit("至"), (key % 20 + 3).cast("string"), F.lit("日"))).otherwise(F.lit("没有日期"))
-    return table(spark, sf_dir, "customer").select(key, text.alias("text"), F.lit("2025-12-31 10:00:00").cast("timestamp_ntz").alias("published"))
+    return spread(table(spark, sf_dir, "customer").select(key), "c_custkey").select(key, text.alias("text"), F.lit("2025-12-31 10:00:00").cast("timestamp_ntz").alias("published"))
 
 
 @query(f"""SELECT c_custkey, CAST({_DAY} + CAST(i AS INTEGER) AS VARCHAR) AS day, 'explicit' AS precision FROM customer, range(3) r(i) WHERE c_custkey % 3 = 1 OR c_custkey % 3 = 0 AND i = 0
@@ -360,7 +360,7 @@ def article_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.lpad((key % 28 + 1).cast("string"), 2, "0")
     time = F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("<time>2026-08-"), day, F.lit(" 09:30</time>")))
     html = F.concat(F.lit('<div class="article-content"><p><a href="https://stockpage.10jqka.com.cn/300033/">同花顺</a>金融研究中心讯</p><p>'), link, broker, more, F.lit("</p></div>"), F.when(key % 5 == 0, "").otherwise("<p>来源：证券时报 编辑</p>"), time)
-    read = articles.articles(table(spark, sf_dir, "customer").select(key, "c_name", html.alias("html")), "html", F.lit("标题"), F.lit(""), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"))
+    read = articles.articles(spread(table(spark, sf_dir, "customer").select(key, "c_name", "c_mktsegment"), "c_custkey").select(key, "c_name", html.alias("html")), "html", F.lit("标题"), F.lit(""), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"))
     joined = lambda c: F.array_join(c, ",").alias
     return read.select(key, joined(F.transform("stocks", lambda s: s["code"]))("codes"), F.col("stocks")[0]["name"].alias("name"), joined(F.col("tags"))("tags"), joined(F.col("concepts"))("concepts"), "source", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
 
