@@ -37,6 +37,6 @@ def test_rows_of_a_small_table_are_spread(spark):
     """Articles and records were read and worked on in one task, however many there were."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert n > 1 and session.spread(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() == n
-    for name in ("article_fields",):
+    for name in ("article_fields", "line_mentions"):
         plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression [c_custkey" in plan and f", {n}" in plan

@@ -407,7 +407,7 @@ def line_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     rest = F.when(key % 2 == 0, " 王龙钰 分析师").otherwise("、南方基金")
     text = F.concat(F.lit("记录表\n"), key.cast("string"), F.lit("号证券"), rest, F.lit("\n公司称投资。银行\n"), F.lit("DM Capital Limited\n参与单位：某某基金"))
-    return participants.line_mentions(table(spark, sf_dir, "customer").select(key, text.alias("text")), "c_custkey", "text")
+    return participants.line_mentions(spread(table(spark, sf_dir, "customer").select(key), "c_custkey").select(key, text.alias("text")), "c_custkey", "text")
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '—' ELSE '金额 ' || CASE p_partkey % 3 WHEN 1 THEN CAST(CAST(p_size AS BIGINT) * 1000 AS VARCHAR) ELSE p_size || '.5' END || ' 元' END AS metric, repeat('反证' || p_size || '；', 2) || 'partial' AS evidence FROM part""")
