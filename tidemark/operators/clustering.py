@@ -13,8 +13,10 @@ import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from typing import NamedTuple
+from functools import cached_property, lru_cache
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,33 +28,50 @@ from .folds import _blocks, in_runs, indel_ratio
 # Fixed values of the merge test.
 MERGE_SECONDS, HISTORY_SECONDS = 72 * 3600, 180 * 86_400
 TITLE_LIKENESS, TRIGRAM_LIKENESS, EXCERPT = 90.0, 0.82, 120
+#: Texts of a cluster up to which each is compared, rather than those that share a leading gram.
+FEW_TEXTS = 16
 APPROVED = re.compile(r"获批|批准|注册证|批件|上市许可|药品注册|批文|许可证")
 REPORT, SUMMARY, BUYBACK = re.compile("报告"), re.compile("摘要"), re.compile("回购")
 
 
 def features(documents: DataFrame) -> DataFrame:
-    """Adds the normal title, report period, amounts, targets, dates and trigrams, all by built-in functions."""
+    """Adds the normal title, report period, amounts, targets, dates and the text whose trigrams are compared, all by
+    built-in functions. The fold takes the trigrams: as arrays they are many times the text that is shuffled."""
     text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))
     lead = F.substring(F.regexp_replace(F.coalesce("body", F.lit("")), r"\s+", ""), 1, EXCERPT)
     out = documents.withColumn("norm", X.normalize_title(F.coalesce("title", F.lit(""))))
-    return out.withColumns({"period": X.report_period(F.coalesce("title", F.lit(""))), "amounts": X.amounts(text), "targets": X.targets(text), "dates": X.dates_in(text), "grams": X.trigrams(F.concat_ws("\n", "norm", lead))})
-
-
-class _Document(NamedTuple):
-    t: int
-    document_id: str
-    title: str | None
-    norm: str
-    period: str | None
-    url: str | None
-    content_hash: str | None
-    kind_hint: str | None
-    codes: list[str]
-    amounts: list[str] | None
-    targets: list[str] | None
-    dates: list[str] | None
-    grams: list[str] | None
-    event_id: str | None
+    return out.withColumns({"period": X.report_period(F.coalesce("title", F.lit(""))), "amounts": X.amounts(text), "targets": X.targets(text), "dates": X.dates_in(text), "said": F.concat_ws("\n", "norm", lead)})
+
+
+class _Document:
+    """A row of the fold; what the tests derive from it is worked out once, and only if a test comes to it."""
+
+    FIELDS = ("t", "document_id", "title", "norm", "period", "url", "content_hash", "kind_hint", "codes", "amounts", "targets", "dates", "said", "event_id")
+
+    def __init__(self, *values):
+        self.t, self.document_id, self.title, self.norm, self.period, self.url, self.content_hash, self.kind_hint, self.codes, self.amounts, self.targets, self.dates, self.said, self.event_id = values
+
+    @cached_property
+    def facts(self) -> tuple[frozenset, frozenset, frozenset]:
+        return _set(self.amounts), _set(self.targets), _set(self.dates)
+
+    @cached_property
+    def families(self) -> set[tuple]:
+        """(day, kind, what) of the matters of a day that a document stands for."""
+        day, title, out = self.t // 86_400, self.title or "", set()
+        if self.norm and APPROVED.search(title):
+            out.add((day, "approval", self.norm))
+        if self.period and REPORT.search(title):
+            out.add((day, "summary" if SUMMARY.search(title) else "report", self.period))
+        if BUYBACK.search(title):
+            out.add((day, "buyback", ""))
+        return out
+
+    @cached_property
+    def partners(self) -> set[tuple]:
+        """The matters whose documents a document belongs to: a report's are its summaries, and the other way round."""
+        swap = {"summary": "report", "report": "summary"}
+        return {(day, swap.get(kind, kind), what) for day, kind, what in self.families}
 
 
 def _set(x) -> frozenset:
@@ -66,13 +85,14 @@ class _Cluster:
         self.id, self.past, self.gone = key, past, False
         self.documents: dict[str, int] = {}
         self.codes, self.kinds, self.urls, self.hashes = set(), set(), set(), set()
-        self.facts = {k: frozenset() for k in ("amounts", "targets", "dates")}
+        self.facts = (frozenset(),) * 3
         self.first = self.last = None
         self.families: set[tuple] = set()  # (day, kind, what) of approvals, reports, summaries and buybacks
         self.norms: dict[int, set[str]] = defaultdict(set)  # by length
-        self.grams: list[frozenset] = []
-        self.by_gram: dict[str, list[int]] = defaultdict(list)
-        self.known_grams: set[frozenset] = set()
+        self.said: dict[str, None] = {}  # distinct texts, in order
+        self.grams: list[frozenset] = []  # of the first texts: those that a test has come to
+        self.by_gram: dict[str, list[int]] = defaultdict(list)  # of the first grams: once there are many
+        self.indexed = 0
 
     def add(self, r: _Document) -> None:
         if r.document_id in self.documents:
@@ -81,56 +101,75 @@ class _Cluster:
         self.codes |= set(r.codes)
         self.first = r.t if self.first is None else min(self.first, r.t)
         self.last = r.t if self.last is None else max(self.last, r.t)
-        self.facts = {k: v | _set(getattr(r, k)) for k, v in self.facts.items()}
-        self.families |= _families(r)
+        self.facts = _union(self.facts, r.facts)
+        self.families |= r.families
         for held, value in ((self.kinds, r.kind_hint), (self.urls, r.url), (self.hashes, r.content_hash)):
             if value:
                 held.add(value)
         if r.norm:
             self.norms[len(r.norm)].add(r.norm)
-        self._index(_set(r.grams))
-
-    def _index(self, grams: frozenset) -> None:
-        if grams and grams not in self.known_grams:
-            self.known_grams.add(grams)
-            for g in _leading(grams):
-                self.by_gram[g].append(len(self.grams))
-            self.grams.append(grams)
+        self.said[r.said or ""] = None
 
     def take(self, other: _Cluster) -> None:
         """All that another cluster holds."""
         self.documents |= other.documents
         self.first, self.last = min(self.first, other.first), max(self.last, other.last)
-        self.facts = {k: v | other.facts[k] for k, v in self.facts.items()}
+        self.facts = _union(self.facts, other.facts)
         for mine, theirs in ((self.codes, other.codes), (self.kinds, other.kinds), (self.urls, other.urls), (self.hashes, other.hashes), (self.families, other.families)):
             mine |= theirs
         for n, norms in other.norms.items():
             self.norms[n] |= norms
-        for grams in other.grams:
-            self._index(grams)
+        self.said |= other.said
 
     def alike(self, r: _Document) -> bool:
         """The merge test in order: family, conflict of facts, URL, content, title, trigrams, facts."""
-        if _partners(r) & self.families:
+        if not r.partners.isdisjoint(self.families):
             return True
-        facts = [(_set(getattr(r, k)), v) for k, v in self.facts.items()]
+        facts = list(zip(r.facts, self.facts, strict=True))
         if any(a and b and a != b for a, b in facts):
             return False
         if r.url in self.urls or r.content_hash in self.hashes:
             return True
-        return self._title(r.norm) or self._text(_set(r.grams)) or r.kind_hint in self.kinds and all(not a or not b or a == b for a, b in facts) and any(a and b for a, b in facts)
+        return self._title(r.norm) or self._text(r.said or "") or r.kind_hint in self.kinds and any(a and b for a, b in facts)
 
     def _title(self, norm: str) -> bool:
         """Titles are alike only if their lengths are: the common part is no longer than the shorter one."""
         n = len(norm or "")
+        if n and norm in self.norms.get(n, ()):
+            return True
         near = (x for m, held in self.norms.items() if n and 200.0 * min(n, m) >= TITLE_LIKENESS * (n + m) for x in held)
-        return norm in self.norms.get(n, ()) if n and norm in self.norms.get(n, ()) else any(indel_ratio(norm, x) >= TITLE_LIKENESS for x in near)
+        return any(_title_ratio(norm, x) >= TITLE_LIKENESS for x in near)
 
-    def _text(self, grams: frozenset) -> bool:
-        if grams in self.known_grams:
+    def _text(self, said: str) -> bool:
+        if len(said) < 3:
+            return False
+        if said in self.said:
             return True
-        met = {i for g in _leading(grams) for i in self.by_gram.get(g, ())}
-        return any(len(grams & self.grams[i]) / (len(grams) * len(self.grams[i])) ** 0.5 >= TRIGRAM_LIKENESS for i in met)
+        grams = _grams(said)
+        if len(self.grams) < len(self.said):
+            self.grams += [_grams(x) for x in islice(self.said, len(self.grams), None)]
+        if len(self.grams) <= FEW_TEXTS:
+            met = range(len(self.grams))
+        else:
+            for i in range(self.indexed, len(self.grams)):
+                for g in _leading(self.grams[i]):
+                    self.by_gram[g].append(i)
+            self.indexed = len(self.grams)
+            met = {i for g in _leading(grams) for i in self.by_gram.get(g, ())}
+        return any(self.grams[i] and len(grams & self.grams[i]) / (len(grams) * len(self.grams[i])) ** 0.5 >= TRIGRAM_LIKENESS for i in met)
+
+
+@lru_cache(1 << 12)
+def _grams(said: str) -> frozenset:
+    """The distinct runs of three characters."""
+    return frozenset(said[i : i + 3] for i in range(len(said) - 2))
+
+
+_title_ratio = lru_cache(1 << 14)(indel_ratio)
+
+
+def _union(a: tuple, b: tuple) -> tuple:
+    return tuple(x | y if y else x for x, y in zip(a, b, strict=True))
 
 
 def _leading(grams: frozenset) -> list[str]:
@@ -140,24 +179,6 @@ def _leading(grams: frozenset) -> list[str]:
     return sorted(grams, key=lambda g: (zlib.crc32(g.encode()), g))[: n - least + 1]
 
 
-def _families(r: _Document) -> set[tuple]:
-    """(day, kind, what) of the matters of a day that a document stands for."""
-    day, title, out = r.t // 86_400, r.title or "", set()
-    if r.norm and APPROVED.search(title):
-        out.add((day, "approval", r.norm))
-    if r.period and REPORT.search(title):
-        out.add((day, "summary" if SUMMARY.search(title) else "report", r.period))
-    if BUYBACK.search(title):
-        out.add((day, "buyback", ""))
-    return out
-
-
-def _partners(r: _Document) -> set[tuple]:
-    """The matters whose documents a document belongs to: a report's are its summaries, and the other way round."""
-    swap = {"summary": "report", "report": "summary"}
-    return {(day, swap.get(kind, kind), what) for day, kind, what in _families(r)}
-
-
 class _Events:
     """The clusters of a block, found by their codes. Those that can't change any more give up their documents, and those
     too old for the history are forgotten."""
@@ -248,7 +269,8 @@ class _Fold:
                 events.merge(keep, gone)
                 own = keep
         if own is None:
-            past = max((c for c in found if c.last < r.t - MERGE_SECONDS and c.alike(r)), key=lambda c: (c.last, c.id), default=None)
+            older = sorted((c for c in found if c.last < r.t - MERGE_SECONDS), key=lambda c: (c.last, c.id), reverse=True)
+            past = next((c for c in older if c.alike(r)), None)  # the newest
             events.opened(hashlib.sha1(r.document_id.encode()).hexdigest()[:16], r, past and past.id)
 
 
@@ -258,7 +280,7 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fold, seen, steps = _Fold(), 0, 0
     for batch in batches:
         done: list[tuple] = []
-        columns = [batch.column("__new").to_pylist(), *(batch.column(c).to_pylist() for c in _Document._fields)]
+        columns = [_values(batch.column(c)) for c in ("__new", *_Document.FIELDS)]
         for new, *values in zip(*columns, strict=True):
             r = _Document(*values)
             if new:
@@ -288,7 +310,7 @@ def _refolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         done: list[tuple] = []
-        columns = [batch.column("__new").to_pylist(), *(batch.column(c).to_pylist() for c in _Document._fields)]
+        columns = [_values(batch.column(c)) for c in ("__new", *_Document.FIELDS)]
         for new, *values in zip(*columns, strict=True):
             if new and run:
                 done += folded()
@@ -298,6 +320,15 @@ def _refolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _result(folded())
 
 
+def _values(column: pa.Array) -> list:
+    """What to_pylist gives, with null lists as empty ones: through numpy, and lists from one flat array."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist() if not pa.types.is_integer(column.type) or not column.null_count else column.to_pylist()
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
 def _result(rows: list[tuple]) -> pa.RecordBatch:
     names = ("document_id", "event_id", "historical_event_id")
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=names)
@@ -315,7 +346,7 @@ def _prepared(documents: DataFrame) -> DataFrame:
 
 
 def _clustered(placed: DataFrame, known: bool = False) -> DataFrame:
-    kept = placed.select("block", *_Document._fields)
+    kept = placed.select("block", *_Document.FIELDS)
     runs = in_runs(kept, ["block"], F.col("t"), [F.asc("t"), F.asc("document_id")], None if known else HISTORY_SECONDS)
     return runs.mapInArrow(_refolded if known else _folded, "document_id string, event_id string, historical_event_id string")
 
