@@ -374,7 +374,7 @@ def question_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.concat(F.lit('<div class="m_feed_detail m_qa_detail"><div class="m_feed_txt">'), text, F.lit('</div><div class="m_feed_from"><span>'), (key % 20 + 1).cast("string"), F.lit("小时前</span></div></div>"))
     answer = F.when(key % 2 == 0, F.concat(F.lit('<div class="m_feed_detail m_qa"><div class="m_feed_txt">回复'), F.col("o_custkey").cast("string"), F.lit('</div><div class="m_feed_from"><span>昨天 9:05</span></div></div>'))).otherwise("")
     html = F.concat(F.lit('<div class="m_feed_item" id="item-'), key.cast("string"), F.lit('">'), asked, answer, F.lit("</div>"))
-    pages = table(spark, sf_dir, "orders").select(html.alias("html"), F.lit("2026-08-05 10:00:00").cast("timestamp_ntz").alias("now"))
+    pages = spread(table(spark, sf_dir, "orders").select(key, "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey").select(html.alias("html"), F.lit("2026-08-05 10:00:00").cast("timestamp_ntz").alias("now"))
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return articles.question_feed(pages, "html", "now").select("record_id", "code", "name", "question", "reply", shown("asked_at"), shown("replied_at"))
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html import unescape
 from html.parser import HTMLParser
 
@@ -33,30 +34,35 @@ MENTION = r":([一-龥A-Za-z0-9]+)\((\d{6})\)"
 AVATAR = r"(?i)/company/(\d{6})\.(?:png|jpg|jpeg|gif)"
 QUESTION_URL, UNTITLED, MOST_TITLE = "https://sns.sseinfo.com/ajax/feeds.do?id=", "上市公司发布", 200
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Tags whose content isn't markup, and a tag or text that a page of plain markup consists of.
+RAW = frozenset("iframe noembed noframes noscript plaintext script style textarea title xmp".split())
+PLAIN = re.compile(r'<(/?)([a-z][a-z0-9]*)((?:[ \n]+[a-z][a-z-]*="[^"<>&]*")*)>|([^<&]+)')
+ATTRIBUTE = re.compile(r'([a-z][a-z-]*)="([^"]*)"')
 
 
 class Element:
-    """An element of a page: children are elements and texts."""
+    """An element of a page: children are elements and texts. All elements of a page are in one list, in order; an
+    element's own stand behind it, up to its end."""
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None):
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
-        self.classes = set(attributes.get("class", "").split())
+        self.classes = frozenset(attributes["class"].split()) if "class" in attributes else frozenset()
+        self.page = parent.page if parent else []
+        self.page.append(self)
+        self.place, self.end = len(self.page), None
 
     def all(self) -> Iterator[Element]:
-        for x in self.children:
-            if isinstance(x, Element):
-                yield x
-                yield from x.all()
+        return iter(self.page[self.place : self.end])
 
     def first(self, test: Callable[[Element], bool]) -> Element | None:
         return next((x for x in self.all() if test(x)), None)
 
     def inside(self, *classes: str) -> Element | None:
         """The first element of a chain of classes, each inside the one before."""
-        now = [self]
+        now = iter((self,))
         for c in classes:
-            now = [x for n in now for x in n.all() if set(c.split(".")) <= x.classes or x.tag == c]
-        return now[0] if now else None
+            now = _within(now, c, _classes(c))
+        return next(now, None)
 
     def texts(self) -> Iterator[str]:
         for x in self.children:
@@ -69,36 +75,86 @@ class Element:
         return " ".join(x.strip() for x in self.texts() if x.strip())
 
 
-class _Builder(HTMLParser):
+def _within(around: Iterator[Element], tag: str, classes: frozenset) -> Iterator[Element]:
+    return (x for n in around for x in n.all() if classes <= x.classes or x.tag == tag)
+
+
+@lru_cache(256)
+def _classes(dotted: str) -> frozenset:
+    return frozenset(dotted.split("."))
+
+
+class _Tree:
+    """Elements as their tags come."""
+
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = self.now = Element("", {}, None)
 
-    def handle_starttag(self, tag, attrs):
-        new = Element(tag, {k: v or "" for k, v in attrs}, self.now)
+    def opened(self, tag: str, attributes: dict[str, str], closed: bool) -> None:
+        new = Element(tag, attributes, self.now)
         self.now.children.append(new)
-        if tag not in VOID:
+        if closed:
+            new.end = new.place
+        else:
             self.now = new
 
-    def handle_startendtag(self, tag, attrs):
-        self.now.children.append(Element(tag, {k: v or "" for k, v in attrs}, self.now))
-
-    def handle_endtag(self, tag):
+    def closed(self, tag: str) -> None:
         node = self.now
         while node is not None and node.tag != tag:
             node = node.parent
         if node is not None and node.parent is not None:
+            end, x = len(node.page), self.now
+            while x is not node.parent:
+                x.end, x = end, x.parent
             self.now = node.parent
 
-    def handle_data(self, data):
-        self.now.children.append(data)
 
+class _Builder(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.tree = _Tree()
 
-def page(html: str) -> Element:
+    def handle_starttag(self, tag, attrs):
+        self.tree.opened(tag, {k: v or "" for k, v in attrs}, tag in VOID)
+
+    def handle_startendtag(self, tag, attrs):
+        self.tree.opened(tag, {k: v or "" for k, v in attrs}, True)
+
+    def handle_endtag(self, tag):
+        self.tree.closed(tag)
+
+    def handle_data(self, data):
+        self.tree.now.children.append(data)
+
+
+def _plain_page(html: str) -> Element | None:
+    """The page, if it holds nothing but plain tags and texts, which one expression tells apart; else null."""
+    tree, at = _Tree(), 0
+    while at < len(html):
+        m = PLAIN.match(html, at)
+        if m is None:
+            return None
+        at, (end, tag, attributes, text) = m.end(), m.groups()
+        if text:
+            tree.now.children.append(text)
+        elif end and not attributes:
+            tree.closed(tag)
+        elif end or tag in RAW:
+            return None
+        else:
+            tree.opened(tag, dict(ATTRIBUTE.findall(attributes)) if attributes else {}, tag in VOID)
+    return tree.root
+
+
+def _parsed_page(html: str) -> Element:
     builder = _Builder()
     builder.feed(html)
     builder.close()
-    return builder.root
+    return builder.tree.root
+
+
+def page(html: str) -> Element:
+    return _plain_page(html) or _parsed_page(html)
 
 
 def body_of(root: Element) -> Element:
