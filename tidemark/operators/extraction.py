@@ -32,12 +32,15 @@ def _or_empty(c: Column) -> Column:
 
 def _terminal_in(text: Column) -> Column:
     """A terminal word that is neither a risk warning, nor hypothetical, nor denied."""
-    return F.exists(matches(text, F.lit(R.TERMINAL)), lambda m: ~F.contains(after(text, m["e"], 4), F.lit("风险")) & ~before(text, m["s"], 40).rlike(R.HYPOTHETICAL) & ~before(text, m["s"], 3).rlike(R.NOT_TERMINAL))
+    return text.rlike(R.TERMINAL) & F.exists(matches(text, F.lit(R.TERMINAL)), lambda m: ~F.contains(after(text, m["e"], 4), F.lit("风险")) & ~before(text, m["s"], 40).rlike(R.HYPOTHETICAL) & ~before(text, m["s"], 3).rlike(R.NOT_TERMINAL))
 
 
 def terminal_state(text: Column, title: Column) -> Column:
-    """True if the title, a stated decision or an unambiguous word near the event says that it ended or failed."""
-    decided = F.exists(matches(text, F.lit(R.DECIDED)), lambda m: ~before(text, m["s"], 40).rlike(R.HYPOTHETICAL))
+    """True if the title, a stated decision or an unambiguous word near the event says that it ended or failed.
+
+    Places are looked for only in texts with a match: most have none, and places take several searches.
+    """
+    decided = text.rlike(R.DECIDED) & F.exists(matches(text, F.lit(R.DECIDED)), lambda m: ~before(text, m["s"], 40).rlike(R.HYPOTHETICAL))
 
     def clear(m: Column) -> Column:
         around = F.concat(before(text, m["s"], 12), m["m"], after(text, m["e"], 12))
@@ -45,7 +48,7 @@ def terminal_state(text: Column, title: Column) -> Column:
         other = (m["m"] == "失败") & before(text, m["s"], 8).rlike(R.TREATMENT) | (m["m"] == "未通过") & ~around.rlike(R.REVIEWED)
         return ~F.contains(after(text, m["e"], 4), F.lit("风险")) & ~other & near.rlike(R.ABOUT_EVENTS) & ~before(text, m["s"], 40).rlike(R.HYPOTHETICAL)
 
-    return _terminal_in(title) | decided | ~title.rlike(R.PERIODIC) & F.exists(matches(text, F.lit(R.CLEARLY_TERMINAL)), clear)
+    return _terminal_in(title) | decided | ~title.rlike(R.PERIODIC) & text.rlike(R.CLEARLY_TERMINAL) & F.exists(matches(text, F.lit(R.CLEARLY_TERMINAL)), clear)
 
 
 def direction(text: Column, title: Column) -> Column:
@@ -70,16 +73,15 @@ def counter_evidence(title: Column, body: Column, periodic: Column) -> Column:
     """The kinds of counter-evidence: of hypothetical mentions only partial ones count; periodic reports only conflict."""
 
     def found(pattern: str, masked: bool) -> Column:
-        places = matches(body, F.lit(pattern))
-        real = F.exists(places, lambda m: ~(before(body, m["s"], 40).rlike(R.HYPOTHETICAL) | m["m"].rlike(R.HYPOTHETICAL))) if masked else F.size(places) > 0
-        return F.when(F.size(places) == 0, title.rlike(pattern)).otherwise(real)
+        real = F.exists(matches(body, F.lit(pattern)), lambda m: ~(before(body, m["s"], 40).rlike(R.HYPOTHETICAL) | m["m"].rlike(R.HYPOTHETICAL))) if masked else F.lit(True)
+        return F.when(body.rlike(pattern), real).otherwise(title.rlike(pattern))
 
     kinds = F.array(
-        F.when(title.rlike(R.POSITIVE) & found(R.CONFLICT, True), "title_body_conflict"),
-        F.when(~periodic & found(R.UNCERTAIN, True), "high_uncertainty"),
-        F.when(~periodic & found(R.PARTIAL, False), "partial"),
+        F.when(title.rlike(R.POSITIVE) & found(R.CONFLICT, True), "title_body_conflict").otherwise(""),
+        F.when(~periodic & found(R.UNCERTAIN, True), "high_uncertainty").otherwise(""),
+        F.when(~periodic & found(R.PARTIAL, False), "partial").otherwise(""),
     )
-    return F.filter(kinds, lambda k: k.isNotNull())
+    return F.array_remove(kinds, "")
 
 
 def provider_rank(provider: Column, title: Column) -> Column:
@@ -120,27 +122,35 @@ def gate(rule: R.Rule, title: Column, body: Column) -> Column:
     return test
 
 
+def _enough(rule: R.Rule, text: Column) -> Column:
+    return reduce(lambda a, b: a & b, (text.rlike(p) for p in rule.needs), F.lit(True))
+
+
+def _direction(rule: R.Rule, d: Column, text: Column, enough: Column) -> Column:
+    """What a rule's own words make of the common direction."""
+    if rule.makes_negative:
+        d = F.when(text.rlike(rule.makes_negative) & ~text.rlike(rule.keeps), "negative").otherwise(d)
+    if rule.positive:
+        d = F.when((d == "neutral") & text.rlike(rule.positive), "positive").otherwise(d)
+    if rule.makes_positive is not None:
+        test = text.rlike(rule.makes_positive) & (~text.rlike(rule.unless) if rule.unless else F.lit(True)) & (enough if rule.needs else F.lit(True))
+        d = F.when(test, "positive").otherwise(d)
+    return d
+
+
 def _weigh(rule: R.Rule, title: Column, body: Column, text: Column, periodic: Column, formal: Column) -> Column:
     # what doesn't depend on the rule is in columns of its own: see detect
     d, amount, kinds = F.col("d0"), F.col("amount0"), F.col("kinds0")
     ratio = F.col("ratio0")
-    if rule.ratio_needs_amount:
-        ratio = F.when(amount.isNotNull(), ratio)
     if rule.name == "earnings_upgrade":
         loss = periodic & (X.net_profit(body) < 0) & ~text.rlike(r"扭亏为盈|预盈")
         row = F.regexp_extract(body, r"((?:归母净利润|归属于上市公司股东的净利润|净利润|业绩|扭亏|预盈)[^\n]*)", 1)
         falls = F.when(ratio.isNotNull(), (ratio < 0) & ~body.rlike(r"扣非[^。；;\n]{0,30}" + rule.ratio)).otherwise(~F.contains(row, F.lit("扣非")) & (X.parse_percent(F.regexp_extract(row, r"[+-]?\d[\d,]*\.?\d*\s*%", 0)) < 0))
         d = F.when(F.coalesce(loss, F.lit(False)) | F.coalesce(falls, F.lit(False)), "negative").otherwise(d)
-    if rule.makes_negative:
-        d = F.when(text.rlike(rule.makes_negative) & ~text.rlike(rule.keeps), "negative").otherwise(d)
-    if rule.positive:
-        d = F.when((d == "neutral") & text.rlike(rule.positive), "positive").otherwise(d)
-    enough = reduce(lambda a, b: a & b, (text.rlike(p) for p in rule.needs), F.lit(True))
-    if rule.makes_positive is not None:
-        test = text.rlike(rule.makes_positive) & (~text.rlike(rule.unless) if rule.unless else F.lit(True)) & (enough if rule.needs else F.lit(True))
-        d = F.when(test, "positive").otherwise(d)
+    enough = _enough(rule, text)
+    d = _direction(rule, d, text, enough)
     by_text = F.coalesce(*(F.when(text.rlike(p), F.lit(level)) for p, level in rule.levels), F.when(amount.isNotNull(), F.lit(rule.level_with_amount).cast("int")), F.lit(rule.level))
-    level = F.coalesce(materiality_level(ratio, rule.buyback), by_text)
+    level = F.coalesce(F.col("level0"), by_text)
     if rule.qualitative:
         # the amount's own place is a second piece of evidence
         level = F.when((level > 2) & ~(formal & amount.isNotNull()), 2).otherwise(level)
@@ -154,7 +164,7 @@ def _weigh(rule: R.Rule, title: Column, body: Column, text: Column, periodic: Co
     empty = F.array().cast("array<string>")
     return F.struct(
         F.lit(rule.name).alias("event_type"), d.alias("direction"), F.when(good, F.lit(rule.mechanism)).alias("mechanism"), s.alias("stage"),
-        F.create_map(*(F.lit(x) for kv in STAGES.items() for x in kv))[s].alias("certainty"), F.when(good, level).otherwise(0).cast("int").alias("level"), ratio.alias("ratio"), amount["yuan"].alias("amount"),
+        F.when(good, level).otherwise(0).cast("int").alias("level"), ratio.alias("ratio"), amount["yuan"].alias("amount"),
         F.when(enough, kinds).otherwise(empty).alias("counter"), F.regexp_extract(body, rule.pattern, 0).alias("hit"),
     )
 
@@ -175,7 +185,8 @@ def detect(documents: DataFrame, rules=R.RULES) -> DataFrame:
     """
     title, body, text = F.col("title"), F.col("body"), F.col("text")
     rows = documents.withColumns({"title": _or_empty(F.col("title")), "body": _or_empty(F.col("body"))}).where(F.trim("body") != "").withColumn("text", F.concat(title, F.lit("\n"), body))
-    hits = F.filter(F.array(*(F.when(gate(r, title, body), F.lit(i)) for i, r in enumerate(rules))), lambda x: x.isNotNull())
+    # with -1 for no hit: a lambda in a filter would have all gates interpreted rather than compiled
+    hits = F.array_remove(F.array(*(F.when(gate(r, title, body), F.lit(i)).otherwise(-1) for i, r in enumerate(rules))), -1)
     gated = rows.withColumn("rule", F.explode(hits))
     own = W.partitionBy("event_id", "stock_code", "rule").orderBy(provider_rank(F.col("provider_key"), title), "document_id")
     formal = F.max(F.col("provider_key").isin(*R.FORMAL)).over(W.partitionBy("event_id", "stock_code"))
@@ -187,7 +198,9 @@ def detect(documents: DataFrame, rules=R.RULES) -> DataFrame:
     best = best.withColumns({"d0": direction(text, title), "amount0": X.parse_amount(body), "stage0": stage(text), "kinds0": counter_evidence(title, body, title.rlike(R.PERIODIC) & is_earnings)})
     best = best.withColumn("source0", F.when(is_earnings, _figures(body, F.col("places0"), F.col("good0"), F.col("other0"))).otherwise(body) if earnings else body)
     ratios = [F.when(F.col("rule") == i, X.parse_percent(F.regexp_extract("source0", r.ratio, 0))) for i, r in enumerate(rules) if r.ratio]
-    best = best.withColumn("ratio0", F.coalesce(*ratios, F.lit(None).cast("double")))
+    free, back = ([i for i, r in enumerate(rules) if test(r)] or [-1] for test in (lambda r: not r.ratio_needs_amount, lambda r: r.buyback))
+    best = best.withColumn("ratio0", F.when(F.col("amount0").isNotNull() | F.col("rule").isin(free), F.coalesce(*ratios, F.lit(None).cast("double"))))
+    best = best.withColumn("level0", F.when(F.col("rule").isin(back), materiality_level(F.col("ratio0"), True)).otherwise(materiality_level(F.col("ratio0"), False)))
     # one small plan a rule over its own folder of the stored hits, rather than one that holds the expressions of all
     best = _by_rule(best)
     found = None
@@ -199,17 +212,32 @@ def detect(documents: DataFrame, rules=R.RULES) -> DataFrame:
         found = own if found is None else found.union(own)
     start = F.instr("body", F.col("hit")) - 1
     e = X.evidence_excerpt(body, start, start + F.length("hit"))
-    return found.withColumn("e", e).select(
+    certainty = F.create_map(*(F.lit(x) for kv in STAGES.items() for x in kv))[F.col("stage")]
+    return found.withColumn("e", e).withColumn("certainty", certainty).select(
         "event_id", "stock_code", "document_id", "event_type", "direction", "mechanism", "stage", "certainty", "level", "ratio", "amount", "counter",
         F.substring(F.sha1(F.concat_ws(":", "document_id", "event_type", F.substring("e.excerpt", 1, 80))), 1, 16).alias("evidence_id"), "e.excerpt", "e.start", "e.end", "rule",
     )
 
 
 def event_type_hint(documents: DataFrame, key: str, text: str, rules=R.RULES) -> DataFrame:
-    """(key, hint): the first type in rule order that a text reports, with its first line as the title; null without one."""
-    rows = documents.select(F.col(key).cast("string").alias("event_id"), F.lit("").alias("stock_code"), F.col(key).cast("string").alias("document_id"), F.lit("cninfo").alias("provider_key"), F.substring(F.substring_index(F.col(text), "\n", 1), 1, TITLE).alias("title"), F.col(text).alias("body"))
-    first = detect(rows, rules).groupBy("event_id").agg(F.min_by("event_type", "rule").alias("hint"))
-    return documents.select(key).join(first, F.col(key).cast("string") == F.col("event_id"), "left").select(key, "hint")
+    """(key, hint): the first type in rule order that a text reports, with its first line as the title; null without one.
+
+    A text is tested by itself, in the scan: neither shuffled nor weighed. Its direction is looked for only where a rule
+    takes no other than positive events; only earnings that a rule takes so are weighed by detect.
+    """
+    if any(r.only_positive and r.name == "earnings_upgrade" for r in rules):  # whether earnings are positive depends on their figures
+        rows = documents.select(F.col(key).cast("string").alias("event_id"), F.lit("").alias("stock_code"), F.col(key).cast("string").alias("document_id"), F.lit("cninfo").alias("provider_key"), F.substring(F.substring_index(F.col(text), "\n", 1), 1, TITLE).alias("title"), F.col(text).alias("body"))
+        first = detect(rows, rules).groupBy("event_id").agg(F.min_by("event_type", "rule").alias("hint"))
+        return documents.select(key).join(first, F.col(key).cast("string") == F.col("event_id"), "left").select(key, "hint")
+    title, body, said = F.col("__title"), F.col("__body"), F.col("__said")
+    rows = documents.select(key, _or_empty(F.col(text)).alias("__body")).withColumn("__title", F.substring(F.substring_index("__body", "\n", 1), 1, TITLE)).withColumn("__said", F.concat_ws("\n", "__title", "__body"))
+
+    def reported(rule: R.Rule) -> Column:
+        test = gate(rule, title, body)
+        test = test & ~said.rlike(rule.yields) if rule.yields else test
+        return test & (_direction(rule, direction(said, title), said, _enough(rule, said)) == "positive") if rule.only_positive else test
+
+    return rows.select(key, F.when(F.trim("__body") != "", F.coalesce(*(F.when(reported(r), F.lit(r.name)) for r in rules))).alias("hint"))
 
 
 def leading_facts(detections: DataFrame) -> DataFrame:
