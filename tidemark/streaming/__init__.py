@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -29,31 +30,43 @@ def once(stream: DataFrame, key: str, at: str, delay: str) -> DataFrame:
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def anchored(stream: DataFrame, key: list[str], at: str, row_id: str, delay: str, seconds: int = 86_400) -> DataFrame:
+def anchored(stream: DataFrame, key: list[str], at: str, row_id: str, delay: str, seconds: int = 86_400, buckets: int = 1024) -> DataFrame:
     """The streaming form of the anchor fold: state is one time for each key. Rows of a batch are taken in time order.
 
-    A key's state goes once the watermark is past its anchor's window, so state is bounded by the keys of late; rows
-    behind the watermark are too late for it and go as well.
+    A key's state is of no more use once the watermark is past its anchor's window: it goes when its bucket is next
+    called, the bucket's when all its keys are past, so state is bounded by the keys of late; rows behind the watermark
+    are too late for it and go as well, and so do rows without a time. Keys share buckets by hash, as a call of a group takes far longer than a row;
+    buckets is also the most tasks that can share the work.
     """
 
     def keep(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        anchor, mark = state.get[0] if state.exists else None, state.getCurrentWatermarkMs()
-        rows, kept = pd.concat(frames), []
-        for t, i in sorted(zip(rows["__t"], rows[row_id], strict=True)):
-            if t * 1000 >= mark and (anchor is None or t - anchor > seconds):
-                anchor = int(t)
+        mark, kept = state.getCurrentWatermarkMs(), []
+        anchors = _live(json.loads(state.get[0]) if state.exists else {}, seconds, mark)
+        rows = sorted(r for f in frames for r in zip(f["__t"].tolist(), f[row_id].tolist(), f["__key"].tolist(), strict=True))
+        for t, i, k in rows:
+            if t * 1000 >= mark and (k not in anchors or t - anchors[k] > seconds):
+                anchors[k] = int(t)
                 kept.append(i)
-        if anchor is not None:
-            state.update((anchor,))
-            state.setTimeoutTimestamp(max((anchor + seconds + 1) * 1000, mark + 1))
-        yield pd.DataFrame({row_id: kept})
+        if anchors:
+            state.update((json.dumps(anchors),))
+            state.setTimeoutTimestamp(max((max(anchors.values()) + seconds + 1) * 1000, mark + 1))
+        elif state.exists:
+            state.remove()
+        if kept:
+            yield pd.DataFrame({row_id: kept})
 
     timed = stream.withWatermark(at, delay).withColumn("__t", F.unix_seconds(F.col(at).cast("timestamp")))
+    placed = timed.where("__t is not null").select(at, "__t", row_id, F.to_json(F.struct(*key)).alias("__key"), F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("__bucket"))
     kind = stream.schema[row_id].dataType.simpleString()
-    return timed.groupBy(*key).applyInPandasWithState(keep, f"{row_id} {kind}", "anchor long", "append", GroupStateTimeout.EventTimeTimeout)
+    return placed.groupBy("__bucket").applyInPandasWithState(keep, f"{row_id} {kind}", "anchors string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _live(anchors: dict[str, int], seconds: int, mark: int) -> dict[str, int]:
+    """Anchors whose window a row that isn't too late can still be in."""
+    return {k: t for k, t in anchors.items() if (t + seconds) * 1000 >= mark}
 
 
 def drain(stream: DataFrame, target: str, checkpoint: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
