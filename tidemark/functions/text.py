@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -11,7 +12,8 @@ from .places import bound
 
 # Patterns and word lists of the domain's rules.
 LEADING_SOURCE = r"^(?:[【\[][^】\]]{1,30}[】\]]|快讯[：:]?|消息[：:]?)"
-TITLE_NOISE = r"[\s　，,。.!！?？:：;；'\"“”‘’（）()《》<>【】\[\]、·—_-]+"
+#: Letters, digits and ideographs are no noise; said first, as the members of the class are tried one by one.
+TITLE_NOISE = r"(?![0-9A-Za-z一-鿿])[\s　，,。.!！?？:：;；'\"“”‘’（）()《》<>【】\[\]、·—_-]+"
 QUESTION_NOISE = r"[，。！？、；：,.!?;:（）()【】\[\]]+"
 TEMPLATES = (
     ("融资融券模板稿", r"获融资买入|获融资卖出|融资余额|融资净买入|融资净卖出"),
@@ -123,7 +125,7 @@ def report_period(title: Column) -> Column:
     """2026-半年度 and the like; null without a period."""
     year, period = F.regexp_extract(title, REPORT_PERIOD, 1), F.regexp_extract(title, REPORT_PERIOD, 2)
     aliases = F.create_map(*(F.lit(x) for kv in PERIOD_ALIASES.items() for x in kv))
-    return F.when(year != "", F.concat(year, F.lit("-"), F.coalesce(aliases[period], period)))
+    return F.when(F.contains(title, F.lit("年")) & (year != ""), F.concat(year, F.lit("-"), F.coalesce(aliases[period], period)))
 
 
 def _number(text: Column, pattern: str) -> Column:
@@ -153,20 +155,27 @@ def net_profit(text: Column) -> Column:
     return value * F.when(unit == "亿元", 1e8).when(unit == "万元", 1e4).otherwise(1.0)
 
 
+def _holding(text: Column, words: tuple[str, ...], found: Column) -> Column:
+    """found, an array, for a text with one of the words that each match has; without them it is empty and not searched for."""
+    return F.when(reduce(or_, (F.contains(text, F.lit(w)) for w in words)), found).when(text.isNotNull(), F.array().cast("array<string>"))
+
+
 def amounts(text: Column) -> Column:
     """The distinct amounts in yuan, rounded, in order."""
     each = F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0))
-    return F.array_distinct(F.transform(each, lambda x: F.format_string("%.0f", parse_amount(x)["yuan"])))
+    return _holding(text, ("元", "亿", "万"), F.array_distinct(F.transform(each, lambda x: F.format_string("%.0f", parse_amount(x)["yuan"]))))
 
 
 def dates_in(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:20\d{2}年)?\d{1,2}月\d{1,2}日"), F.lit(0)))
+    return _holding(text, ("月",), F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:20\d{2}年)?\d{1,2}月\d{1,2}日"), F.lit(0))))
 
 
 def targets(text: Column) -> Column:
     """Names after customer, supplier and target words."""
     name = r"[：:为是]?\s*([一-龥A-Za-z0-9]{2,20})"
-    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(w + name), F.lit(1)) for w in ("(?:客户|供应商|合作方)", "(?:标的|收购|并购)"))))
+    kinds = (("客户", "供应商", "合作方"), ("标的", "收购", "并购"))
+    each = F.concat(*(F.regexp_extract_all(text, F.lit(f"(?:{'|'.join(words)}){name}"), F.lit(1)) for words in kinds))
+    return _holding(text, sum(kinds, ()), F.array_distinct(each))
 
 
 def trigrams(text: Column) -> Column:

@@ -9,11 +9,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -22,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.session import cut
-from .folds import _blocks, in_runs, indel_ratio
+from ..plans.session import cut, spread
+from .folds import _blocks, in_blocks, in_runs, indel_ratio
 
 # Fixed values of the merge test.
 MERGE_SECONDS, HISTORY_SECONDS = 72 * 3600, 180 * 86_400
@@ -37,37 +36,38 @@ REPORT, SUMMARY, BUYBACK = re.compile("报告"), re.compile("摘要"), re.compil
 def features(documents: DataFrame) -> DataFrame:
     """Adds the normal title, report period, amounts, targets, dates and the text whose trigrams are compared, all by
     built-in functions. The fold takes the trigrams: as arrays they are many times the text that is shuffled."""
-    text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))
-    lead = F.substring(F.regexp_replace(F.coalesce("body", F.lit("")), r"\s+", ""), 1, EXCERPT)
-    out = documents.withColumn("norm", X.normalize_title(F.coalesce("title", F.lit(""))))
-    return out.withColumns({"period": X.report_period(F.coalesce("title", F.lit(""))), "amounts": X.amounts(text), "targets": X.targets(text), "dates": X.dates_in(text), "said": F.concat_ws("\n", "norm", lead)})
+    title, body, text = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")), F.col("__text")
+    lead = F.substring(F.regexp_replace(body, r"\s+", ""), 1, EXCERPT)
+    out = documents.withColumns({"norm": X.normalize_title(title), "__text": F.concat_ws("\n", title, body)})
+    return out.withColumns({"period": X.report_period(title), "amounts": X.amounts(text), "targets": X.targets(text), "dates": X.dates_in(text), "said": F.concat_ws("\n", "norm", lead)}).drop("__text")
+
+
+_EMPTY = frozenset()
+_NO_FACTS = (_EMPTY,) * 3
 
 
 class _Document:
-    """A row of the fold; what the tests derive from it is worked out once, and only if a test comes to it."""
+    """A row of the fold, with what the tests derive from it."""
 
+    __slots__ = ("t", "document_id", "norm", "url", "content_hash", "kind_hint", "codes", "said", "event_id", "facts", "families")
     FIELDS = ("t", "document_id", "title", "norm", "period", "url", "content_hash", "kind_hint", "codes", "amounts", "targets", "dates", "said", "event_id")
 
-    def __init__(self, *values):
-        self.t, self.document_id, self.title, self.norm, self.period, self.url, self.content_hash, self.kind_hint, self.codes, self.amounts, self.targets, self.dates, self.said, self.event_id = values
+    def __init__(self, t, document_id, title, norm, period, url, content_hash, kind_hint, codes, amounts, targets, dates, said, event_id):
+        self.t, self.document_id, self.norm, self.url, self.content_hash, self.kind_hint, self.codes, self.said, self.event_id = t, document_id, norm, url, content_hash, kind_hint, codes, said or "", event_id
+        self.facts = (_set(amounts), _set(targets), _set(dates)) if amounts or targets or dates else _NO_FACTS
+        self.families = self._families(title, period) if title else _EMPTY
 
-    @cached_property
-    def facts(self) -> tuple[frozenset, frozenset, frozenset]:
-        return _set(self.amounts), _set(self.targets), _set(self.dates)
-
-    @cached_property
-    def families(self) -> set[tuple]:
+    def _families(self, title: str, period: str | None) -> set[tuple] | frozenset:
         """(day, kind, what) of the matters of a day that a document stands for."""
-        day, title, out = self.t // 86_400, self.title or "", set()
+        out, day = [], self.t // 86_400
         if self.norm and APPROVED.search(title):
-            out.add((day, "approval", self.norm))
-        if self.period and REPORT.search(title):
-            out.add((day, "summary" if SUMMARY.search(title) else "report", self.period))
+            out.append((day, "approval", self.norm))
+        if period and REPORT.search(title):
+            out.append((day, "summary" if SUMMARY.search(title) else "report", period))
         if BUYBACK.search(title):
-            out.add((day, "buyback", ""))
-        return out
+            out.append((day, "buyback", ""))
+        return set(out) if out else _EMPTY
 
-    @cached_property
     def partners(self) -> set[tuple]:
         """The matters whose documents a document belongs to: a report's are its summaries, and the other way round."""
         swap = {"summary": "report", "report": "summary"}
@@ -81,64 +81,78 @@ def _set(x) -> frozenset:
 class _Cluster:
     """What a cluster's documents say, kept as unions and indexes, so that a test doesn't read the documents again."""
 
+    __slots__ = ("id", "past", "gone", "documents", "codes", "kinds", "urls", "hashes", "facts", "first", "last", "families", "norms", "said", "grams", "by_gram", "indexed")
+
     def __init__(self, key: str, past: str | None):
         self.id, self.past, self.gone = key, past, False
         self.documents: dict[str, int] = {}
-        self.codes, self.kinds, self.urls, self.hashes = set(), set(), set(), set()
-        self.facts = (frozenset(),) * 3
+        self.codes: set[str] = set()
+        self.kinds = self.urls = self.hashes = _EMPTY  # sets once they hold something, as families
+        self.facts = _NO_FACTS
         self.first = self.last = None
-        self.families: set[tuple] = set()  # (day, kind, what) of approvals, reports, summaries and buybacks
-        self.norms: dict[int, set[str]] = defaultdict(set)  # by length
+        self.families: set[tuple] | frozenset = _EMPTY  # (day, kind, what) of approvals, reports, summaries and buybacks
+        self.norms: dict[int, set[str]] = {}  # by length
         self.said: dict[str, None] = {}  # distinct texts, in order
         self.grams: list[frozenset] = []  # of the first texts: those that a test has come to
-        self.by_gram: dict[str, list[int]] = defaultdict(list)  # of the first grams: once there are many
+        self.by_gram: dict[str, list[int]] = {}  # of the first grams: once there are many
         self.indexed = 0
 
     def add(self, r: _Document) -> None:
         if r.document_id in self.documents:
             return
         self.documents[r.document_id] = r.t
-        self.codes |= set(r.codes)
-        self.first = r.t if self.first is None else min(self.first, r.t)
-        self.last = r.t if self.last is None else max(self.last, r.t)
-        self.facts = _union(self.facts, r.facts)
-        self.families |= r.families
-        for held, value in ((self.kinds, r.kind_hint), (self.urls, r.url), (self.hashes, r.content_hash)):
-            if value:
-                held.add(value)
+        self.codes.update(r.codes)
+        if self.first is None or r.t < self.first:
+            self.first = r.t
+        if self.last is None or r.t > self.last:
+            self.last = r.t
+        if r.facts is not _NO_FACTS:
+            self.facts = _union(self.facts, r.facts)
+        if r.families:
+            self.families = _grown(self.families, r.families)
+        if r.kind_hint:
+            self.kinds = _grown(self.kinds, (r.kind_hint,))
+        if r.url:
+            self.urls = _grown(self.urls, (r.url,))
+        if r.content_hash:
+            self.hashes = _grown(self.hashes, (r.content_hash,))
         if r.norm:
-            self.norms[len(r.norm)].add(r.norm)
-        self.said[r.said or ""] = None
+            self.norms.setdefault(len(r.norm), set()).add(r.norm)
+        self.said[r.said] = None
 
     def take(self, other: _Cluster) -> None:
         """All that another cluster holds."""
         self.documents |= other.documents
         self.first, self.last = min(self.first, other.first), max(self.last, other.last)
         self.facts = _union(self.facts, other.facts)
-        for mine, theirs in ((self.codes, other.codes), (self.kinds, other.kinds), (self.urls, other.urls), (self.hashes, other.hashes), (self.families, other.families)):
-            mine |= theirs
+        for name in ("codes", "kinds", "urls", "hashes", "families"):
+            setattr(self, name, _grown(getattr(self, name), getattr(other, name)))
         for n, norms in other.norms.items():
-            self.norms[n] |= norms
+            self.norms.setdefault(n, set()).update(norms)
         self.said |= other.said
 
     def alike(self, r: _Document) -> bool:
         """The merge test in order: family, conflict of facts, URL, content, title, trigrams, facts."""
-        if not r.partners.isdisjoint(self.families):
+        if r.families and self.families and not r.partners().isdisjoint(self.families):
             return True
-        facts = list(zip(r.facts, self.facts, strict=True))
-        if any(a and b and a != b for a, b in facts):
+        facts = () if r.facts is _NO_FACTS or self.facts is _NO_FACTS else list(zip(r.facts, self.facts, strict=True))
+        if facts and any(a and b and a != b for a, b in facts):
             return False
         if r.url in self.urls or r.content_hash in self.hashes:
             return True
-        return self._title(r.norm) or self._text(r.said or "") or r.kind_hint in self.kinds and any(a and b for a, b in facts)
+        return self._title(r.norm) or self._text(r.said) or r.kind_hint in self.kinds and any(a and b for a, b in facts)
 
     def _title(self, norm: str) -> bool:
         """Titles are alike only if their lengths are: the common part is no longer than the shorter one."""
         n = len(norm or "")
-        if n and norm in self.norms.get(n, ()):
+        if not n:
+            return False
+        if norm in self.norms.get(n, ()):
             return True
-        near = (x for m, held in self.norms.items() if n and 200.0 * min(n, m) >= TITLE_LIKENESS * (n + m) for x in held)
-        return any(_title_ratio(norm, x) >= TITLE_LIKENESS for x in near)
+        for m, held in self.norms.items():
+            if 200.0 * min(n, m) >= TITLE_LIKENESS * (n + m) and any(_title_ratio(norm, x) >= TITLE_LIKENESS for x in held):
+                return True
+        return False
 
     def _text(self, said: str) -> bool:
         if len(said) < 3:
@@ -153,10 +167,16 @@ class _Cluster:
         else:
             for i in range(self.indexed, len(self.grams)):
                 for g in _leading(self.grams[i]):
-                    self.by_gram[g].append(i)
+                    self.by_gram.setdefault(g, []).append(i)
             self.indexed = len(self.grams)
             met = {i for g in _leading(grams) for i in self.by_gram.get(g, ())}
-        return any(self.grams[i] and len(grams & self.grams[i]) / (len(grams) * len(self.grams[i])) ** 0.5 >= TRIGRAM_LIKENESS for i in met)
+        n = len(grams)
+        for i in met:
+            held = self.grams[i]
+            # as many in common as the smaller set has would have to do
+            if held and min(n, len(held)) / (n * len(held)) ** 0.5 >= TRIGRAM_LIKENESS and len(grams & held) / (n * len(held)) ** 0.5 >= TRIGRAM_LIKENESS:
+                return True
+        return False
 
 
 @lru_cache(1 << 12)
@@ -168,6 +188,14 @@ def _grams(said: str) -> frozenset:
 _title_ratio = lru_cache(1 << 14)(indel_ratio)
 
 
+def _grown(held: set | frozenset, more) -> set | frozenset:
+    """held with more in it: the same set, unless it is the empty one that all share."""
+    if held is _EMPTY:
+        return set(more) if more else held
+    held.update(more)
+    return held
+
+
 def _union(a: tuple, b: tuple) -> tuple:
     return tuple(x | y if y else x for x, y in zip(a, b, strict=True))
 
@@ -195,9 +223,10 @@ class _Events:
         return c
 
     def join(self, c: _Cluster, r: _Document) -> None:
-        before = set(c.codes)
-        c.add(r)
-        self._find_by(c, c.codes - before)
+        if r.document_id not in c.documents:
+            codes = set(r.codes) - c.codes
+            c.add(r)
+            self._find_by(c, codes)
         self.home[r.document_id] = c
 
     def _find_by(self, c: _Cluster, codes: set[str]) -> None:
@@ -215,10 +244,14 @@ class _Events:
 
     def of(self, r: _Document) -> list[_Cluster]:
         """Clusters that share a code with a row and are no older than the history."""
-        found = {}
-        for code in set(r.codes):
-            live = self.by_code[code] = [c for c in self.by_code[code] if not c.gone and c.last >= r.t - HISTORY_SECONDS]
-            found |= {id(c): c for c in live}
+        since, codes, found = r.t - HISTORY_SECONDS, set(r.codes), {}
+        for code in codes:
+            held = self.by_code.get(code)
+            if held:
+                live = self.by_code[code] = [c for c in held if not c.gone and c.last >= since]
+                if len(codes) == 1:
+                    return live[:]
+                found |= {id(c): c for c in live}
         return list(found.values())
 
     def settled(self, before: int) -> list[tuple]:
@@ -232,6 +265,10 @@ class _Events:
             del self.open[key]
         return out
 
+    def rest(self) -> list[tuple]:
+        """The rows of all that is still open, at the end."""
+        return [(d, c.id, c.past) for c in self.open.values() for d in c.documents]
+
     def forget(self, before: int) -> None:
         """Leaves out clusters too old for the history, also under codes that don't come up again."""
         for code in list(self.by_code):
@@ -257,7 +294,10 @@ class _Fold:
     def take(self, r: _Document) -> None:
         events = self.events
         own, found = events.home.get(r.document_id), events.of(r)
-        near = sorted((c for c in found if c is not own and c.last >= r.t - MERGE_SECONDS), key=lambda c: (-c.last, c.id))
+        since = r.t - MERGE_SECONDS
+        near = [c for c in found if c is not own and c.last >= since]
+        if len(near) > 1:
+            near.sort(key=lambda c: (-c.last, c.id))
         for c in near:
             if not c.alike(r):
                 continue
@@ -269,24 +309,34 @@ class _Fold:
                 events.merge(keep, gone)
                 own = keep
         if own is None:
-            older = sorted((c for c in found if c.last < r.t - MERGE_SECONDS), key=lambda c: (c.last, c.id), reverse=True)
+            older = [c for c in found if c.last < since]
+            if len(older) > 1:
+                older.sort(key=lambda c: (c.last, c.id), reverse=True)
             past = next((c for c in older if c.alike(r)), None)  # the newest
-            events.opened(hashlib.sha1(r.document_id.encode()).hexdigest()[:16], r, past and past.id)
+            events.opened(_event_id(r.document_id), r, past and past.id)
+
+
+def _event_id(document: str) -> str:
+    return hashlib.sha1(document.encode()).hexdigest()[:16]
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows, one run after the other. What is held are the clusters that a later row can meet: those of the merge
-    window with their documents, those of the history without. Equal rows are one document."""
+    window with their documents, those of the history without. Equal rows are one document. A row that is a run is
+    an event, which no test comes to."""
     fold, seen, steps = _Fold(), 0, 0
     for batch in batches:
         done: list[tuple] = []
-        columns = [_values(batch.column(c)) for c in ("__new", *_Document.FIELDS)]
-        for new, *values in zip(*columns, strict=True):
-            r = _Document(*values)
+        news, *columns = (_values(batch.column(c)) for c in ("__new", *_Document.FIELDS))
+        for new, ends, values in zip(news, [*news[1:], False], zip(*columns, strict=True), strict=True):
             if new:
-                done += fold.events.settled(sys.maxsize)
+                done += fold.events.rest()
                 fold = _Fold()
-            elif r.t > seen:
+                if ends:  # of the last row of a batch it isn't known
+                    done.append((values[1], _event_id(values[1]), None))
+                    continue
+            r = _Document(*values)
+            if not new and r.t > seen:
                 steps += 1
                 if steps % 256 == 0:
                     done += fold.events.settled(r.t - MERGE_SECONDS)
@@ -295,7 +345,7 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = r.t
             fold.take(r)
         yield _result(done)
-    yield _result(fold.events.settled(sys.maxsize))
+    yield _result(fold.events.rest())
 
 
 def _refolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +356,7 @@ def _refolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = _Fold(run)
         for r in run:
             fold.take(r)
-        return fold.events.settled(sys.maxsize)
+        return fold.events.rest()
 
     for batch in batches:
         done: list[tuple] = []
@@ -322,11 +372,15 @@ def _refolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _values(column: pa.Array) -> list:
     """What to_pylist gives, with null lists as empty ones: through numpy, and lists from one flat array."""
+    if column.null_count == len(column):
+        return [[]] * len(column) if pa.types.is_list(column.type) else [None] * len(column)
     if not pa.types.is_list(column.type):
         return column.to_numpy(zero_copy_only=False).tolist() if not pa.types.is_integer(column.type) or not column.null_count else column.to_pylist()
     ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    if not ends[-1]:
+        return [[]] * len(ends)
     flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
-    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def _result(rows: list[tuple]) -> pa.RecordBatch:
@@ -334,10 +388,9 @@ def _result(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=names)
 
 
-def _placed(rows: DataFrame) -> DataFrame:
+def _placed(rows: DataFrame, unique: bool = False) -> DataFrame:
     """rows with their block: documents that share codes, directly or through others; those without codes alone."""
-    blocks = _blocks(rows.select(F.col("document_id").alias("article"), F.explode("codes").alias("code"))).withColumnRenamed("article", "document_id")
-    return rows.join(blocks, "document_id", "left").withColumn("block", F.coalesce("block", F.concat(F.lit("#"), "document_id")))
+    return in_blocks(rows, "document_id", "codes", unique)
 
 
 def _prepared(documents: DataFrame) -> DataFrame:
@@ -346,7 +399,7 @@ def _prepared(documents: DataFrame) -> DataFrame:
 
 
 def _clustered(placed: DataFrame, known: bool = False) -> DataFrame:
-    kept = placed.select("block", *_Document.FIELDS)
+    kept = spread(placed.select("block", *_Document.FIELDS), "block")
     runs = in_runs(kept, ["block"], F.col("t"), [F.asc("t"), F.asc("document_id")], None if known else HISTORY_SECONDS)
     return runs.mapInArrow(_refolded if known else _folded, "document_id string, event_id string, historical_event_id string")
 
@@ -377,7 +430,7 @@ def add_documents(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
     new = batch.select("document_id", "at", "title", "body", "url", "content_hash", "kind_hint", "codes").dropDuplicates(["document_id"])
     if stored is None:
         rows = _prepared(new).withColumn("event_id", F.lit(None).cast("string"))
-        placed = cut(_placed(rows))
+        placed = cut(_placed(rows, unique=True))
         return _with_results(placed, _clustered(placed))
     new = new.join(stored.select("document_id"), "document_id", "left_anti")
     fresh = cut(_prepared(new).withColumn("event_id", F.lit(None).cast("string")))
