@@ -398,8 +398,10 @@ def _prepared(documents: DataFrame) -> DataFrame:
     return rows.withColumn("codes", F.coalesce(F.array_compact("codes"), F.array().cast("array<string>")))
 
 
-def _clustered(placed: DataFrame, known: bool = False) -> DataFrame:
-    kept = spread(placed.select("block", *_Document.FIELDS), "block")
+def _clustered(placed: DataFrame, known: bool = False, whole: bool = False) -> DataFrame:
+    """whole: all documents at once, so that blocks are spread over the tasks of a shuffle; for a batch AQE says how many."""
+    kept = placed.select("block", *_Document.FIELDS)
+    kept = spread(kept, "block") if whole else kept
     runs = in_runs(kept, ["block"], F.col("t"), [F.asc("t"), F.asc("document_id")], None if known else HISTORY_SECONDS)
     return runs.mapInArrow(_refolded if known else _folded, "document_id string, event_id string, historical_event_id string")
 
@@ -413,7 +415,7 @@ def cluster_documents(documents: DataFrame, known: DataFrame | None = None) -> D
     """
     rows = _prepared(documents)
     rows = rows.join(known.select("document_id", "event_id"), "document_id", "left") if known is not None else rows.withColumn("event_id", F.lit(None).cast("string"))
-    return _clustered(_placed(rows), known is not None)
+    return _clustered(_placed(rows), known is not None, whole=True)
 
 
 RESULT = ["document_id", "event_id", "historical_event_id"]
